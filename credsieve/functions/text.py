@@ -126,24 +126,22 @@ def shannon_entropy(text: Column) -> Column:
     )
 
 
-def char_ngrams(text: Column, smallest: int = 3, largest: int = 5) -> Column:
+def char_ngrams_sql(column: str, smallest: int = 3, largest: int = 5) -> str:
+    """SQL for the character n-grams of a column, see ``char_ngrams``."""
+    words = rf"trim(regexp_replace(lower({column}), r'(?U)[{SPACE_CLASS}]+', ' '))"
+    grams = ", ".join(
+        rf"regexp_extract_all(concat(' ', {words}, ' '), "
+        rf"r'(?s)(?=([^\x{{dc00}}-\x{{dfff}}][^ ]{{{n - 2}}}.))', 1)"
+        for n in range(smallest, largest + 1)
+    )
+    return f"flatten(array({grams}))"
+
+
+def char_ngrams(column: str, smallest: int = 3, largest: int = 5) -> Column:
     """Character n-grams inside word boundaries, each word padded with one space on each side.
 
     With single spaces between the words, an n-gram lies inside one padded word exactly when all
     but its first and last characters are non-blank. One look-ahead pass per n finds them all; the
     first character must not be the second half of a surrogate pair.
     """
-    words = F.trim(F.regexp_replace(F.lower(text), rf"(?U)[{SPACE_CLASS}]+", " "))
-    padded = F.concat(F.lit(" "), words, F.lit(" "))
-    return F.flatten(
-        F.array(
-            *[
-                F.regexp_extract_all(
-                    padded,
-                    F.lit(rf"(?s)(?=([^\x{{dc00}}-\x{{dfff}}][^ ]{{{n - 2}}}.))"),
-                    F.lit(1),
-                )
-                for n in range(smallest, largest + 1)
-            ]
-        )
-    )
+    return F.expr(char_ngrams_sql(column, smallest, largest))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "credsieve", master: str | None = None, **conf: str) -> SparkSession:
@@ -37,3 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="credsieve-")
     return f"{root.rstrip('/')}/credsieve-{uuid.uuid4().hex}"
+
+
+def materialize(frame: DataFrame) -> DataFrame:
+    """The frame written to the shared folder and read back.
+
+    Used where several results need one expensive input: it is computed once, its lineage ends, and
+    it survives the loss of executors.
+    """
+    path = shared_dir(frame.sparkSession)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
