@@ -181,9 +181,11 @@ def rate(
         .otherwise("Potential")
         .alias("severity")
     )
-    changed = {"confidence": confidence, "severity": severity}
+    replaced = (p_secret, p_context, "severity", "confidence")
     return rows.select(
-        *[changed.get(n, F.col(n)) for n in rows.columns if n not in (p_secret, p_context)],
+        *[F.col(n) for n in rows.columns if n not in replaced],
+        severity,
+        confidence,
         F.bround(secret, 3).alias("secret_confidence"),
         (secret > 0.5).alias("secret_prediction"),
         F.when(~failed, F.bround(context, 3)).alias("context_confidence"),

@@ -129,15 +129,17 @@ def rule_coverage(samples: DataFrame, rules=settings.RULES) -> DataFrame:
 
 def uncovered_examples(samples: DataFrame, rules=settings.RULES, limit: int = 10) -> DataFrame:
     """First distinct uncovered texts of each class."""
-    uncovered = with_first_rule(profile(samples), rules).filter(F.col("first_rule").isNull())
+    judged = with_first_rule(profile(samples), rules)
     kinds = F.array_compact(
         F.array(
             F.when(F.col("n_pos") > 0, F.lit("secrets")),
             F.when(F.col("n_neg") > 0, F.lit("non_secrets")),
         )
     )
+    # Not a filter: the optimizer would push it below and run the rules twice.
+    uncovered = F.when(F.col("first_rule").isNull(), kinds)
     return examples(
-        uncovered.select(F.explode(kinds).alias("category"), "text"), "category", limit=limit
+        judged.select(F.explode(uncovered).alias("category"), "text"), "category", limit=limit
     )
 
 

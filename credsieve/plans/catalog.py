@@ -107,12 +107,7 @@ def mask_secrets(spark, sf_dir):
 def path_parts(spark, sf_dir):
     pages = fx.table(spark, sf_dir, "pages")
     below = tx.relative_path(F.col("url"), "https://")
-    return pages.select(
-        "page_id",
-        below.alias("path"),
-        tx.base_name(below).alias("file_name"),
-        tx.extension(tx.base_name(below)).alias("ext"),
-    )
+    return with_names(pages.select("page_id", below.alias("path")))
 
 
 # --- inventory -------------------------------------------------------------------------------
