@@ -60,13 +60,21 @@ def contains_any(text: Column, literals) -> Column:
 
 @lru_cache
 def _digit_class() -> str:
-    """Members of a Java class for str.isdigit: decimals plus the other digit characters."""
-    extra = [c for c in range(sys.maxunicode + 1) if chr(c).isdigit() and not chr(c).isdecimal()]
-    return r"\p{Nd}" + "".join(rf"\x{{{c:x}}}" for c in extra)
+    """Members of a Java class for str.isdigit: decimals plus the runs of other digit characters."""
+    runs: list[list[int]] = []
+    for point in range(sys.maxunicode + 1):
+        if chr(point).isdigit() and not chr(point).isdecimal():
+            if runs and runs[-1][1] == point - 1:
+                runs[-1][1] = point
+            else:
+                runs.append([point, point])
+    return r"\p{Nd}" + "".join(rf"\x{{{first:x}}}-\x{{{last:x}}}" for first, last in runs)
 
 
 def has_digit(text: Column) -> Column:
-    return text.rlike(f"[{_digit_class()}]")
+    """The class of all digits is slow to test, so it only sees texts with other characters."""
+    beyond_ascii = F.octet_length(text) != F.length(text)
+    return text.rlike("[0-9]") | (beyond_ascii & text.rlike(f"[{_digit_class()}]"))
 
 
 def has_upper(text: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from credsieve import settings
 from credsieve.functions import text as tx
 from credsieve.operators.scan import first_rule
+from credsieve.session import materialize
 
 FLAGS = (
     "empty_strings", "too_short", "too_long", "whitespace_only", "non_printable_chars",
@@ -291,8 +292,11 @@ def _weighted_moments(value: Column, weight: Column, prefix: str) -> list[Column
 
 
 def entropy_statistics(samples: DataFrame) -> DataFrame:
-    """Mean, exact median and sample standard deviation of the entropies of all samples."""
-    rows = _entropies(samples)
+    """Mean, exact median and sample standard deviation of the entropies of all samples.
+
+    The counted entropies are written first: they are few, and three results need them.
+    """
+    rows = materialize(_entropies(samples))
     median = exact_median(rows, "entropy", "weight", _ENTROPY_STEP).scalar()
     return rows.agg(*_weighted_moments(F.col("entropy"), F.col("weight"), "entropy")).select(
         F.col("entropy_mean").alias("mean"),
@@ -304,24 +308,29 @@ def entropy_statistics(samples: DataFrame) -> DataFrame:
 # --- scorecard -------------------------------------------------------------------------------
 
 
-def metrics(samples: DataFrame, rules=settings.RULES, entropy: bool = True) -> DataFrame:
-    """All metrics of the dataset as one wide row.
-
-    One grouping by text, one pass over its result, and one global aggregate.
-    """
-    pos, neg = F.col("n_pos"), F.col("n_neg")
-    weight = pos + neg
-    length = F.length("text").cast("double")
-    flags = tx.quality_flags(F.col("text"))
-    patterns = _pattern_flags()
-    texts = with_first_rule(profile(samples), rules).select(
+def judge(samples: DataFrame, rules=settings.RULES) -> DataFrame:
+    """Every distinct text with its counts, first rule, quality flags, patterns and entropy."""
+    flags = {**tx.quality_flags(F.col("text")), **_pattern_flags()}
+    return with_first_rule(profile(samples), rules).select(
+        "text",
         "n_pos",
         "n_neg",
-        weight.alias("weight"),
-        length.alias("length"),
         "first_rule",
-        *[column.alias(name) for name, column in {**flags, **patterns}.items()],
-        *([tx.shannon_entropy(F.col("text")).alias("entropy")] if entropy else []),
+        *[column.alias(name) for name, column in flags.items()],
+        tx.shannon_entropy(F.col("text")).alias("entropy"),
+    )
+
+
+def metrics(samples: DataFrame, rules=settings.RULES) -> DataFrame:
+    """All metrics of the dataset as one wide row: one grouping by text, one global aggregate."""
+    return summarize(judge(samples, rules), len(rules))
+
+
+def summarize(judged: DataFrame, total_rules: int) -> DataFrame:
+    """All metrics of judged texts as one wide row. Columns nobody reads are not computed."""
+    pos, neg = F.col("n_pos"), F.col("n_neg")
+    texts = judged.select(
+        "*", (pos + neg).alias("weight"), F.length("text").cast("double").alias("length")
     )
     weight, length = F.col("weight"), F.col("length")
 
@@ -347,11 +356,11 @@ def metrics(samples: DataFrame, rules=settings.RULES, entropy: bool = True) -> D
         _ratio(F.sum(F.when(~uncovered, pos)), F.sum(pos)).alias("secrets_coverage_ratio"),
         _ratio(F.sum(F.when(~uncovered, neg)), F.sum(neg)).alias("non_secrets_coverage_ratio"),
         *[total(F.col(name), weight).alias(name) for name in (*FLAGS, *PATTERNS)],
-        *(_weighted_moments(F.col("entropy"), weight, "entropy") if entropy else []),
+        *_weighted_moments(F.col("entropy"), weight, "entropy"),
     )
     issues = sum((F.col(name) for name in FLAGS), F.lit(0))
     return row.withColumn("total_issues", issues).withColumn(
-        "total_rules", F.lit(len(rules)).cast("bigint")
+        "total_rules", F.lit(total_rules).cast("bigint")
     )
 
 

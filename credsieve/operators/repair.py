@@ -15,23 +15,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from credsieve import settings
-from credsieve.functions import text as tx
-from credsieve.operators.quality import profile, with_first_rule
+from credsieve.operators.quality import FLAGS, judge
 from credsieve.session import materialize
 
 UNCOVERED_SHARE = 0.3
 TRIM_FACTOR = 4
 
 
-def _judged(samples: DataFrame, rules) -> DataFrame:
-    """Distinct texts with the class they keep, and whether they are flagged or covered."""
+def _judged(judged: DataFrame) -> DataFrame:
+    """Judged texts with the class they keep, and whether they are flagged or covered."""
     flagged = F.lit(False)
-    for flag in tx.quality_flags(F.col("text")).values():
-        flagged = flagged | flag
-    return with_first_rule(profile(samples), rules).select(
-        "text",
-        "n_pos",
-        "n_neg",
+    for flag in FLAGS:
+        flagged = flagged | F.col(flag)
+    return judged.select(
+        "*",
         (F.col("n_pos") > 0).cast("int").alias("label"),
         flagged.alias("flagged"),
         F.col("first_rule").isNotNull().alias("covered"),
@@ -86,7 +83,7 @@ def repair_report(samples: DataFrame, rules=settings.RULES) -> DataFrame:
         "secrets_after": c("keep_pos"),
         "non_secrets_after": c("keep_neg"),
     }
-    counts = _counts(_judged(samples, rules))
+    counts = _counts(_judged(judge(samples, rules)))
     rows = [
         F.struct(
             F.lit(place).alias("place"),
@@ -123,6 +120,7 @@ def _keep_first(rows: DataFrame, targets: DataFrame) -> DataFrame:
         )
         .filter(F.col("room") > 0)
     )
+    columns = rows.columns
     marked = hashed.join(F.broadcast(placed), ["label", "prefix"])
     order = Window.partitionBy("label", "prefix").orderBy("hash", "text")
     at_cut = (
@@ -130,20 +128,18 @@ def _keep_first(rows: DataFrame, targets: DataFrame) -> DataFrame:
         .withColumn("place", F.row_number().over(order))
         .filter(F.col("place") <= F.col("room"))
     )
-    return (
-        marked.filter("whole").select("text", "label").unionByName(at_cut.select("text", "label"))
-    )
+    return marked.filter("whole").select(columns).unionByName(at_cut.select(columns))
 
 
-def repair(samples: DataFrame, rules=settings.RULES) -> DataFrame:
-    """The repaired samples (text, label).
+def keep(judged: DataFrame) -> DataFrame:
+    """The judged texts the repair keeps, each with its ``label``.
 
-    The judged texts serve the counts and the filters, so they are computed once.
+    ``judged`` is read several times, so it should be a stored table.
     """
-    judged = materialize(_judged(samples, rules))
-    counts = materialize(_counts(judged))
+    marked = _judged(judged)
+    counts = materialize(_counts(marked))
     drop_uncovered = counts.select("drop_uncovered").scalar()
-    left = judged.filter(~F.col("flagged")).filter(
+    left = marked.filter(~F.col("flagged")).filter(
         (F.col("label") == 0) | F.col("covered") | ~drop_uncovered
     )
     targets = counts.select(
@@ -154,4 +150,10 @@ def repair(samples: DataFrame, rules=settings.RULES) -> DataFrame:
             )
         )
     )
-    return _keep_first(left.select("text", "label"), targets)
+    return _keep_first(left.select(*judged.columns, "label"), targets)
+
+
+def repair(samples: DataFrame, rules=settings.RULES) -> DataFrame:
+    """The repaired samples (text, label)."""
+    needed = judge(samples, rules).select("text", "n_pos", "n_neg", "first_rule", *FLAGS)
+    return keep(materialize(needed)).select("text", "label")

@@ -232,7 +232,7 @@ def quality_scorecard(spark, sf_dir):
 
 
 def quality_recommendations(spark, sf_dir):
-    row = quality.scorecard(quality.metrics(fx.samples(spark, sf_dir), entropy=False))
+    row = quality.scorecard(quality.metrics(fx.samples(spark, sf_dir)))
     return quality.recommendations(row).select("level", "code", "fixable")
 
 
@@ -311,9 +311,16 @@ def evaluation_samples(spark, sf_dir):
     ).select(F.md5("text").alias("text_hash"), "label", "expected")
 
 
+_MODELS: dict[tuple, object] = {}
+
+
 def _model(spark, sf_dir, iterations=20):
+    """The model of the training split, fitted once per session, and the test split."""
     training, test = classify.split(fx.samples(spark, sf_dir))
-    return classify.fit(training, max_iterations=iterations), test
+    key = (spark.sparkContext.applicationId, sf_dir, iterations)
+    if key not in _MODELS:
+        _MODELS[key] = classify.fit(training, max_iterations=iterations)
+    return _MODELS[key], test
 
 
 def train_score(spark, sf_dir):

@@ -79,8 +79,16 @@ def scan_archives(archives: DataFrame, filtered: bool = True, **options) -> Scan
 
 
 def quality_before_after(samples: DataFrame, rules=settings.RULES) -> DataFrame:
-    """The quality report of a dataset and of its repaired form: (stage, section, metric, value)."""
-    before = quality.quality_report(samples, rules).withColumn("stage", F.lit("before"))
-    repaired = materialize(repair.repair(samples, rules))
-    after = quality.quality_report(repaired, rules).withColumn("stage", F.lit("after"))
-    return before.unionByName(after)
+    """The quality report of a dataset and of its repaired form: (stage, section, metric, value).
+
+    The texts are judged once and stored; the repair keeps a part of them with their judgements.
+    """
+    judged = materialize(quality.judge(samples, rules))
+    kept = materialize(repair.keep(judged))
+    one_each = kept.withColumns({"n_pos": F.col("label"), "n_neg": 1 - F.col("label")})
+
+    def stage(texts: DataFrame, name: str) -> DataFrame:
+        scored = quality.scorecard(quality.summarize(texts, len(rules)))
+        return quality.tidy(scored).withColumn("stage", F.lit(name))
+
+    return stage(judged, "before").unionByName(stage(one_each, "after"))
