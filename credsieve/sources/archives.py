@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 
 from credsieve import settings
 from credsieve.functions import text as tx
-from credsieve.sources.files import decode, with_names
+from credsieve.sources.files import BATCH_BYTES, decode, with_names
 
 _MEMBERS = "project string, path string, raw binary, problem string"
-_BATCH_BYTES = 16 << 20
 
 
 def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -32,7 +31,7 @@ def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         raw = archive.read(member)
                         rows.append((project, member.filename, raw, None))
                         held += len(raw)
-                        if held >= _BATCH_BYTES:
+                        if held >= BATCH_BYTES:
                             yield pd.DataFrame(rows, columns=columns)
                             rows, held = [], 0
             except (zipfile.BadZipFile, NotImplementedError, RuntimeError) as error:

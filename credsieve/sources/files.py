@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +13,9 @@ from pyspark.sql import types as T
 
 from credsieve.functions import text as tx
 
+# How many bytes of content a Python task holds before it hands them on.
+BATCH_BYTES = 16 << 20
+
 
 @F.pandas_udf(T.StringType())
 def _decode_dropping_invalid(content: pd.Series) -> pd.Series:
@@ -42,19 +49,22 @@ def with_names(files: DataFrame) -> DataFrame:
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """All files below ``root/<project>/``: (project, path, file_name, ext, content).
+    """Files below ``root/<project>/``: (project, path, file_name, ext, content).
 
-    ``content`` is read only where a query uses it.
+    ``content`` is read only where a query uses it. Spark's file sources pass over empty files and
+    names that start with ``.`` or ``_``; archives, tables and ``read_mounted_tree`` have them all.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     return tree_files(found, root)
 
 
+# File system and host in front of a path.
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+
+
 def tree_files(found: DataFrame, root: str) -> DataFrame:
     """Shape the rows of a ``binaryFile`` source, batch or streaming, as source files."""
-    location = F.regexp_replace("path", r"^[a-z0-9]+:/+(?=/)", "")
-    base = root.split(":", 1)[-1].rstrip("/") if "://" in root or ":/" in root else root.rstrip("/")
-    below = tx.relative_path(location, base)
+    below = tx.relative_path(F.regexp_replace("path", _SCHEME, ""), re.sub(_SCHEME, "", root))
     shaped = found.select(
         F.substring_index(below, "/", 1).alias("project"),
         F.regexp_replace(below, r"^[^/]*/", "").alias("path"),
@@ -63,6 +73,57 @@ def tree_files(found: DataFrame, root: str) -> DataFrame:
     return with_names(shaped)
 
 
+def _list_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for project, folder in zip(batch["project"], batch["folder"]):
+            for place, _, names in os.walk(folder):
+                yield pd.DataFrame(
+                    {
+                        "project": project,
+                        "path": [os.path.relpath(os.path.join(place, n), folder) for n in names],
+                        "location": [os.path.join(place, n) for n in names],
+                    }
+                )
+
+
+def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Contents, handed on in batches of bounded size."""
+    for batch in batches:
+        rows, held = [], 0
+        for project, path, location in batch.itertuples(index=False):
+            with open(location, "rb") as source:
+                raw = source.read()
+            rows.append((project, path, raw))
+            held += len(raw)
+            if held >= BATCH_BYTES:
+                yield pd.DataFrame(rows, columns=["project", "path", "raw"])
+                rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=["project", "path", "raw"])
+
+
+def read_mounted_tree(spark: SparkSession, root: str) -> DataFrame:
+    """All files below ``root/<project>/`` of a file system mounted on every node.
+
+    Unlike ``read_tree`` it has empty and hidden files too. One task lists a project; the files are
+    then spread over all tasks by path, so a huge project is read by many.
+    """
+    with os.scandir(root) as entries:
+        projects = sorted((entry.name, entry.path) for entry in entries if entry.is_dir())
+    folders = spark.createDataFrame(projects, "project string, folder string").repartition(
+        max(1, len(projects)), "project"
+    )
+    listed = folders.mapInPandas(_list_files, "project string, path string, location string")
+    # A fixed number of tasks: the listing is small, its files are not.
+    tasks = max(
+        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    )
+    found = listed.repartition(tasks, "project", "path").mapInPandas(
+        _read_files, "project string, path string, raw binary"
+    )
+    return with_names(found.select("project", "path", decode(F.col("raw")).alias("content")))
+
+
 def to_lines(files: DataFrame) -> DataFrame:
     """Numbered lines (project, path, line, text) that keep their newline.
 
