@@ -56,12 +56,21 @@ def _report(requests: DataFrame, result: ScanResult, masked: bool) -> DataFrame:
     return report.scan_report(requests, *stored, masked=masked)
 
 
+def _requested(files: DataFrame, requests: DataFrame) -> DataFrame:
+    """Files of the requested projects.
+
+    Their names are broadcast while they are few, so contents stay where they are. For more, all
+    files are scanned and the report's join with the requests picks among the results instead.
+    """
+    names = requests.select(F.col("ProjectName").alias("project")).distinct()
+    if names.limit(settings.BROADCAST_ROWS + 1).count() > settings.BROADCAST_ROWS:
+        return files
+    return files.join(F.broadcast(names), "project", "left_semi")
+
+
 def scan_requests(requests: DataFrame, files: DataFrame, model=None, masked=True, **options):
     """Reports of all requested projects in one run; a project that fails leaves the others be."""
-    wanted = files.join(
-        requests.select(F.col("ProjectName").alias("project")).distinct(), "project", "left_semi"
-    )
-    return _report(requests, scan_projects(wanted, model, **options), masked)
+    return _report(requests, scan_projects(_requested(files, requests), model, **options), masked)
 
 
 def scan_request(
