@@ -133,7 +133,18 @@ def to_lines(files: DataFrame) -> DataFrame:
     content = F.when(
         F.contains("content", F.lit("\r")), F.regexp_replace("content", r"\r\n?", "\n")
     ).otherwise(F.col("content"))
-    pieces = files.select("project", "path", F.posexplode(F.split(content, r"(?<=\n)")))
-    return pieces.filter(F.col("col") != "").select(
-        "project", "path", (F.col("pos") + 1).alias("line"), F.col("col").alias("text")
+    split = files.select("project", "path", F.split(content, "\n").alias("pieces")).withColumn(
+        "n", F.size("pieces")
+    )
+    # The condition always holds. It keeps the optimizer from filtering by the size of the pieces,
+    # for which it would split twice.
+    pieces = split.select(
+        "project", "path", "n", F.posexplode(F.when(F.col("n") > 0, F.col("pieces")))
+    )
+    last = F.col("pos") == F.col("n") - 1
+    return pieces.filter(~(last & (F.col("col") == ""))).select(
+        "project",
+        "path",
+        (F.col("pos") + 1).alias("line"),
+        F.when(last, F.col("col")).otherwise(F.concat("col", F.lit("\n"))).alias("text"),
     )
