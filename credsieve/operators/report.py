@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import base64
 import gzip
+from datetime import datetime, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from credsieve import settings
 from credsieve.functions.urls import repository_parts
+from credsieve.operators import quality
+from credsieve.operators.repair import repair
 from credsieve.operators.scan import mask_findings
+from credsieve.session import materialize
 
 RESULTS_PER_RECORD = 10_000
 
@@ -166,13 +171,64 @@ def write_reports(reports: DataFrame, path: str) -> None:
     reports.write.mode("overwrite").option("compression", "gzip").json(path)
 
 
-def write_quality_report(report: DataFrame, path: str) -> None:
-    """Metrics (section, metric, value) as JSON lines and as a text report in section order."""
-    report.write.mode("overwrite").json(f"{path}/json")
-    lines = report.orderBy("section", "metric").select(
-        F.format_string("%s / %s: %.4f", "section", "metric", "value").alias("value")
+def quality_lines(judged: DataFrame, scored: DataFrame) -> DataFrame:
+    """The quality report as text: rows (place, line) in reading order.
+
+    Metrics by section, then advice, then the first texts found in both classes and the first
+    secrets no rule covers.
+    """
+    sections = list(quality.SECTIONS)
+    names = [name for metrics in quality.SECTIONS.values() for name in metrics]
+
+    def place(base: int, values: list[str], name: str) -> Column:
+        order = F.array_position(F.array(*[F.lit(v) for v in values]), F.col(name))
+        return (base + order).cast("int").alias("place")
+
+    label = scored.select(
+        F.lit(0).alias("place"),
+        F.format_string("Quality %.1f of 10: %s", "quality_score_10", "quality_label").alias("line"),
+    )
+    metrics = quality.tidy(scored).select(
+        place(100, names, "metric"),
+        F.format_string(
+            "%d. %s / %s: %.4f",
+            F.array_position(F.array(*[F.lit(v) for v in sections]), F.col("section")),
+            "section",
+            "metric",
+            "value",
+        ).alias("line"),
+    )
+    advice = quality.recommendations(scored).select(
+        place(1000, ["critical", "warning", "suggestion"], "level"),
+        F.format_string(
+            "%s: %s%s", "level", "message", F.when(F.col("fixable"), " (repairable)").otherwise("")
+        ).alias("line"),
     )
-    lines.write.mode("overwrite").text(f"{path}/text")
+    positive, negative = F.col("n_pos") > 0, F.col("n_neg") > 0
+    kinds = {
+        "in both classes": (positive & negative, 5),
+        "not covered": (positive & F.col("first_rule").isNull(), 10),
+    }
+    lines = label.unionByName(metrics).unionByName(advice)
+    for base, (kind, (holds, limit)) in zip((2000, 3000), kinds.items()):
+        shown = judged.filter(holds).select(F.lit(kind).alias("category"), "text")
+        lines = lines.unionByName(
+            quality.examples(shown, "category", limit=limit).select(
+                (base + F.col("place")).alias("place"),
+                F.concat_ws(": ", "category", "text").alias("line"),
+            )
+        )
+    return lines
+
+
+def write_quality_report(samples: DataFrame, path: str, rules=settings.RULES) -> None:
+    """The report on samples below a path: ``json`` with the metrics, ``text`` to read."""
+    judged = materialize(quality.judge(samples, rules))
+    scored = materialize(quality.scorecard(quality.summarize(judged, len(rules))))
+    quality.tidy(scored).write.mode("overwrite").json(f"{path}/json")
+    # A bounded number of lines: one file keeps them in order.
+    ordered = quality_lines(judged, scored).orderBy("place", "line").select("line")
+    ordered.coalesce(1).write.mode("overwrite").text(f"{path}/text")
 
 
 def write_samples(samples: DataFrame, path: str) -> dict[str, str]:
@@ -181,3 +237,9 @@ def write_samples(samples: DataFrame, path: str) -> dict[str, str]:
     for label, target in ((1, targets["positives"]), (0, targets["negatives"])):
         samples.filter(F.col("label") == label).select("text").write.mode("error").text(target)
     return targets
+
+
+def write_repaired(samples: DataFrame, base: str, rules=settings.RULES) -> dict[str, str]:
+    """The repaired samples as a new version below ``base``; what was read stays as it is."""
+    version = datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S_%f")
+    return write_samples(repair(samples, rules), f"{base}/version={version}")

@@ -16,7 +16,7 @@ from credsieve.sources.files import to_lines
 FINDING_FIELDS = ("line", "rule_ord", "type", "secret", "context", "severity", "confidence")
 
 # Characters that match an ASCII letter when case is ignored but do not lower-case to it alone.
-_CASE_ODDITIES = ("İ", "ı", "ſ", "K")
+_CASE_ODDITIES = ("\u0130", "\u0131", "\u017f", "\u212a")
 
 
 # --- files -----------------------------------------------------------------------------------

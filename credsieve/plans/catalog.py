@@ -343,7 +343,14 @@ def predict_pairs(spark, sf_dir):
 
 def model_info(spark, sf_dir):
     model, _ = _model(spark, sf_dir)
-    return classify.model_info(model, fx.samples(spark, sf_dir))
+    info = classify.model_info(model, fx.samples(spark, sf_dir))
+    return info.filter(F.col("name") != "regularisation")
+
+
+def training_split(spark, sf_dir):
+    samples = fx.samples(spark, sf_dir)
+    part = F.when(classify.in_training(F.col("text"), F.col("label")), "training").otherwise("test")
+    return samples.groupBy(part.alias("part"), "label").agg(F.count("*").alias("rows"))
 
 
 # --- requests and reports --------------------------------------------------------------------
@@ -459,7 +466,7 @@ QUERIES = {
         quality_scorecard, quality_recommendations, repair_dataset, repair_dataset_covered,
         repair_report, repair_report_covered, quality_report_before_after, ngram_frequencies,
         blend_severity, confusion_metrics, wrong_predictions, evaluation_samples, train_score,
-        evaluate_model, predict_pairs, model_info, request_check, request_validation,
+        evaluate_model, predict_pairs, model_info, training_split, request_check, request_validation,
         repo_url_parts, scan_report, archive_members, archive_scan, stream_scan,
     )
 }

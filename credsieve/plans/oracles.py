@@ -397,6 +397,8 @@ _PROBABILITIES = f"""probabilities AS (
     CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label
   FROM lineitem)"""
 
+_TRAINING = "substr(md5(concat(label, ':', text)), 1, 4) < 'cccd'"
+
 _REQUEST_CHECK = """checked AS (
   SELECT project AS ProjectName, ref_type AS RefType, ref AS Ref, m.commit,
     CASE WHEN NOT contains(url, '/_git/') THEN 'no _git in the URL'
@@ -605,6 +607,25 @@ FROM probabilities WHERE (label = 1) <> (p > 0.5::DOUBLE)""",
   CASE WHEN doc_id % 5 < 2 THEN 1 ELSE 0 END AS label,
   ['Secret', 'secret', 'NotSecret'][doc_id % 5 + 1] AS expected
 FROM documents WHERE doc_id % 5 < 3 AND {fx.sql_strip("text")} <> ''""",
+    "model_info": f"""WITH {fx.SQL_SAMPLES},
+words AS (
+  SELECT concat(' ', unnest(string_split(trim(
+    regexp_replace(lower(text), '[{fx.SPACES}]+', ' ', 'g')), ' ')), ' ') AS word
+  FROM samples WHERE {_TRAINING}),
+sized AS (SELECT word, unnest([3, 4, 5]) AS n FROM (SELECT DISTINCT word FROM words) WHERE word <> '  '),
+grams AS (
+  SELECT DISTINCT substr(word, k, n) AS gram
+  FROM (SELECT word, n, unnest(generate_series(1, length(word) - n + 1)) AS k FROM sized))
+SELECT 'secrets_dataset_size' AS name, CAST(count(*) FILTER (label = 1) AS VARCHAR) AS value
+FROM samples UNION ALL
+SELECT 'non_secrets_dataset_size', CAST(count(*) FILTER (label = 0) AS VARCHAR) FROM samples
+UNION ALL SELECT 'total_dataset_size', CAST(count(*) AS VARCHAR) FROM samples
+UNION ALL SELECT 'vocabulary_size', CAST(count(*) AS VARCHAR) FROM grams
+UNION ALL VALUES ('model_type', 'LogisticRegressionModel'), ('max_iterations', '20'),
+  ('vectorizer_type', 'CountVectorizerModel'), ('analyzer', 'char_wb'), ('ngram_range', '3-5')""",
+    "training_split": f"""WITH {fx.SQL_SAMPLES}
+SELECT CASE WHEN {_TRAINING} THEN 'training' ELSE 'test' END AS part, label, count(*) AS rows
+FROM samples GROUP BY ALL""",
     "request_check": f"""WITH {fx.SQL_REQUESTS}, {_REQUEST_CHECK}
 SELECT ProjectName, RefType, Ref,
   CASE WHEN problem IS NULL THEN commit ELSE 'not_found' END AS commit, problem FROM checked""",

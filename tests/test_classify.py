@@ -66,6 +66,11 @@ def test_separable_data_and_determinism(samples, model):
     assert [r["p_secret"] for r in first] == pytest.approx([r["p_secret"] for r in second])
 
 
+def test_timed_evaluation(samples, model):
+    row = classify.evaluate_timed(model, samples).first()
+    assert row["correct"] == 240 and row["rows_per_second"] == pytest.approx(240 / row["seconds"])
+
+
 def test_split_is_stable_and_disjoint(samples):
     training, test = classify.split(samples)
     assert training.count() + test.count() == 240

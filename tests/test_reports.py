@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from credsieve.operators import quality, report
+from credsieve.operators import report
 from credsieve.plans import scans
 from credsieve.session import materialize, shared_dir
 from credsieve.sources.files import with_names
@@ -82,16 +82,31 @@ def test_quality_sinks(spark, tmp_path):
         [("token: a1b2c3d4", 1), ("token: a1b2c3d4", 1), ("plain words", 0)], "text string, label int"
     )
     path = str(tmp_path / "quality")
-    report.write_quality_report(quality.quality_report(samples), path)
+    report.write_quality_report(samples, path)
     stored = {r["metric"]: r["value"] for r in spark.read.json(f"{path}/json").collect()}
     assert stored["total_count"] == 3.0 and stored["secrets_exact_duplicates"] == 1.0
     lines = [r[0] for r in spark.read.text(f"{path}/text").collect()]
-    assert "basic_statistics / total_count: 3.0000" in lines
+    assert lines[0].startswith("Quality ")
+    assert "1. basic_statistics / total_count: 3.0000" in lines
+    assert lines[-1] == "suggestion: Add samples so that the model generalises better."
+    assert lines.index("critical: Only 3 samples; have 10000 or more per class.") > 5
     targets = report.write_samples(samples, str(tmp_path / "v2"))
     back = read_samples(spark, targets["positives"], targets["negatives"])
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, samples.collect()))
     with pytest.raises(Exception):
         report.write_samples(samples, str(tmp_path / "v2"))
+    versions = report.write_repaired(samples, str(tmp_path / "all"))
+    assert read_samples(spark, *versions.values()).count() == 2
+
+
+def test_quality_text_shows_examples(spark, tmp_path):
+    rows = [("plain words", 1), ("plain words", 0), ("other words", 1), ("token: a1b2c3d4", 1)]
+    samples = spark.createDataFrame(rows, "text string, label int")
+    report.write_quality_report(samples, str(tmp_path))
+    lines = [r[0] for r in spark.read.text(str(tmp_path / "text")).collect()]
+    assert lines[-3:] == [
+        "in both classes: plain words", "not covered: other words", "not covered: plain words",
+    ]
 
 
 def write_tree(root, start, n):
