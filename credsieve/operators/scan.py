@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from credsieve import settings
@@ -172,21 +172,26 @@ def cap_per_file(
 ) -> DataFrame:
     """Replace all rows of a file that has too many matches by one summary row.
 
-    The summary carries the count, every secret in (line, rule) order and their hash. Only
-    findings are shuffled, never content, and a group is what one file's content gave.
+    The summary carries the count, every secret in (line, rule) order and their hash. Findings, not
+    contents, are shuffled once by file. They are counted before they are gathered, and those of
+    files over the cap are gathered without their contexts, which the summary does not show: what
+    comes together is at most the secrets of one file.
     """
     match = lambda row: row["type"] != TYPE_LONG_LINE
+    matches = F.count_if(F.col("type") != TYPE_LONG_LINE).over(
+        Window.partitionBy("project", "path")
+    )
+    counted = findings.withColumn("matches", matches)
+    kept_context = F.when(F.col("matches") <= max_secrets, F.col("context")).alias("context")
+    fields = [kept_context if name == "context" else F.col(name) for name in FINDING_FIELDS]
     files = (
-        findings.select("project", "path", F.struct(*FINDING_FIELDS).alias("finding"))
+        counted.select("project", "path", "matches", F.struct(*fields).alias("finding"))
         .groupBy("project", "path")
-        .agg(
-            F.collect_list("finding").alias("rows"),
-            F.count_if(F.col("finding.type") != TYPE_LONG_LINE).alias("matches"),
-        )
+        .agg(F.collect_list("finding").alias("rows"), F.max("matches").alias("matches"))
     )
     secrets = F.array_join(
         F.transform(
-            F.array_sort(F.filter(F.col("rows"), match)), lambda row: row["secret"]
+            F.sort_array(F.filter(F.col("rows"), match)), lambda row: row["secret"]
         ),
         "\n",
     )

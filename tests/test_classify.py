@@ -18,7 +18,7 @@ PLAIN = [f"the {w} word number {i}" for i in range(40) for w in ("red", "blue",
 @pytest.fixture(scope="module")
 def samples(spark):
     rows = [(t, 1) for t in SECRETS] + [(t, 0) for t in PLAIN]
-    return spark.createDataFrame(rows, "text string, label int").cache()
+    return spark.createDataFrame(rows, "text string, label int").coalesce(2).cache()
 
 
 @pytest.fixture(scope="module")
