@@ -79,7 +79,7 @@ def test_split_is_stable_and_disjoint(samples):
 
 
 def test_hashed_features(samples):
-    hashed = classify.fit(samples, "hashed", max_iterations=20)
+    hashed = classify.fit(samples, "hashed", max_iterations=5)
     assert classify.evaluate(hashed, samples).first()["accuracy"] == 1.0
 
 
