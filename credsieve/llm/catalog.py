@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from credsieve.llm import chat, mixing, sharding
+from credsieve.llm import chat, mixing, quality, sharding, token_counts
 from credsieve.llm.common import read
 from credsieve.llm.decontaminate import find_passages
 
@@ -14,6 +15,14 @@ def op2_sharding(spark, sf_dir):
     return placed.select("row.doc_id", "n_bytes", "shard", "depth", "shard_bytes", "shard_rows")
 
 
+def op3_token_counts(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    path = public_tokenizers.path(token_counts.VOCABULARY)
+    counts = token_counts.count_tokens(docs, path, keep=["doc_id"])
+    over = (F.col("n_tokens") > token_counts.LIMIT).alias("over_limit")
+    return counts.select("row.doc_id", "n_bytes", "n_tokens", over, "fit_chars")
+
+
 def op4_decontaminate(spark, sf_dir):
     found = find_passages(
         read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), keep=["doc_id"]
@@ -28,6 +37,10 @@ def op4_decontaminate(spark, sf_dir):
     )
 
 
+def op6_quality(spark, sf_dir):
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_mixing(spark, sf_dir):
     plan = mixing.plan_mix(read(spark, sf_dir, "documents"), keep=["doc_id"])
     return plan.sort(F.col("first_position").asc_nulls_last(), "place").select(
@@ -57,7 +70,10 @@ def op10_chat(spark, sf_dir):
 
 
 QUERIES = {
-    f.__name__: f for f in (op2_sharding, op4_decontaminate, op8_mixing, op10_chat)
+    f.__name__: f
+    for f in (
+        op2_sharding, op3_token_counts, op4_decontaminate, op6_quality, op8_mixing, op10_chat,
+    )
 }
 
 ORACLES: dict[str, str] = {}
