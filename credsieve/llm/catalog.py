@@ -5,11 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from credsieve.llm import chat, mixing, quality, sharding, token_counts
+from credsieve.llm import chat, lm_scoring, mixing, pii, quality, sharding, token_counts
 from credsieve.llm.common import read
 from credsieve.llm.decontaminate import find_passages
 
 
+def op1_lm_scoring(spark, sf_dir):
+    return lm_scoring.score_texts(read(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark, sf_dir):
     placed = sharding.shard(read(spark, sf_dir, "documents"), keep=["doc_id"])
     return placed.select("row.doc_id", "n_bytes", "shard", "depth", "shard_bytes", "shard_rows")
@@ -41,6 +45,21 @@ def op6_quality(spark, sf_dir):
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_pii(spark, sf_dir):
+    found = pii.find_personal_data(read(spark, sf_dir, "documents"))
+
+    def number(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *[number(kind) for kind in pii.KINDS],
+        F.sha2("base_text", 256).alias("base_sha256"),
+        F.col("all_text").alias("spans"),
+        F.size("added").cast("bigint").alias("n_added"),
+    )
+
+
 def op8_mixing(spark, sf_dir):
     plan = mixing.plan_mix(read(spark, sf_dir, "documents"), keep=["doc_id"])
     return plan.sort(F.col("first_position").asc_nulls_last(), "place").select(
@@ -72,7 +91,8 @@ def op10_chat(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_sharding, op3_token_counts, op4_decontaminate, op6_quality, op8_mixing, op10_chat,
+        op1_lm_scoring, op2_sharding, op3_token_counts, op4_decontaminate, op6_quality, op7_pii, op8_mixing,
+        op10_chat,
     )
 }
 
