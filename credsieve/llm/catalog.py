@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from credsieve.llm import chat, lm_scoring, mixing, pii, quality, sharding, token_counts
+from credsieve.llm import chat, lm_scoring, mixing, ngram_join, pii, quality, sharding, token_counts
 from credsieve.llm.common import read
 from credsieve.llm.decontaminate import find_passages
 
@@ -41,6 +41,11 @@ def op4_decontaminate(spark, sf_dir):
     )
 
 
+def op5_ngram_join(spark, sf_dir):
+    linked = ngram_join.link(read(spark, sf_dir, "documents"))
+    return linked.select("doc_id", "n_shingles", "component_id")
+
+
 def op6_quality(spark, sf_dir):
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -91,7 +96,7 @@ def op10_chat(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_lm_scoring, op2_sharding, op3_token_counts, op4_decontaminate, op6_quality, op7_pii, op8_mixing,
+        op1_lm_scoring, op2_sharding, op3_token_counts, op4_decontaminate, op5_ngram_join, op6_quality, op7_pii, op8_mixing,
         op10_chat,
     )
 }
