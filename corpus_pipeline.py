@@ -7,9 +7,21 @@ from pyspark.sql import DataFrame, SparkSession
 from credsieve.llm.common import read, staged
 from credsieve.llm.decontaminate import decontaminate
 from credsieve.llm.mixing import mix
+from credsieve.llm.ngram_join import keep_one
+from credsieve.llm.quality import select_good
 from credsieve.llm.sharding import shard
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    return select_good(docs, read(spark, sf_dir, "labels"))
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return keep_one(docs)
+
+
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     return decontaminate(docs, read(spark, sf_dir, "benchmark"))
@@ -27,6 +39,8 @@ def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 #: In order. Each takes (spark, docs, sf_dir); all but the last return the columns of documents.
 STAGES = [
+    ("quality classifier", keep_good),
+    ("n-gram Jaccard join", keep_one_of_each),
     ("benchmark decontamination", remove_benchmark),
     ("source mixing", mix_sources),
     ("sharding", cut_shards),

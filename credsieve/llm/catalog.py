@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from credsieve.llm import chat, lm_scoring, mixing, ngram_join, pii, quality, sharding, token_counts
+from credsieve.llm import chat, embedding_dedup, lm_scoring, mixing, ngram_join, pii, quality, sharding, token_counts
 from credsieve.llm.common import read
 from credsieve.llm.decontaminate import find_passages
 
@@ -72,6 +72,10 @@ def op8_mixing(spark, sf_dir):
     )
 
 
+def op9_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.link(read(spark, sf_dir, "embeddings"))
+
+
 def op10_chat(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = f"{chat.END}{chat.START}assistant ok"
@@ -97,7 +101,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_lm_scoring, op2_sharding, op3_token_counts, op4_decontaminate, op5_ngram_join, op6_quality, op7_pii, op8_mixing,
-        op10_chat,
+        op9_embedding_dedup, op10_chat,
     )
 }
 
