@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from credsieve.llm import chat, embedding_dedup, lm_scoring, mixing, ngram_join, pii, quality, sharding, token_counts
 from credsieve.llm.common import read
 from credsieve.llm.decontaminate import find_passages
+from credsieve.llm.oracles import ORACLES
 
 
 def op1_lm_scoring(spark, sf_dir):
@@ -105,4 +106,4 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
