@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
@@ -22,10 +23,10 @@ from pyspark.sql import functions as F
 
 from credsieve import settings
 from credsieve.functions import text as tx
+from credsieve.session import materialize
 
-# Up to this many terms the model keeps an exact vocabulary (which Spark ML holds on the driver);
-# beyond it terms are hashed into a fixed number of features.
-MAX_VOCABULARY = 1 << 21
+# An exact vocabulary keeps every term: as many as Spark ML can number.
+ALL_TERMS = (1 << 31) - 1
 HASHED_FEATURES = 1 << 22
 MAX_ITERATIONS = 1000
 
@@ -35,23 +36,50 @@ _STAGE_COLUMNS = (_INPUT, "tokens", "counts", "weighted", "features", "rawPredic
 
 
 def ngram_frequencies(texts: DataFrame, column: str = "text") -> DataFrame:
-    """Occurrences and number of texts of every character n-gram, in one shuffle.
+    """Occurrences and number of texts of every character n-gram, in one shuffle."""
+    return (
+        _term_counts(texts, column)
+        .groupBy("ngram")
+        .agg(F.sum("tf").alias("occurrences"), F.count("*").alias("texts"))
+    )
+
+
+def _term_counts(texts: DataFrame, column: str, *keep: str) -> DataFrame:
+    """One row (ngram, tf) per text and distinct n-gram, counted inside the text's own row.
 
-    Each text gives one row per occurrence and one per distinct n-gram; both kinds are summed on
-    the map side first.
+    In the sorted n-grams those of one kind are a run; a run ends where the next n-gram differs.
     """
-    grams = texts.select(tx.char_ngrams(column).alias("grams"))
-    both = F.concat(
-        F.transform("grams", lambda g: F.struct(g.alias("ngram"), F.lit(0).alias("first"))),
-        F.transform(
-            F.array_distinct("grams"), lambda g: F.struct(g.alias("ngram"), F.lit(1).alias("first"))
-        ),
+    grams = texts.select(*keep, F.array_sort(tx.char_ngrams(column)).alias("grams"))
+    size = F.size("grams")
+    ends = F.filter(
+        F.sequence(F.lit(1), size),
+        lambda i: (i == size) | (F.element_at("grams", i) != F.get("grams", i)),
     )
-    return (
-        grams.select(F.inline(both))
-        .groupBy("ngram")
-        .agg(F.count_if(F.col("first") == 0).alias("occurrences"), F.sum("first").alias("texts"))
+    listed = grams.filter(size > 0).select(*keep, "grams", ends.alias("ends"))
+    runs = F.transform(
+        "ends",
+        lambda end, i: F.struct(
+            F.element_at("grams", end).alias("ngram"),
+            (end - F.coalesce(F.get("ends", i - 1), F.lit(0))).alias("tf"),
+        ),
     )
+    return listed.select(*keep, F.inline(runs))
+
+
+def idf_weights(texts: DataFrame, column: str = "text") -> DataFrame:
+    """(ngram, texts, idf) with ``idf = ln((1 + n) / (1 + texts)) + 1`` over n texts."""
+    total = texts.agg(F.count("*").alias("n"))  # one row
+    counted = _term_counts(texts, column).groupBy("ngram").agg(F.count("*").alias("texts"))
+    weight = F.log((1 + F.col("n")) / (1 + F.col("texts"))) + 1
+    return counted.join(F.broadcast(total)).select("ngram", "texts", weight.alias("idf"))
+
+
+def tfidf_features(texts: DataFrame, key: str, column: str = "text") -> DataFrame:
+    """(key, ngram, weight): the unit-length weights that the classifier sees."""
+    terms = _term_counts(texts, column, key).join(idf_weights(texts, column), "ngram")
+    weighted = terms.select(key, "ngram", (F.col("tf") * F.col("idf")).alias("w"))
+    norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return weighted.join(norms, key).select(key, "ngram", (F.col("w") / F.col("norm")).alias("weight"))
 
 
 # --- training --------------------------------------------------------------------------------
@@ -74,44 +102,51 @@ def split(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _vectorizer(tokens: DataFrame, vocabulary: str):
-    if vocabulary == "auto":
-        terms = tokens.select(F.explode("tokens").alias("t")).agg(
-            F.approx_count_distinct("t", 0.02)
-        )
-        vocabulary = "exact" if terms.first()[0] <= 0.9 * MAX_VOCABULARY else "hashed"
     if vocabulary == "exact":
         return CountVectorizer(
-            inputCol="tokens", outputCol="counts", vocabSize=MAX_VOCABULARY, minDF=1.0
+            inputCol="tokens", outputCol="counts", vocabSize=ALL_TERMS, minDF=1.0
         ).fit(tokens)
+    if vocabulary != "hashed":
+        raise ValueError("vocabulary is 'exact' or 'hashed'")
     return HashingTF(inputCol="tokens", outputCol="counts", numFeatures=HASHED_FEATURES)
 
 
 def fit(
-    training: DataFrame, vocabulary: str = "auto", max_iterations: int = MAX_ITERATIONS
+    training: DataFrame,
+    vocabulary: str = "exact",
+    max_iterations: int = MAX_ITERATIONS,
+    max_training_rows: int | None = None,
 ) -> PipelineModel:
     """TF-IDF over character n-grams plus logistic regression, as one saveable pipeline.
 
-    ``vocabulary`` is ``exact``, ``hashed`` or ``auto``. The weights are ``ln((1+n)/(1+df)) + 1``
+    ``vocabulary`` is ``exact`` (every term, held on the driver as the model is) or ``hashed``, for
+    the caller to choose. ``max_training_rows`` bounds the labelled rows, off by default: the rows
+    of the smallest hash are kept. The weights are ``ln((1+n)/(1+df)) + 1``
     with unit length, and the regularisation is that of the sum-of-losses form with C = 1.
     """
     tokenizer = SQLTransformer(
         statement=f"SELECT *, {tx.char_ngrams_sql(_INPUT)} AS tokens FROM __THIS__"
     )
     samples = training.select(F.col("text").alias(_INPUT), F.col("label").cast("double"))
-    tokens = tokenizer.transform(samples)
+    if max_training_rows is not None:
+        samples = samples.orderBy(F.md5(_INPUT), _INPUT, "label").limit(max_training_rows)
+    # Tokenised once: vocabulary and counts read the stored tokens.
+    tokens = tokenizer.transform(samples).select("label", "tokens").persist(StorageLevel.DISK_ONLY)
     vectorizer = _vectorizer(tokens, vocabulary)
     counts = vectorizer.transform(tokens).select("label", "counts").persist()
     idf = IDF(inputCol="counts", outputCol="weighted").fit(counts)
     weights = Vectors.dense(idf.idf.toArray() + 1.0)
     scaler = ElementwiseProduct(scalingVec=weights, inputCol="counts", outputCol="weighted")
     normalizer = Normalizer(p=2.0, inputCol="weighted", outputCol="features")
+    features = normalizer.transform(scaler.transform(counts)).select("label", "features")
     regression = LogisticRegression(
         maxIter=max_iterations,
         regParam=1.0 / idf.numDocs,
         elasticNetParam=0.0,
         standardization=False,
-    ).fit(normalizer.transform(scaler.transform(counts)))
+    ).fit(features)
     counts.unpersist()
+    tokens.unpersist()
     return PipelineModel([tokenizer, vectorizer, scaler, normalizer, regression])
 
 
@@ -119,15 +154,21 @@ def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def load_or_fit(
     path: str, training: DataFrame | None = None, **options
 ) -> PipelineModel:
-    """The model at a path; where there is none it is trained on the samples and saved."""
-    try:
+    """The model at a path; where there is none it is trained on the samples and saved.
+
+    Only a path that does not exist is taken for no model: any other failure is raised, and a
+    model that is there is never replaced.
+    """
+    if training is None or _exists(training.sparkSession, path):
         return PipelineModel.load(path)
-    except Exception:
-        if training is None:
-            raise
     model = fit(training, **options)
     save_model(model, path)
     return model
@@ -303,6 +344,7 @@ def evaluate_csv(
 
     predicted = predict_samples(model, read_evaluation_csv(spark, csv_path))
     if errors_path:
+        predicted = materialize(predicted)  # scored once for both
         write_wrong_predictions(predicted, errors_path)
     return confusion_metrics(predicted)
 

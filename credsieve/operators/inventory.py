@@ -12,6 +12,7 @@ from credsieve import settings
 from credsieve.functions.regex import to_java
 from credsieve.sources.tables import language_table
 
+OTHER = "Other"
 KINDS = ("manifest", "config_file", "code")
 
 
@@ -19,18 +20,24 @@ def language_summary(files: DataFrame, languages=settings.LANGUAGES) -> DataFram
     """Files and distinct extensions per project and language.
 
     A file counts for every language that lists its extension, or for "Other". Files are counted
-    per extension first, so the join and the second grouping see one row per distinct extension.
+    per extension first, so the second grouping sees one row per distinct extension. The
+    extensions of a language are as many as it lists; those of "Other" know no bound and are rows
+    of ``language_extensions`` only.
     """
-    counted = files.groupBy("project", "ext").agg(F.count("*").alias("files"))
-    table = language_table(files.sparkSession, languages)
+    listed = F.collect_list(F.when(F.col("language") != OTHER, F.col("ext")))
     return (
-        counted.join(table, "ext", "left")
-        .withColumn("language", F.coalesce("language", F.lit("Other")))
+        language_extensions(files, languages)
         .groupBy("project", "language")
-        .agg(
-            F.sum("files").alias("files"),
-            F.array_sort(F.collect_list("ext")).alias("extensions"),
-        )
+        .agg(F.sum("files").alias("files"), F.array_sort(listed).alias("extensions"))
+    )
+
+
+def language_extensions(files: DataFrame, languages=settings.LANGUAGES) -> DataFrame:
+    """Files per project, language and extension; extensions in no group count as "Other"."""
+    counted = files.groupBy("project", "ext").agg(F.count("*").alias("files"))
+    table = language_table(files.sparkSession, languages)
+    return counted.join(table, "ext", "left").select(
+        "project", F.coalesce("language", F.lit(OTHER)).alias("language"), "ext", "files"
     )
 
 

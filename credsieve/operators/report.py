@@ -69,8 +69,8 @@ def validate_requests(requests: DataFrame, projects: DataFrame) -> DataFrame:
 def _results(findings: DataFrame, per_record: int) -> DataFrame:
     """Findings packed into records (project, part, parts, results).
 
-    A project with up to ``per_record`` findings gives one record. A larger one is spread by hash
-    over as many as it needs, so no record grows with the project.
+    A project is spread by hash over as many records as its findings need, so no record grows with
+    the project.
     """
     counts = findings.groupBy("project").agg(F.count("*").alias("n"))
     parts = F.ceil(F.col("n") / per_record).cast("int")
@@ -119,7 +119,19 @@ def scan_report(
         .join(per_framework, "project", "left")
     )
     found = F.col("all_files").isNotNull()
-    return header.join(results, "project", "left").select(
+    # Inner from the side of the results, which Spark can split, and the rest beside it.
+    firsts = results.groupBy("project").agg(F.min("part").alias("first_part"))
+    header = header.join(firsts, "project", "left")
+    rest = header.filter(F.col("first_part").isNull()).withColumns(
+        {
+            "part": F.lit(0),
+            "parts": F.lit(1),
+            "results": F.array().cast(results.schema["results"].dataType),
+        }
+    )
+    first = F.col("part") == F.coalesce("first_part", "part")
+    both = results.join(header, "project").unionByName(rest)
+    return both.select(
         F.when(found, "completed").otherwise("Error").alias("status"),
         F.when(found, "Scanned Successfully")
         .otherwise("Process Error: the project has no readable files")
@@ -127,14 +139,15 @@ def scan_report(
         "project",
         "repo_url",
         "commit",
-        F.coalesce("part", F.lit(0)).alias("part"),
-        F.coalesce("parts", F.lit(1)).alias("parts"),
-        F.coalesce("results", F.array()).alias("results"),
-        F.coalesce("files_excluded", F.lit(0)).alias("files_excluded"),
-        F.coalesce("all_files", F.lit(0)).alias("all_files"),
-        F.coalesce("skipped_files", F.lit("")).alias("skipped_files"),
-        F.coalesce("languages", F.array()).alias("languages"),
-        F.coalesce("frameworks", F.array()).alias("frameworks"),
+        "part",
+        "parts",
+        "results",
+        # What is known of the project as a whole is in its first record only.
+        F.coalesce(F.when(first, F.col("files_excluded")), F.lit(0)).alias("files_excluded"),
+        F.coalesce(F.when(first, F.col("all_files")), F.lit(0)).alias("all_files"),
+        F.coalesce(F.when(first, F.col("skipped_files")), F.lit("")).alias("skipped_files"),
+        F.coalesce(F.when(first, F.col("languages")), F.array()).alias("languages"),
+        F.coalesce(F.when(first, F.col("frameworks")), F.array()).alias("frameworks"),
     )
 
 
@@ -155,6 +168,13 @@ def report_envelopes(reports: DataFrame) -> DataFrame:
         F.octet_length("json").alias("original_size"),
     )
     size = F.octet_length(F.unbase64("data"))
+    # The whole envelope as JSON is what travels, and what the saving is measured by.
+    envelope = F.octet_length(
+        F.format_string(
+            '{"compressed": true, "data": "%s", "original_size": %d, "compressed_size": %d}',
+            "data", "original_size", size,
+        )
+    )
     return packed.select(
         "project",
         "part",
@@ -162,7 +182,7 @@ def report_envelopes(reports: DataFrame) -> DataFrame:
         "data",
         "original_size",
         size.alias("compressed_size"),
-        F.round((1 - F.octet_length("data") / F.col("original_size")) * 100, 1).alias("saving"),
+        F.round((1 - envelope / F.col("original_size")) * 100, 1).alias("saving"),
     )
 
 
@@ -233,10 +253,8 @@ def write_quality_report(samples: DataFrame, path: str, rules=settings.RULES) ->
 
 def write_samples(samples: DataFrame, path: str) -> dict[str, str]:
     """One text file set per class below a new path; refuses a path that exists already."""
-    targets = {"positives": f"{path}/label=1", "negatives": f"{path}/label=0"}
-    for label, target in ((1, targets["positives"]), (0, targets["negatives"])):
-        samples.filter(F.col("label") == label).select("text").write.mode("error").text(target)
-    return targets
+    samples.select("text", "label").write.mode("error").partitionBy("label").text(path)
+    return {"positives": f"{path}/label=1", "negatives": f"{path}/label=0"}
 
 
 def write_repaired(samples: DataFrame, base: str, rules=settings.RULES) -> dict[str, str]:

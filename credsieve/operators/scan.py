@@ -273,13 +273,35 @@ def first_rule(text: Column, low: Column, rules=settings.RULES) -> Column:
 
 
 def mask_findings(findings: DataFrame) -> DataFrame:
-    """Star the secrets, also where the context repeats them.
+    """Star the secrets, also where a context holds them: its own and all others of its line.
 
-    A summary row holds nothing but secrets below its first two lines, which go.
+    A character is starred when it is so for any of the line's secrets, so overlapping ones leave
+    nothing in clear. A summary row holds nothing but secrets below its first two lines, which go.
     """
     hidden = tx.mask(F.col("secret"))
-    masked = F.replace("context", F.trim(F.col("secret"), F.lit("\n")), hidden)
     special = F.col("type").isin(list(settings.SPECIAL_TYPES))
+    bare = F.trim(F.col("secret"), F.lit("\n"))
+    # The secrets of one line: at most one per rule.
+    secrets = (
+        findings.filter(~special & (bare != ""))
+        .groupBy("project", "path", "line")
+        .agg(F.collect_set(bare).alias("_secrets"))
+    )
+    views = F.transform("_secrets", lambda s: F.replace(F.col("context"), s, tx.mask(s)))
+    masked = F.aggregate(
+        F.coalesce(views, F.array().cast("array<string>")),
+        F.col("context"),
+        lambda text, view: F.when(text == view, text).otherwise(
+            F.array_join(
+                F.zip_with(
+                    F.split(text, ""), F.split(view, ""), lambda x, y: F.when(y == "*", y).otherwise(x)
+                ),
+                "",
+            )
+        ),
+    )
+    columns = findings.columns
+    findings = findings.join(secrets, ["project", "path", "line"], "left")
     return findings.select(
         *[
             {
@@ -288,7 +310,7 @@ def mask_findings(findings: DataFrame) -> DataFrame:
                 .otherwise(masked)
                 .alias("context"),
             }.get(name, F.col(name))
-            for name in findings.columns
+            for name in columns
         ]
     )
 

@@ -17,7 +17,7 @@ from credsieve.operators import classify, inventory, quality, repair, report, sc
 from credsieve.plans import fixtures as fx
 from credsieve.plans import scans
 from credsieve.session import shared_dir
-from credsieve.sources.archives import archive_files, expand_archives
+from credsieve.sources.archives import expand_archives
 from credsieve.sources.files import to_lines, with_names
 from credsieve.sources.samples import clean_evaluation
 from credsieve.streaming.scan_stream import read_findings, start_scan
@@ -28,8 +28,7 @@ LINE_CAP = 2000
 EVIDENCE_CAP = 8
 LISTED_CAP = 7
 
-# A group the default language map leaves to the user.
-LANGUAGES = {**settings.LANGUAGES, "archive": (".zip", ".gz"), "forbidden": (".zip", ".gz")}
+BROKEN_PROJECT = "src3"
 
 
 def _rounded(frame: DataFrame, digits: int = 6) -> DataFrame:
@@ -100,7 +99,7 @@ def findings_by_project(spark, sf_dir):
 
 def mask_secrets(spark, sf_dir):
     return scan.mask_findings(scan.scan_files(fx.files(spark, sf_dir))).select(
-        "project", "path", "line", "type", "secret"
+        "project", "path", "line", "type", "secret", "context"
     )
 
 
@@ -114,11 +113,15 @@ def path_parts(spark, sf_dir):
 
 
 def language_summary(spark, sf_dir):
-    return inventory.language_summary(fx.files(spark, sf_dir), LANGUAGES).withColumn(
+    return inventory.language_summary(fx.files(spark, sf_dir)).withColumn(
         "extensions", F.array_join("extensions", ",")
     )
 
 
+def language_extensions(spark, sf_dir):
+    return inventory.language_extensions(fx.files(spark, sf_dir))
+
+
 def _evidence(spark, sf_dir):
     """Evidence with all files in one project, so that the caps are reached."""
     files = fx.files(spark, sf_dir).withColumn("project", F.lit("all"))
@@ -263,6 +266,16 @@ def ngram_frequencies(spark, sf_dir):
     return classify.ngram_frequencies(fx.table(spark, sf_dir, "conversations").select("text"))
 
 
+def idf_weights(spark, sf_dir):
+    texts = fx.table(spark, sf_dir, "conversations").select("text")
+    return _rounded(classify.idf_weights(texts))
+
+
+def tfidf_features(spark, sf_dir):
+    texts = fx.table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return _rounded(classify.tfidf_features(texts, "item_id"))
+
+
 def _probabilities(spark, sf_dir):
     """Made-up probabilities of two texts per order line."""
     return fx.table(spark, sf_dir, "lineitem").select(
@@ -314,12 +327,12 @@ def evaluation_samples(spark, sf_dir):
 _MODELS: dict[tuple, object] = {}
 
 
-def _model(spark, sf_dir, iterations=20):
+def _model(spark, sf_dir):
     """The model of the training split, fitted once per session, and the test split."""
     training, test = classify.split(fx.samples(spark, sf_dir))
-    key = (spark.sparkContext.applicationId, sf_dir, iterations)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MODELS:
-        _MODELS[key] = classify.fit(training, max_iterations=iterations)
+        _MODELS[key] = classify.fit(training)
     return _MODELS[key], test
 
 
@@ -425,12 +438,33 @@ def _archives(spark, sf_dir):
 
 def archive_members(spark, sf_dir):
     return expand_archives(_archives(spark, sf_dir)).select(
-        "project", "path", F.octet_length("raw").alias("bytes")
+        "project", "path", F.octet_length("raw").alias("bytes"), "problem"
     )
 
 
 def archive_scan(spark, sf_dir):
-    return scan.scan_files(archive_files(_archives(spark, sf_dir)))
+    return scans.scan_archives(_archives(spark, sf_dir)).findings
+
+
+def archive_inventory(spark, sf_dir):
+    result = scans.scan_archives(_archives(spark, sf_dir))
+
+    def number(rows, name):
+        return rows.groupBy("project").agg(F.count("*").alias(name))
+
+    totals = result.exclusions.select("project", "all_files", "files_excluded", "skipped_files")
+    joined = totals.join(number(result.languages, "n_languages"), "project", "left").join(
+        number(result.frameworks, "n_frameworks"), "project", "left"
+    )
+    return joined.fillna(0, ["n_languages", "n_frameworks"])
+
+
+def archive_report(spark, sf_dir):
+    """Reports of archives, those of one project damaged."""
+    damaged = F.when(F.col("project") == BROKEN_PROJECT, F.lit(b"no archive")).otherwise(F.col("content"))
+    archives = _archives(spark, sf_dir).withColumn("content", damaged)
+    reports = scans.report_archives(fx.requests(spark, sf_dir), archives)
+    return reports.select("status", "message", "project", "all_files", F.size("results").alias("n_results"))
 
 
 def stream_scan(spark, sf_dir):
@@ -459,14 +493,15 @@ QUERIES = {
     for query in (
         line_split, rule_scan, rule_hits_all, false_positive_filter, long_line_rows, cap_per_file,
         scan_findings, file_exclusion, exclusion_summary, findings_by_project, mask_secrets,
-        path_parts, language_summary, framework_files, framework_evidence, framework_report,
+        path_parts, language_summary, language_extensions, framework_files, framework_evidence, framework_report,
         code_patterns, merged_detections, quality_basic, quality_duplicates, quality_overlap,
         duplicate_examples, quality_coverage, uncovered_examples, quality_issues, issue_examples,
         quality_patterns, quality_prefixes, top_lengths, entropy_stats, raw_line_issues,
         quality_scorecard, quality_recommendations, repair_dataset, repair_dataset_covered,
-        repair_report, repair_report_covered, quality_report_before_after, ngram_frequencies,
-        blend_severity, confusion_metrics, wrong_predictions, evaluation_samples, train_score,
+        repair_report, repair_report_covered, quality_report_before_after, ngram_frequencies, idf_weights,
+        tfidf_features, blend_severity, confusion_metrics, wrong_predictions, evaluation_samples, train_score,
         evaluate_model, predict_pairs, model_info, training_split, request_check, request_validation,
-        repo_url_parts, scan_report, archive_members, archive_scan, stream_scan,
+        repo_url_parts, scan_report, archive_members, archive_scan,
+        archive_inventory, archive_report, stream_scan,
     )
 }

@@ -139,10 +139,21 @@ def _languages(languages) -> str:
     return f"""languages(language, ext) AS (VALUES {rows}),
 language_rows AS (
   SELECT project, coalesce(language, 'Other') AS language, count(*) AS files,
-         string_agg(DISTINCT f.ext, ',' ORDER BY f.ext) AS extensions
+         coalesce(string_agg(DISTINCT l.ext, ',' ORDER BY l.ext), '') AS extensions
   FROM files f LEFT JOIN languages l ON f.ext = l.ext GROUP BY ALL)"""
 
 
+def _grams(table: str, key: str) -> str:
+    """CTE ``grams``: every character n-gram of every word of a table's texts."""
+    return f"""words AS (
+  SELECT {key}, concat(' ', unnest(string_split(trim(
+    regexp_replace(lower(text), '[{fx.SPACES}]+', ' ', 'g')), ' ')), ' ') AS word FROM {table}),
+grams AS (
+  SELECT {key}, substr(word, k, n) AS ngram
+  FROM (SELECT *, unnest(generate_series(1, length(word) - n + 1)) AS k
+        FROM (SELECT *, unnest([3, 4, 5]) AS n FROM words WHERE word <> '  ')))"""
+
+
 def _framework_rows() -> str:
     selects = []
     for name, rule in settings.FRAMEWORKS.items():
@@ -449,15 +460,28 @@ SELECT project, type, severity, count(*) AS findings FROM findings GROUP BY ALL"
 SELECT project, path, line, type,
   CASE WHEN type IN {_listed(settings.SPECIAL_TYPES)} THEN secret
        WHEN length(secret) < 4 THEN repeat('*', length(secret))
-       ELSE concat(substr(secret, 1, 4), repeat('*', length(secret) - 4)) END AS secret
-FROM findings""",
+       ELSE concat(substr(secret, 1, 4), repeat('*', length(secret) - 4)) END AS secret,
+  CASE WHEN type IN {_listed(settings.SPECIAL_TYPES)} THEN string_split(context, chr(10))[1]
+       ELSE array_to_string(list_transform(range(1, length(context) + 1), lambda i:
+         CASE WHEN len(list_filter(views, lambda v: substr(v, i, 1) = '*')) > 0 THEN '*'
+              ELSE substr(context, i, 1) END), '') END AS context
+FROM (SELECT f.*, (
+  SELECT list(DISTINCT replace(f.context, s, CASE WHEN length(s) < 4 THEN repeat('*', length(s))
+                               ELSE concat(substr(s, 1, 4), repeat('*', length(s) - 4)) END))
+  FROM (SELECT trim(g.secret, chr(10)) AS s FROM findings g
+        WHERE g.project = f.project AND g.path = f.path AND g.line = f.line
+          AND g.type NOT IN {_listed(settings.SPECIAL_TYPES)}) WHERE s <> '') AS views
+  FROM findings f)""",
     "path_parts": """WITH below AS (
   SELECT page_id, CASE WHEN starts_with(url, 'https://') THEN substr(url, 9) ELSE url END AS path
   FROM pages),
 named AS (SELECT *, regexp_extract(path, '[^/]*$') AS file_name FROM below)
 SELECT *, lower(regexp_extract(file_name, '^\\.*[^.].*(\\.[^.]*)$', 1)) AS ext FROM named""",
-    "language_summary": f"""WITH {fx.SQL_FILES}, {_languages(catalog.LANGUAGES)}
+    "language_summary": f"""WITH {fx.SQL_FILES}, {_languages(settings.LANGUAGES)}
 SELECT * FROM language_rows""",
+    "language_extensions": f"""WITH {fx.SQL_FILES}, {_languages(settings.LANGUAGES)}
+SELECT project, coalesce(language, 'Other') AS language, f.ext, count(*) AS files
+FROM files f LEFT JOIN languages l ON f.ext = l.ext GROUP BY ALL""",
     "framework_files": f"""WITH {fx.SQL_FILES}, {_framework_rows()}
 SELECT project, path, framework, kind, array_to_string(dependencies, ',') AS dependencies
 FROM evidence_rows""",
@@ -574,6 +598,17 @@ grams AS (
 SELECT ngram, count(*) AS occurrences,
        count(DISTINCT concat(conv_id, '/', turn, '/', role)) AS texts
 FROM grams GROUP BY ngram""",
+    "idf_weights": f"""WITH {_grams("conversations", "conv_id, turn, role")}
+SELECT ngram, count(*) AS texts,
+       round(ln((1 + (SELECT count(*) FROM conversations)) / (1 + count(*))) + 1, 6) AS idf
+FROM (SELECT DISTINCT conv_id, turn, role, ngram FROM grams) GROUP BY ngram""",
+    "tfidf_features": f"""WITH {_grams("benchmark", "item_id")},
+terms AS (SELECT item_id, ngram, count(*) AS tf FROM grams GROUP BY ALL),
+idfs AS (SELECT ngram, ln((1 + (SELECT count(*) FROM benchmark)) / (1 + count(*))) + 1 AS idf
+         FROM terms GROUP BY ngram)
+SELECT item_id, ngram, round(tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY item_id)), 6)
+       AS weight
+FROM terms JOIN idfs USING (ngram)""",
     "blend_severity": f"""WITH {_PROBABILITIES},
 blended AS (
   SELECT *, CASE WHEN c IS NULL THEN p ELSE (p * 1.0::DOUBLE + c * 0.8::DOUBLE) / 1.8::DOUBLE END
@@ -621,7 +656,7 @@ FROM samples UNION ALL
 SELECT 'non_secrets_dataset_size', CAST(count(*) FILTER (label = 0) AS VARCHAR) FROM samples
 UNION ALL SELECT 'total_dataset_size', CAST(count(*) AS VARCHAR) FROM samples
 UNION ALL SELECT 'vocabulary_size', CAST(count(*) AS VARCHAR) FROM grams
-UNION ALL VALUES ('model_type', 'LogisticRegressionModel'), ('max_iterations', '20'),
+UNION ALL VALUES ('model_type', 'LogisticRegressionModel'), ('max_iterations', '1000'),
   ('vectorizer_type', 'CountVectorizerModel'), ('analyzer', 'char_wb'), ('ngram_range', '3-5')""",
     "training_split": f"""WITH {fx.SQL_SAMPLES}
 SELECT CASE WHEN {_TRAINING} THEN 'training' ELSE 'test' END AS part, label, count(*) AS rows
@@ -662,8 +697,30 @@ SELECT CASE WHEN e.all_files IS NULL THEN 'Error' ELSE 'completed' END AS status
     AS INTEGER) AS n_frameworks
 FROM requests r LEFT JOIN exclusions e ON e.project = r.project""",
     "archive_members": f"""WITH {fx.SQL_FILES}
-SELECT project, unnest([path, concat('../evil/', path), concat('/abs/', path)]) AS path,
-       CAST(strlen(content) AS INTEGER) AS bytes FROM files""",
+SELECT project, path, CAST(strlen(content) AS INTEGER) AS bytes, CAST(NULL AS VARCHAR) AS problem
+FROM files UNION ALL
+SELECT project, unnest([concat('../evil/', path), concat('/abs/', path)]), NULL, 'unsafe path'
+FROM files""",
+    "archive_inventory": f"""WITH {fx.SQL_FILES}, {_EXCLUSIONS}, {_languages(settings.LANGUAGES)},
+{_framework_rows()}
+SELECT project, all_files, files_excluded, skipped_files,
+  (SELECT count(*) FROM language_rows l WHERE l.project = e.project) AS n_languages,
+  (SELECT count(DISTINCT (framework, kind)) FROM evidence_rows v WHERE v.project = e.project)
+    AS n_frameworks
+FROM exclusions e""",
+    "archive_report": f"""WITH {_FINDINGS}, {_EXCLUSIONS}, {fx.SQL_REQUESTS.replace("names AS", "req_names AS")
+      .replace("FROM names", "FROM req_names")}
+SELECT CASE WHEN e.all_files IS NULL OR broken THEN 'Error' ELSE 'completed' END AS status,
+  CASE WHEN broken AND e.all_files IS NOT NULL
+         THEN 'Process Error: unreadable archive: File is not a zip file'
+       WHEN e.all_files IS NULL THEN 'Process Error: the project has no readable files'
+       ELSE 'Scanned Successfully' END AS message,
+  r.project, CASE WHEN broken THEN 0 ELSE coalesce(e.all_files, 0) END AS all_files,
+  CAST(CASE WHEN broken THEN 0
+            ELSE (SELECT count(*) FROM findings f WHERE f.project = r.project) END AS INTEGER)
+    AS n_results
+FROM (SELECT *, project = '{catalog.BROKEN_PROJECT}' AS broken FROM requests) r
+LEFT JOIN exclusions e ON e.project = r.project""",
     "archive_scan": f"WITH {_FINDINGS} SELECT * FROM findings",
     "stream_scan": f"""WITH {_DOC_FILES}, {_findings("SELECT * FROM docs_as_files")},
 {_capped(settings.MAX_SECRETS_PER_FILE)} SELECT * FROM findings""",

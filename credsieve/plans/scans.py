@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from credsieve import settings
 from credsieve.operators import classify, inventory, quality, repair, report, scan
 from credsieve.session import materialize
-from credsieve.sources.archives import archive_files
+from credsieve.sources.archives import archive_problems, expand_archives, member_files
 
 
 class ScanResult(NamedTuple):
@@ -56,21 +56,13 @@ def _report(requests: DataFrame, result: ScanResult, masked: bool) -> DataFrame:
     return report.scan_report(requests, *stored, masked=masked)
 
 
-def _requested(files: DataFrame, requests: DataFrame) -> DataFrame:
-    """Files of the requested projects.
+def scan_requests(requests: DataFrame, files: DataFrame, model=None, masked=True, **options):
+    """Reports of all requested projects in one run; a project that fails leaves the others be.
 
-    Their names are broadcast while they are few, so contents stay where they are. For more, all
-    files are scanned and the report's join with the requests picks among the results instead.
+    The requests pick among the results: contents are neither counted nor joined. Where ``files`` is
+    partitioned by project, filter it by the projects beforehand.
     """
-    names = requests.select(F.col("ProjectName").alias("project")).distinct()
-    if names.limit(settings.BROADCAST_ROWS + 1).count() > settings.BROADCAST_ROWS:
-        return files
-    return files.join(F.broadcast(names), "project", "left_semi")
-
-
-def scan_requests(requests: DataFrame, files: DataFrame, model=None, masked=True, **options):
-    """Reports of all requested projects in one run; a project that fails leaves the others be."""
-    return _report(requests, scan_projects(_requested(files, requests), model, **options), masked)
+    return _report(requests, scan_projects(files, model, **options), masked)
 
 
 def scan_request(
@@ -82,9 +74,30 @@ def scan_request(
     return _report(one, scan_projects(mine, model, **options), masked)
 
 
-def scan_archives(archives: DataFrame, filtered: bool = True, **options) -> ScanResult:
-    """The scan of uploaded archives (project, content)."""
-    return scan_projects(archive_files(archives, filtered), **options)
+def scan_archives(archives: DataFrame, **options) -> ScanResult:
+    """The scan of uploaded archives (project, content). They are expanded once, into the shared
+    folder, as four plans read them."""
+    return scan_projects(member_files(materialize(expand_archives(archives))), **options)
+
+
+def report_archives(requests: DataFrame, archives: DataFrame, model=None, masked=True, **options):
+    """Reports of archives; one that cannot be read gives status Error and leaves the others be."""
+    members = materialize(expand_archives(archives))
+    problems = (
+        archive_problems(members)
+        .groupBy("project")
+        .agg(F.min("problem").alias("problem"), F.count("*").alias("broken"))
+    )
+    reports = _report(requests, scan_projects(member_files(members), model, **options), masked)
+    joined = reports.join(problems, "project", "left")
+    failed = F.col("problem").isNotNull()
+    lost = (F.col("status") == "Error") & failed
+    message = (
+        F.when(lost, F.concat(F.lit("Process Error: "), "problem"))
+        .when(failed, F.concat("message", F.lit(" without "), "broken", F.lit(" unreadable members")))
+        .otherwise(F.col("message"))
+    )
+    return joined.withColumn("message", message).select(*reports.columns)
 
 
 def quality_before_after(samples: DataFrame, rules=settings.RULES) -> DataFrame:

@@ -163,9 +163,15 @@ EXCLUDED_FILES = (
     "gemfile.lock",
 )
 
-# The source-code part of the language map. The remaining groups (media, documents, binaries,
-# configuration and so on) are a parameter: read them with ``sources.tables.load_languages`` and
-# pass them to ``language_summary``. An extension in no group counts as "Other".
+_ARCHIVES = (
+    ".zip", ".rar", ".7z", ".tar", ".gz", ".txz", ".tgz", ".zpaq", ".bz", ".bz2", ".xz", ".tar.gz",
+    ".tar.bz2", ".tar.xz",
+)
+_BINARIES = (
+    ".exe", ".dll", ".so", ".dylib", ".lib", ".bin", ".deb", ".rpm", ".msi", ".pkg", ".pyc", ".whl",
+)
+
+# An extension in no group counts as "Other".
 LANGUAGES = {
     "python": (".py", ".pyo", ".pyw", ".pyz", ".ipynb", ".pyi", ".pth", ".pyx", ".pxd", ".pxi",
                ".wsgi", ".py3"),
@@ -189,18 +195,35 @@ LANGUAGES = {
     "shell": (".sh", ".bash", ".zsh", ".fish", ".ksh", ".csh", ".tcsh", ".dash"),
     "powershell": (".ps1", ".psm1", ".psd1", ".ps1xml", ".psc1", ".pssc", ".psrc", ".cdxml"),
     "markdown": (".md", ".markdown", ".mdown", ".mkd", ".mkdn", ".mdx"),
-    "dockerfile": ("dockerfile", ".dockerfile", "containerfile", ".containerfile"),
+    "dockerfile": ("dockerfile", ".dockerfile", "Dockerfile", "Containerfile", ".containerfile"),
     "certs": (".certs", ".pem", ".crt", ".cer", ".der", ".p12", ".pfx", ".p7b", ".p7c", ".key",
               ".pub", ".csr", ".ca-bundle"),
     "perl": (".pl", ".pm", ".pod", ".t"),
     "lua": (".lua",),
     "dart": (".dart",),
-    "r": (".r", ".rmd", ".rnw"),
+    "r": (".r", ".R", ".rmd", ".rnw"),
     "matlab": (".m", ".mat", ".fig", ".mlx"),
     "haskell": (".hs", ".lhs"),
     "clojure": (".clj", ".cljs", ".cljc", ".edn"),
     "erlang": (".erl", ".hrl"),
     "elixir": (".ex", ".exs"),
+    "archive": _ARCHIVES,
+    "image": (".jpg", ".jpeg", ".png", ".gif", ".bmp", ".svg", ".webp", ".ico", ".tiff", ".tif"),
+    "video": (".mp4", ".avi", ".mkv", ".mov", ".wmv", ".flv", ".webm", ".m4v"),
+    "audio": (".mp3", ".wav", ".flac", ".aac", ".ogg", ".wma", ".m4a"),
+    "document": (".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".odt", ".ods", ".odp",
+                 ".rtf", ".txt"),
+    "fonts": (".ttf", ".otf", ".woff", ".woff2", ".eot"),
+    "backup": (".bak", ".backup", ".old", ".orig", ".tmp", ".temp", ".swp", ".swo", ".~"),
+    "logs": (".log", ".out", ".err", ".trace"),
+    "binary": _BINARIES,
+    "forbidden": (*_BINARIES, *_ARCHIVES, ".ear", ".iso", ".jar", ".res", ".war", ".db", ".dbf",
+                  ".h4", ".h5", ".hdf", ".hdf4", ".hdf5", ".he2", ".he5", ".onnx", ".ort", ".pb",
+                  ".pck", ".pcl", ".pickle", ".pkl", ".pmml", ".protobuf", ".tflite"),
+    "conf": (".ini", ".cfg", ".conf", ".config", ".toml", ".properties", ".yaml", ".yml", ".json",
+             ".json5", ".xml", ".xsd", ".xsl", ".xslt", ".env", ".dotenv", ".editorconfig",
+             ".gitconfig", ".vimrc", ".bashrc", ".zshrc", ".profile", ".settings", ".prefs",
+             ".plist", ".reg"),
 }
 
 FRAMEWORKS = {
@@ -238,8 +261,6 @@ MAX_SECRETS_PER_FILE = 50
 MAX_LINE_LENGTH = 15_000
 MAX_EVIDENCE_FILES = 101
 MAX_LISTED_FILES = 100
-MAX_PATH_LENGTH = 250
-SHORTENED_NAME_LENGTH = 100
 
 SECRET_WEIGHT = 1.0
 CONTEXT_WEIGHT = 0.8

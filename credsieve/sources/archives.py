@@ -3,97 +3,87 @@
 from __future__ import annotations
 
 import io
+import lzma
+import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credsieve import settings
 from credsieve.functions import text as tx
 from credsieve.sources.files import BATCH_BYTES, decode, with_names
 
 _MEMBERS = "project string, path string, raw binary, problem string"
+_COLUMNS = ["project", "path", "raw", "problem"]
+#: What a damaged archive or member raises.
+_BROKEN = (
+    zipfile.BadZipFile, zlib.error, lzma.LZMAError, EOFError, OSError, NotImplementedError,
+    RuntimeError, ValueError,
+)
+_UNSAFE = re.compile(r"^[/\\]|^[A-Za-z]:|\.\.")
 
 
 def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Members of each archive, handed on in batches of bounded size."""
-    columns = ["project", "path", "raw", "problem"]
+    """Members of each archive, handed on in batches of bounded size.
+
+    Unsafe paths are told by the name, before anything is decompressed. A member that cannot be
+    read leaves the others be.
+    """
     for batch in batches:
         for project, content in zip(batch["project"], batch["content"]):
             rows, held = [], 0
             try:
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
                     for member in archive.infolist():
+                        path = member.filename
                         if member.is_dir():
                             continue
-                        raw = archive.read(member)
-                        rows.append((project, member.filename, raw, None))
+                        if _UNSAFE.search(path):
+                            rows.append((project, path, None, "unsafe path"))
+                            continue
+                        try:
+                            raw = archive.read(member)
+                        except _BROKEN as error:
+                            rows.append((project, path, None, f"unreadable member: {error}"))
+                            continue
+                        rows.append((project, path, raw, None))
                         held += len(raw)
                         if held >= BATCH_BYTES:
-                            yield pd.DataFrame(rows, columns=columns)
+                            yield pd.DataFrame(rows, columns=_COLUMNS)
                             rows, held = [], 0
-            except (zipfile.BadZipFile, NotImplementedError, RuntimeError) as error:
+            except _BROKEN as error:
                 rows.append((project, None, None, f"unreadable archive: {error}"))
             if rows:
-                yield pd.DataFrame(rows, columns=columns)
+                yield pd.DataFrame(rows, columns=_COLUMNS)
 
 
 def expand_archives(archives: DataFrame) -> DataFrame:
     """Members (project, path, raw, problem) of archives (project, content).
 
-    An archive that cannot be read gives one row with its problem and no path.
+    What cannot or must not be read has its problem instead of its content: an archive (without a
+    path), a member, or a path that is absolute or climbs up.
     """
     return archives.select("project", "content").mapInPandas(_expand, _MEMBERS)
 
 
-def safe_members(
-    members: DataFrame,
-    extensions=settings.EXCLUDED_EXTENSIONS,
-    names=settings.EXCLUDED_FILES,
-) -> DataFrame:
-    """Drop absolute paths, paths with ``..``, and excluded names and extensions.
-
-    Both exclusions look at the lower-cased base name.
-    """
-    name = F.lower(tx.base_name(F.col("path")))
-    unsafe = F.col("path").rlike(r"^[/\\]|^[A-Za-z]:") | F.contains("path", F.lit(".."))
-    return members.filter(
-        F.col("path").isNotNull()
-        & ~unsafe
-        & ~name.isin(list(names))
-        & ~tx.extension(name).isin(list(extensions))
-    )
+def member_files(members: DataFrame) -> DataFrame:
+    """Files (project, path, file_name, ext, content) of the members that could be read."""
+    sound = members.filter(F.col("problem").isNull())
+    return with_names(sound.select("project", "path", decode(F.col("raw")).alias("content")))
 
 
-def shorten_paths(
-    members: DataFrame,
-    root: str = "",
-    longest: int = settings.MAX_PATH_LENGTH,
-    name_length: int = settings.SHORTENED_NAME_LENGTH,
-) -> DataFrame:
-    """Cut the file name where the path below ``root`` would be too long."""
-    name = tx.base_name(F.col("path"))
-    folder = F.substring(F.col("path"), 1, F.length("path") - F.length(name))
-    full = F.length("path") + len(root.rstrip("/") + "/" if root else "")
-    return members.withColumn(
-        "path",
-        F.when(full > longest, F.concat(folder, F.substring(name, 1, name_length))).otherwise(
-            F.col("path")
-        ),
-    )
+def archive_problems(members: DataFrame) -> DataFrame:
+    """(project, path, problem) of what could not be read. Unsafe paths are left out on purpose."""
+    broken = F.col("problem").isNotNull() & (F.col("problem") != "unsafe path")
+    return members.filter(broken).select("project", "path", "problem")
 
 
-def archive_files(archives: DataFrame, filtered: bool = True, root: str = "") -> DataFrame:
-    """Files (project, path, file_name, ext, content) of archives (project, content)."""
-    members = expand_archives(archives).filter(F.col("path").isNotNull())
-    if filtered:
-        members = safe_members(members)
-    shaped = shorten_paths(members, root).select(
-        "project", "path", decode(F.col("raw")).alias("content")
-    )
-    return with_names(shaped)
+def archive_files(archives: DataFrame) -> DataFrame:
+    """Files of archives (project, content); exclusion is left to the scan."""
+    return member_files(expand_archives(archives))
 
 
 def read_archives(spark: SparkSession, pattern: str) -> DataFrame:

@@ -9,7 +9,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from credsieve.functions import text as tx
 
@@ -17,19 +16,22 @@ from credsieve.functions import text as tx
 BATCH_BYTES = 16 << 20
 
 
-@F.pandas_udf(T.StringType())
-def _decode_dropping_invalid(content: pd.Series) -> pd.Series:
-    return content.map(lambda raw: None if raw is None else bytes(raw).decode("utf-8", "ignore"))
+_GENUINE, _GUARD = "\ufffd", "\ue000"
 
 
 def decode(content: Column) -> Column:
     """Text of a binary column; bytes that are not UTF-8 are dropped.
 
-    Valid rows stay in the JVM. Only the invalid ones carry bytes to Python; the others pass null.
+    Spark marks such bytes with U+FFFD. Genuine ones are written as a guard and a digit meanwhile,
+    as is the guard itself.
     """
     plain = content.cast("string")
-    valid = F.is_valid_utf8(plain)
-    return F.when(valid, plain).otherwise(_decode_dropping_invalid(F.when(~valid, content)))
+    guarded = F.replace(plain, F.lit(_GUARD), F.lit(f"{_GUARD}0"))
+    guarded = F.replace(guarded, F.lit(_GENUINE), F.lit(f"{_GUARD}1"))
+    cleared = F.replace(F.make_valid_utf8(guarded), F.lit(_GENUINE), F.lit(""))
+    restored = F.replace(cleared, F.lit(f"{_GUARD}1"), F.lit(_GENUINE))
+    restored = F.replace(restored, F.lit(f"{_GUARD}0"), F.lit(_GUARD))
+    return F.when(F.is_valid_utf8(plain), plain).otherwise(restored)
 
 
 def spread(files: DataFrame) -> DataFrame:

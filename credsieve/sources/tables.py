@@ -82,19 +82,19 @@ def check_settings(spark: SparkSession, data, kind: str) -> DataFrame:
 
 
 def _require(data, kind: str):
-    problems = [p for p in settings_problems(data, kind) if "regular expression" not in p[2]]
+    problems = settings_problems(data, kind)
     if problems:
         raise ValueError(f"{kind}: {problems}")
     return data
 
 
 def load_rules(spark: SparkSession, path: str) -> tuple[Rule, ...]:
-    """Rules of a file, in order. Rules whose pattern does not compile are left out."""
-    rules = [
+    """Rules of a file, in order. A file with any problem is refused as a whole, so that no detector
+    is switched off by a typo; ``check_settings`` lists the problems."""
+    return tuple(
         Rule(*(rule[name] for name in RULE_FIELDS), tuple(rule.get("keywords") or ()) or None)
         for rule in _require(read_settings(spark, path), "rules")
-    ]
-    return tuple(rule for rule in rules if compile_problem(rule.pattern) is None)
+    )
 
 
 def load_values(spark: SparkSession, path: str, kind: str) -> tuple[str, ...]:

@@ -38,16 +38,19 @@ def start_scan(
     scan: Callable[[DataFrame], DataFrame] = scan_files,
     once: bool = False,
 ) -> StreamingQuery:
-    """Scan each micro-batch and write its findings to ``output/batch=<id>``.
+    """Scan each micro-batch and write its findings to ``output/query=<id>/batch=<id>``.
 
-    A batch that is replayed after a failure overwrites its own folder and nothing else.
+    The query's id lives in its checkpoint. A batch that is replayed after a failure overwrites its
+    own folder and nothing else; a new checkpoint into the same output adds to it.
     """
+    key = "sql.streaming.queryId"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         findings = scan(batch)
         if model is not None:
             findings = score_findings(findings, model)
-        findings.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+        query = batch.sparkSession.sparkContext.getLocalProperty(key)
+        findings.write.mode("overwrite").parquet(f"{output}/query={query}/batch={batch_id}")
 
     writer = files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if once:
@@ -57,4 +60,4 @@ def start_scan(
 
 def read_findings(spark: SparkSession, output: str) -> DataFrame:
     """All findings written so far."""
-    return spark.read.parquet(output).drop("batch")
+    return spark.read.parquet(output).drop("query", "batch")

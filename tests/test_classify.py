@@ -88,7 +88,12 @@ def test_store(spark, samples, tmp_path):
     with pytest.raises(Exception):
         classify.load_or_fit(path)
     made = classify.load_or_fit(path, samples, max_iterations=10)
-    loaded = classify.load_or_fit(path)
+    loaded = classify.load_or_fit(path, samples, max_iterations=1)  # what is there is kept
+    assert loaded.stages[-1].getMaxIter() == 10
+    (tmp_path / "broken").mkdir()
+    with pytest.raises(Exception):
+        classify.load_or_fit(str(tmp_path / "broken"), samples)
+    assert not list((tmp_path / "broken").iterdir())
     texts = [r["p_secret"] for r in classify.predict_samples(made, samples).orderBy("text").collect()]
     assert texts == [
         r["p_secret"] for r in classify.predict_samples(loaded, samples).orderBy("text").collect()

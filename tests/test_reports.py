@@ -50,6 +50,10 @@ def test_large_projects_take_several_records(files, requests):
     rows = report.scan_report(requests, *result, per_record=15).filter("project = 'one'").collect()
     assert {r["parts"] for r in rows} == {3} and {r["part"] for r in rows} <= {0, 1, 2}
     assert sorted(f["path"] for r in rows for f in r["results"]) == sorted(f"f{i}.py" for i in range(40))
+    # A sum over records counts the project once.
+    [whole] = report.scan_report(requests, *result).filter("project = 'one'").collect()
+    assert sum(r["all_files"] for r in rows) == whole["all_files"] > 0
+    assert sum(len(r["languages"]) for r in rows) == len(whole["languages"])
 
 
 def test_envelopes_and_files(spark, files, requests, tmp_path):
@@ -60,6 +64,9 @@ def test_envelopes_and_files(spark, files, requests, tmp_path):
         assert (len(plain), len(packed)) == (row["original_size"], row["compressed_size"])
         assert json.loads(plain)["project"] == row["project"]
         assert row["compressed"] is True
+        names = ("compressed", "data", "original_size", "compressed_size")
+        envelope = json.dumps({name: row[name] for name in names})
+        assert row["saving"] == pytest.approx((1 - len(envelope) / row["original_size"]) * 100, abs=0.06)
     path = str(tmp_path / "reports")
     report.write_reports(reports, path)
     assert list((tmp_path / "reports").glob("*.json.gz"))
@@ -129,7 +136,7 @@ def test_stream_equals_batch(spark, tmp_path):
     streamed = scan_stream.read_findings(spark, out)
     batch = scan_files(read_tree(spark, str(root)))
     assert sorted(streamed.collect()) == sorted(batch.select(streamed.columns).collect())
-    assert batch.count() == 14 and len(list((tmp_path / "out").glob("batch=*"))) >= 4
+    assert batch.count() == 14 and len(list((tmp_path / "out").glob("query=*/batch=*"))) >= 4
 
 
 def test_shared_dir_is_the_one_the_cluster_names(spark):

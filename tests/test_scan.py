@@ -139,6 +139,22 @@ def test_masking_hides_the_context_too(spark):
     assert by_path["b"]["context"] == "Secrets found: 3"
 
 
+def test_masking_hides_all_secrets_of_a_line(spark):
+    slack = "xoxb-123456789012-123456789012-123456789012-" + "0123456789abcdef" * 2
+    line = f"api_key=abcdefgh1234 {'-' * 100} {slack} password=Aa1!bcdefgh"
+    rows = scan.mask_findings(scan.scan_files(make_files(spark, [("p", "a", line)]))).collect()
+    assert len(rows) >= 3
+    for row in rows:
+        assert slack[4:] not in row["context"] and "abcdefgh1234" not in row["context"]
+        assert "Aa1!bcdefgh" not in row["context"] and len(row["context"]) == len(line)
+
+
+def test_default_language_map_is_whole():
+    assert len(settings.LANGUAGES) == 41
+    extensions = [ext for group in settings.LANGUAGES.values() for ext in group]
+    assert len({e.lower() for e in extensions}) == 292
+
+
 def test_excluded_files_never_reach_the_lines(spark):
     plan = scan.scan_files(fx.files(spark, SF))._jdf.queryExecution().toString()
     assert "ArrowEvalPython" not in plan
@@ -154,7 +170,7 @@ def test_languages(spark):
             inventory.language_summary(files, languages).collect()}
     assert rows == {
         "python": (2, [".py"]), "typescript": (1, [".ts"]), "forbidden": (2, [".jar", ".zip"]),
-        "java": (1, [".jar"]), "Other": (2, [""]), "r": (1, [".r"]),
+        "java": (1, [".jar"]), "Other": (2, []), "r": (1, [".r"]), "archive": (1, [".zip"]),
     }
 
 

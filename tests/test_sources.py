@@ -2,11 +2,14 @@
 
 import io
 import json
+import random
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from credsieve import settings
+from credsieve.plans import scans
 from credsieve.sources import archives, files, requests, samples, tables
 
 
@@ -62,24 +65,59 @@ def zipped(members):
 
 
 def test_archives(spark, tmp_path):
-    long_name = "n" * 150 + ".py"
-    folder = "d" * 120
+    long_path = "d" * 120 + "/" + "n" * 150
     (tmp_path / "app.zip").write_bytes(
         zipped(
             {
                 "src/a.py": "x=1\n", "../b.py": "no", "/abs.py": "no", "img/A.PNG": "no",
-                "Package.json": "no", "dir/": "", f"{folder}/{long_name}": "y",
+                "package.json": "{}", "dir/": "", f"{long_path}1.py": "y", f"{long_path}2.py": "z",
             }
         )
     )
+    damaged = bytearray(zipped({"good.py": "fine\n" * 50, "hurt.py": "lost\n" * 50}))
+    at = damaged.rindex(b"hurt.py", 0, damaged.index(b"PK\x01\x02")) + len("hurt.py")
+    damaged[at : at + 4] = b"\xff" * 4
+    (tmp_path / "hurt.zip").write_bytes(bytes(damaged))
     (tmp_path / "bad.zip").write_bytes(b"not a zip")
     found = archives.read_archives(spark, str(tmp_path))
     members = archives.expand_archives(found).collect()
-    assert sum(r["problem"] is not None for r in members) == 1
-    assert sum(r["project"] == "app" for r in members) == 6
-    kept = {r["path"]: r["content"] for r in archives.archive_files(found).collect()}
-    assert kept == {"src/a.py": "x=1\n", f"{folder}/{'n' * 100}": "y"}
-    assert archives.archive_files(found, filtered=False).count() == 6
+    problems = {(r["project"], r["path"]): r["problem"] for r in members if r["problem"]}
+    assert set(problems) == {("app", "../b.py"), ("app", "/abs.py"), ("bad", None), ("hurt", "hurt.py")}
+    assert all(r["raw"] is None for r in members if r["problem"])
+    kept = {(r["project"], r["path"]): r["content"] for r in archives.archive_files(found).collect()}
+    assert set(kept) == {
+        ("app", "src/a.py"), ("app", "img/A.PNG"), ("app", "package.json"), ("app", f"{long_path}1.py"),
+        ("app", f"{long_path}2.py"), ("hurt", "good.py"),
+    }
+    broken = archives.archive_problems(archives.expand_archives(found)).collect()
+    assert sorted(r["project"] for r in broken) == ["bad", "hurt"]
+
+
+def test_archive_reports(spark):
+    angular = '{"dependencies": {"@angular/core": "1"}}'
+    rows = [
+        ("app", zipped({"package.json": angular, "a.py": "token=abc123xyz\n", "b.png": "x"})),
+        ("bad", b"not a zip"),
+    ]
+    found = spark.createDataFrame(rows, "project string, content binary")
+    url = "https://dev.example.com/c/p/_git/r"
+    asked = requests.make_requests(spark, [(p, url, "Branch", "main", "cb") for p in ("app", "bad", "gone")])
+    reports = {r["project"]: r for r in scans.report_archives(asked, found).collect()}
+    app = reports["app"]
+    assert (app["status"], app["all_files"], app["files_excluded"]) == ("completed", 3, 2)
+    assert app["skipped_files"] == "*.png, package.json" and len(app["results"]) == 1
+    assert [(f["framework"], f["kind"]) for f in app["frameworks"]] == [("Angular", "manifest")]
+    assert reports["bad"]["status"] == "Error" and "unreadable archive" in reports["bad"]["message"]
+    assert reports["gone"]["status"] == "Error" and "no readable files" in reports["gone"]["message"]
+
+
+def test_bytes_that_are_no_text(spark):
+    rnd = random.Random(4)
+    parts = [b"a", b"\xff", b"\xc3\xa9", b"\xc3", b"\xed\xa0\x80", "\ufffd".encode(), "\ue000".encode(), b"\xf0\x9f\x98", b"\xc0\x80", b"0", b"1"]
+    rows = [(b"".join(rnd.choice(parts) for _ in range(rnd.randint(0, 8))),) for _ in range(800)]
+    frame = spark.createDataFrame([*rows, (None,)], "raw binary")
+    got = frame.select("raw", files.decode(F.col("raw")).alias("text")).collect()
+    assert all(r["text"] == (None if r["raw"] is None else bytes(r["raw"]).decode("utf-8", "ignore")) for r in got)
 
 
 def test_settings_round_trip(spark, tmp_path):
@@ -91,7 +129,12 @@ def test_settings_round_trip(spark, tmp_path):
             ]
         )
     )
-    assert [r.id for r in tables.load_rules(spark, str(tmp_path / "rules.json"))] == ["a"]
+    with pytest.raises(ValueError, match="invalid regular expression"):
+        tables.load_rules(spark, str(tmp_path / "rules.json"))
+    (tmp_path / "good.json").write_text(
+        json.dumps([{"id": "a", "message": "A", "pattern": "a+", "severity": "HIGH"}])
+    )
+    assert [r.id for r in tables.load_rules(spark, str(tmp_path / "good.json"))] == ["a"]
     (tmp_path / "names.json").write_text('{"excluded_files": ["x", "y", "x"]}')
     assert tables.load_values(spark, str(tmp_path / "names.json"), "excluded_files") == ("x", "y")
     (tmp_path / "lang.json").write_text('{"r": {"extensions": [".R", ".r"]}}')
