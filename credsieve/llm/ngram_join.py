@@ -9,7 +9,7 @@ Which texts can meet: shingles are put in one global order, rare ones first. Lin
 prefix meets others too seldom are dropped, and texts that share a prefix shingle form a family. The
 order uses a sketch of all shingles' frequencies, of fixed size; any order gives the same links.
 
-The search itself: a family (or each pair of blocks of a large one) is one task. It builds the inverted
+The search itself: a family is one task; a large one is cut by set size and into pairs of blocks. It builds the inverted
 lists, and for each text merges its short lists with a heap, keeps the texts that the long lists
 could still lift to the overlap T, and probes the long lists for those by binary search
 (DivideSkip). Texts already known to be connected are not probed again. Only links that connect new
@@ -43,7 +43,7 @@ SHINGLE_WORDS = 4
 #: Least similarity in hundredths.
 THRESHOLD = 85
 #: Prefixes must share this part of a set, in hundredths (at least one shingle).
-SHARED = 5
+SHARED = 10
 SKETCH_BITS = 18
 #: Prefix shingles that one task brings together, and texts of a family that it searches, about.
 BUCKET_KEYS = 1 << 20
@@ -247,7 +247,7 @@ class Index:
 
 def _search(key, table):
     """Links of a family, or of a pair of its blocks, that connect its texts."""
-    _, one, two = (k.as_py() for k in key)
+    _, _, one, two = (k.as_py() for k in key)
     sigs = table.column("sig").to_numpy()
     order = np.argsort(sigs)
     blocks = table.column("own").to_numpy()[order]
@@ -274,11 +274,31 @@ def _sets(batches):
             sets = [pack(hashes[a:b], delta=True) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             part = batch.slice(first, rows)
             yield pa.RecordBatch.from_arrays(
-                [part.column("family"), pa.array(signatures(offsets, hashes)), part.column("blocks"), pa.array(sets, pa.binary())],
-                names=["family", "sig", "blocks", "shingles"],
+                [part.column("places"), pa.array(signatures(offsets, hashes)), pa.array(sets, pa.binary())],
+                names=["places", "sig", "shingles"],
             )
 
 
+_PLACES = "array<struct<family: bigint, span: int, blocks: int>>"
+
+
+def _placed(families: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(sig, places): the searches that a set takes part in.
+
+    A large family is searched by spans of set sizes. Classes of sizes are wider than the sizes of
+    linked sets can differ, so linked sets are of one class or of neighbours, and a span is a class
+    with the next. What is still too large is cut into blocks.
+    """
+    large = families.groupBy("family").agg(F.count("*").alias("texts"))
+    width = math.log(100 / (THRESHOLD - 1))
+    size_class = F.floor(F.log("n") / F.lit(width)).cast("int")
+    spans = F.when(F.col("texts") <= BLOCK_TEXTS, F.array(F.lit(0))).otherwise(F.array(size_class - 1, size_class))
+    each = families.join(sizes, "sig").join(large, "family").select("sig", "family", F.explode(spans).alias("span"))
+    blocks = each.groupBy("family", "span").agg(F.ceil(F.count("*") / BLOCK_TEXTS).cast("int").alias("blocks"))
+    place = F.collect_list(F.struct("family", "span", "blocks")).alias("places")  # one or two
+    return each.join(blocks, ["family", "span"]).groupBy("sig").agg(place)
+
+
 def link(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id) of every row."""
     spark = docs.sparkSession
@@ -297,21 +317,21 @@ def link(docs: DataFrame) -> DataFrame:
     postings = _pruned(_pruned(postings).select("shingle", "sig", "n"))
     ties = postings.filter("sig <> hub").select(F.col("sig").alias("a"), F.col("hub").alias("b"))
     families = staged(components(ties).withColumnRenamed("root", "family").withColumnRenamed("node", "sig"))
-    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK_TEXTS).cast("int").alias("blocks"))
+    placed = _placed(families, postings.select("sig", "n").distinct())
     # One row stands for each set; its text is read again for the shingles.
-    chosen = rows.filter("n > 0").groupBy("sig").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash")).alias("row"))
-    chosen = chosen.join(families, "sig").join(sizes, "family").select("row.id", "row.text_hash", "family", "blocks")
+    row = F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash")).alias("row")
+    chosen = rows.filter("n > 0").groupBy("sig").agg(row).join(placed, "sig")
     members = (
         texts.withColumn("id", F.coalesce("doc_id", F.lit(0)))
-        .join(chosen, ["id", "text_hash"])
-        .select("family", "blocks", "text")
-        .mapInArrow(_sets, "family bigint, sig bigint, blocks int, shingles binary")
+        .join(chosen.select("row.id", "row.text_hash", "places"), ["id", "text_hash"])
+        .select("places", "text")
+        .mapInArrow(_sets, f"places {_PLACES}, sig bigint, shingles binary")
+        .select(F.inline("places"), "sig", "shingles")
         .withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
     )
-    dealt = members.select(
-        "family", "sig", "own", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")
-    ).select("family", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two"), "sig", "own", "shingles")
-    links = staged(dealt.groupBy("family", "one", "two").applyInArrow(_search, "a bigint, b bigint"))
+    dealt = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("family", "span", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two"), "sig", "own", "shingles")
+    links = staged(dealt.groupBy("family", "span", "one", "two").applyInArrow(_search, "a bigint, b bigint"))
     return _named(rows, components(links))
 
 
