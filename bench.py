@@ -67,7 +67,7 @@ def main() -> None:
 
     samples = fx.samples(spark, sf_dir)
     training, test = classify.split(samples)
-    seconds["fit_model"], model = timed(lambda: classify.fit(training, max_iterations=20))
+    seconds["fit_model"], model = timed(lambda: classify.fit(training))
     accuracy = classify.evaluate(model, test).first()["accuracy"]
     seconds["evaluate_model"], metrics = timed(lambda: classify.evaluate(model, samples).first())
     seconds["score_document_lines"], _ = timed(

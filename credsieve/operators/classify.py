@@ -29,6 +29,8 @@ from credsieve.session import materialize
 ALL_TERMS = (1 << 31) - 1
 HASHED_FEATURES = 1 << 22
 MAX_ITERATIONS = 1000
+# The optimiser ends when a step improves the objective by less than this part of it.
+TOLERANCE = 1e-3
 
 _INPUT = "model_text"
 _STAGE_COLUMNS = (_INPUT, "tokens", "counts", "weighted", "features", "rawPrediction",
@@ -115,6 +117,7 @@ def fit(
     training: DataFrame,
     vocabulary: str = "exact",
     max_iterations: int = MAX_ITERATIONS,
+    tolerance: float = TOLERANCE,
     max_training_rows: int | None = None,
 ) -> PipelineModel:
     """TF-IDF over character n-grams plus logistic regression, as one saveable pipeline.
@@ -141,6 +144,7 @@ def fit(
     features = normalizer.transform(scaler.transform(counts)).select("label", "features")
     regression = LogisticRegression(
         maxIter=max_iterations,
+        tol=tolerance,
         regParam=1.0 / idf.numDocs,
         elasticNetParam=0.0,
         standardization=False,
@@ -252,8 +256,12 @@ def score_findings(findings: DataFrame, model: PipelineModel) -> DataFrame:
 def predict_pairs(pairs: DataFrame, model: PipelineModel) -> DataFrame:
     """The same for pairs (text, context) given by a user; blank texts are left out.
 
-    ``is_secret`` follows the blend where there is a context and the text alone where not.
+    ``is_secret`` follows the blend where there is a context and the text alone where not. Pairs may
+    have a ``type``: those that stand for a line or file that was not listed get 0.50 and Potential.
     """
+    special = F.lit(False)
+    if "type" in pairs.columns:
+        special = F.coalesce(F.col("type").isin(list(settings.SPECIAL_TYPES)), F.lit(False))
     filled = pairs.filter(F.col("text").isNotNull() & ~tx.is_blank(F.col("text")))
     scored = score(score(filled, "text", model, "p_text"), "context", model, "p_context")
     blank = F.col("context").isNull() | tx.is_blank(F.col("context"))
@@ -262,8 +270,10 @@ def predict_pairs(pairs: DataFrame, model: PipelineModel) -> DataFrame:
     return scored.select(
         *pairs.columns,
         (final > 0.5).alias("is_secret"),
-        F.bround(final, 3).alias("confidence"),
-        F.when(final > settings.HIGH_THRESHOLD, "High").otherwise("Potential").alias("severity"),
+        F.when(special, 0.5).otherwise(F.bround(final, 3)).alias("confidence"),
+        F.when(~special & (final > settings.HIGH_THRESHOLD), "High")
+        .otherwise("Potential")
+        .alias("severity"),
         F.bround("p_text", 3).alias("text_confidence"),
         (F.col("p_text") > 0.5).alias("text_prediction"),
         F.bround("p_context", 3).alias("context_confidence"),

@@ -1,9 +1,9 @@
 """Quality of a two-class text dataset.
 
-``profile`` groups the samples by text once. All checks depend on the text alone, so everything
-else is computed per distinct text and weighted by how often each class holds it. One shuffle,
-with map-side combining, serves all sections; a text that fills a third of the rows costs no more
-than a rare one.
+Sums over rows are one narrow pass. Where distinct texts count, ``profile`` groups the samples by
+text once, with map-side combining, and everything else is computed per distinct text and weighted
+by how often each class holds it; a text that fills a third of the rows costs no more than a rare
+one.
 """
 
 from __future__ import annotations
@@ -37,6 +37,16 @@ def profile(samples: DataFrame) -> DataFrame:
     )
 
 
+def _rows(samples: DataFrame) -> DataFrame:
+    """Samples with the counts of ``profile``, row by row: for sums over rows, which need no
+    grouping by text and hence no shuffle of texts."""
+    return samples.select(
+        "text",
+        F.when(F.col("label") == 1, 1).otherwise(0).alias("n_pos"),
+        F.when(F.col("label") == 0, 1).otherwise(0).alias("n_neg"),
+    )
+
+
 def _ratio(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole), F.lit(0.0))
 
@@ -77,8 +87,12 @@ def _duplicate_columns() -> list[Column]:
 
 
 def duplicates(samples: DataFrame) -> DataFrame:
-    """Repeated values per class, their ratio to all rows, and texts of both classes."""
-    return profile(samples).agg(*_duplicate_columns())
+    """Repeated values per class, their ratio to all rows, and texts of both classes.
+
+    Texts are told apart by a digest, so none is shuffled.
+    """
+    digests = samples.select(F.sha2("text", 256).alias("text"), "label")
+    return profile(digests).agg(*_duplicate_columns())
 
 
 def overlap(samples: DataFrame) -> DataFrame:
@@ -122,7 +136,7 @@ def with_first_rule(rows: DataFrame, rules=settings.RULES) -> DataFrame:
 def rule_coverage(samples: DataFrame, rules=settings.RULES) -> DataFrame:
     """Samples per class and first rule; a null rule counts the samples no rule covers."""
     return (
-        with_first_rule(profile(samples), rules)
+        with_first_rule(_rows(samples), rules)
         .groupBy("first_rule")
         .agg(F.sum("n_pos").alias("secrets"), F.sum("n_neg").alias("non_secrets"))
     )
@@ -163,7 +177,7 @@ def quality_issues(samples: DataFrame) -> DataFrame:
     """Rows per quality flag, as (issue, rows)."""
     weight = F.col("n_pos") + F.col("n_neg")
     flags = tx.quality_flags(F.col("text"))
-    sums = profile(samples).agg(
+    sums = _rows(samples).agg(
         *[F.coalesce(F.sum(F.when(flags[f], weight)), F.lit(0)).alias(f) for f in FLAGS]
     )
     return sums.unpivot([], list(FLAGS), "issue", "rows")
@@ -194,7 +208,7 @@ def pattern_distribution(samples: DataFrame) -> DataFrame:
     """Rows per character-class pattern, as (pattern, rows)."""
     weight = F.col("n_pos") + F.col("n_neg")
     flags = _pattern_flags()
-    sums = profile(samples).agg(
+    sums = _rows(samples).agg(
         *[F.coalesce(F.sum(F.when(flags[f], weight)), F.lit(0)).alias(f) for f in PATTERNS]
     )
     return sums.unpivot([], list(PATTERNS), "pattern", "rows")
@@ -270,7 +284,7 @@ def exact_median(rows: DataFrame, value: str, weight: str, step: float) -> DataF
 def _entropies(samples: DataFrame) -> DataFrame:
     """Distinct entropies and how many samples have each."""
     return (
-        profile(samples)
+        _rows(samples)
         .select(
             tx.shannon_entropy(F.col("text")).alias("entropy"),
             (F.col("n_pos") + F.col("n_neg")).alias("weight"),

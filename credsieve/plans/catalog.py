@@ -467,8 +467,8 @@ def archive_report(spark, sf_dir):
     return reports.select("status", "message", "project", "all_files", F.size("results").alias("n_results"))
 
 
-def stream_scan(spark, sf_dir):
-    """The same scan over a stream of the documents table."""
+def _arriving(spark, sf_dir):
+    """The documents table as a stream of files."""
     schema = fx.table(spark, sf_dir, "documents").schema
     arriving = (
         spark.readStream.schema(schema)
@@ -480,14 +480,36 @@ def stream_scan(spark, sf_dir):
             F.col("text").alias("content"),
         )
     )
+    return with_names(arriving)
+
+
+def stream_scan(spark, sf_dir):
+    """The same scan over a stream of the documents table."""
     folder = shared_dir(spark)
     query = start_scan(
-        with_names(arriving), f"{folder}/findings", f"{folder}/checkpoint", once=True
+        _arriving(spark, sf_dir), f"{folder}/findings", f"{folder}/checkpoint", once=True
     )
     query.awaitTermination()
     return read_findings(spark, f"{folder}/findings")
 
 
+def stream_report(spark, sf_dir):
+    """Reports of a stream of the documents table."""
+    folder = shared_dir(spark)
+    query = start_scan(
+        _arriving(spark, sf_dir),
+        f"{folder}/findings",
+        f"{folder}/checkpoint",
+        once=True,
+        reports=f"{folder}/reports",
+        requests=fx.requests(spark, sf_dir),
+    )
+    query.awaitTermination()
+    return spark.read.parquet(f"{folder}/reports").select(
+        "status", "project", "all_files", "files_excluded", F.size("results").alias("n_results")
+    )
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -502,6 +524,6 @@ QUERIES = {
         tfidf_features, blend_severity, confusion_metrics, wrong_predictions, evaluation_samples, train_score,
         evaluate_model, predict_pairs, model_info, training_split, request_check, request_validation,
         repo_url_parts, scan_report, archive_members, archive_scan,
-        archive_inventory, archive_report, stream_scan,
+        archive_inventory, archive_report, stream_scan, stream_report,
     )
 }

@@ -722,6 +722,12 @@ SELECT CASE WHEN e.all_files IS NULL OR broken THEN 'Error' ELSE 'completed' END
 FROM (SELECT *, project = '{catalog.BROKEN_PROJECT}' AS broken FROM requests) r
 LEFT JOIN exclusions e ON e.project = r.project""",
     "archive_scan": f"WITH {_FINDINGS} SELECT * FROM findings",
+    "stream_report": f"""WITH {_DOC_FILES}, {_findings("SELECT * FROM docs_as_files")},
+{_capped(settings.MAX_SECRETS_PER_FILE)}, {fx.SQL_REQUESTS.replace("names AS", "req_names AS")
+      .replace("FROM names", "FROM req_names")}
+SELECT 'completed' AS status, r.project, count(*) AS all_files, 0::BIGINT AS files_excluded,
+  CAST((SELECT count(*) FROM findings f WHERE f.project = r.project) AS INTEGER) AS n_results
+FROM requests r JOIN docs_as_files d ON d.project = r.project GROUP BY r.project""",
     "stream_scan": f"""WITH {_DOC_FILES}, {_findings("SELECT * FROM docs_as_files")},
 {_capped(settings.MAX_SECRETS_PER_FILE)} SELECT * FROM findings""",
 }

@@ -51,9 +51,11 @@ def scan_projects(
 
 
 def _report(requests: DataFrame, result: ScanResult, masked: bool) -> DataFrame:
-    """Reports of a scan; the findings are written first, so contents are matched only once."""
-    stored = result._replace(findings=materialize(result.findings))
-    return report.scan_report(requests, *stored, masked=masked)
+    """Reports of a scan; the findings are written first, so contents are matched only once. Masked
+    reports are masked before that, so no secret is stored in clear."""
+    shown = scan.mask_findings(result.findings) if masked else result.findings
+    stored = result._replace(findings=materialize(shown))
+    return report.scan_report(requests, *stored, masked=False)
 
 
 def scan_requests(requests: DataFrame, files: DataFrame, model=None, masked=True, **options):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -26,17 +27,40 @@ def build_session(app: str = "credsieve", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+_MADE: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below the shared one the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (a local run) a temporary folder takes its place.
+    Only where that setting is absent (a local run) a temporary folder takes its place. Intermediate
+    folders stay until ``release`` or the end of the ``scratch`` block they were made in.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="credsieve-")
-    return f"{root.rstrip('/')}/credsieve-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/credsieve-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def release(spark: SparkSession, keep: int = 0) -> None:
+    """Remove the intermediate folders made so far, but for the first ``keep`` of them."""
+    while len(_MADE) > keep:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Removes what is written for intermediate use inside the block; write results before its end."""
+    before = len(_MADE)
+    try:
+        yield
+    finally:
+        release(spark, before)
 
 
 def materialize(frame: DataFrame) -> DataFrame:

@@ -9,10 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from credsieve.operators.classify import score_findings
 from credsieve.operators.scan import scan_files
+from credsieve.plans import scans
+from credsieve.session import scratch
 from credsieve.sources.files import tree_files
 
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -37,11 +40,16 @@ def start_scan(
     model=None,
     scan: Callable[[DataFrame], DataFrame] = scan_files,
     once: bool = False,
+    reports: str | None = None,
+    requests: DataFrame | None = None,
 ) -> StreamingQuery:
     """Scan each micro-batch and write its findings to ``output/query=<id>/batch=<id>``.
 
     The query's id lives in its checkpoint. A batch that is replayed after a failure overwrites its
     own folder and nothing else; a new checkpoint into the same output adds to it.
+
+    With ``reports`` and ``requests`` each batch also gives the reports, with languages, frameworks
+    and totals, of the requested projects among its files.
     """
     key = "sql.streaming.queryId"
 
@@ -50,7 +58,14 @@ def start_scan(
         if model is not None:
             findings = score_findings(findings, model)
         query = batch.sparkSession.sparkContext.getLocalProperty(key)
-        findings.write.mode("overwrite").parquet(f"{output}/query={query}/batch={batch_id}")
+        place = f"query={query}/batch={batch_id}"
+        findings.write.mode("overwrite").parquet(f"{output}/{place}")
+        if reports is not None:
+            names = batch.select(F.col("project").alias("ProjectName")).distinct()
+            asked = requests.join(names, "ProjectName", "left_semi")
+            with scratch(batch.sparkSession):
+                made = scans.scan_requests(asked, batch, model)
+                made.write.mode("overwrite").parquet(f"{reports}/{place}")
 
     writer = files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if once:

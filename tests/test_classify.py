@@ -45,7 +45,7 @@ def test_features_follow_the_formula(spark, model):
 
 def test_regularisation_is_that_of_summed_losses(spark, samples, model):
     """At the solution the gradient of sum(loss) + |w|^2 / 2 vanishes."""
-    fitted = classify.fit(samples, max_iterations=500)
+    fitted = classify.fit(samples, tolerance=1e-6)
     regression = fitted.stages[-1]
     rows = fitted.transform(samples.withColumn(classify._INPUT, F.col("text"))).select(
         "features", "probability", "label"
