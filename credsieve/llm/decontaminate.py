@@ -97,12 +97,12 @@ def _automaton(key: str, items: list[tuple[str, str]], size: int, keep: int) ->
 
 
 def _item_blocks(benchmark: DataFrame, limit: int) -> list:
-    """(key, broadcast items) of bounded size; the words are counted first."""
+    """(key, broadcast items) of bounded size; the words are bounded first."""
     items = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("id"), "text"
     ).filter("text IS NOT NULL")
-    size = F.length(F.regexp_replace("text", "[^ \\s]", "")) + 1  # at most about its words
-    total = items.agg(F.sum(F.greatest(size, F.length("text") / 6))).first()[0] or 0
+    # Two words have a separator between them, so this is a bound.
+    total = items.agg(F.sum((F.length("text") + 1) / 2)).first()[0] or 0
     blocks = int(total // limit) + 1
     context = benchmark.sparkSession.sparkContext
     run = uuid.uuid4().hex
