@@ -123,19 +123,18 @@ def framework_evidence(
     files: DataFrame,
     frameworks=settings.FRAMEWORKS,
     manifests=settings.MANIFEST_FILES,
-    max_files: int = settings.MAX_EVIDENCE_FILES,
+    max_files: int | None = settings.MAX_EVIDENCE_FILES,
 ) -> DataFrame:
     """Files and dependencies per project, framework and kind: the first files by path.
 
     Spark applies the limit before the shuffle too, so a huge project sends a bounded number of
-    rows per task, and the lists built afterwards are bounded as well.
+    rows per task, and the lists built afterwards are bounded as well. None keeps all files.
     """
     by_path = Window.partitionBy("project", "framework", "kind").orderBy("path")
-    first = (
-        framework_files(files, frameworks, manifests)
-        .withColumn("place", F.row_number().over(by_path))
-        .filter(F.col("place") <= max_files)
-    )
+    first = framework_files(files, frameworks, manifests)
+    if max_files is not None:
+        place = F.row_number().over(by_path)
+        first = first.withColumn("place", place).filter(F.col("place") <= max_files)
     return first.groupBy("project", "framework", "kind").agg(
         F.count("*").alias("file_count"),
         F.array_sort(F.collect_list("path")).alias("files"),

@@ -105,13 +105,14 @@ def _any_may_hit(rules, text: Column, low: Column) -> Column:
 def match_rules(
     lines: DataFrame,
     rules=settings.RULES,
-    max_line_length: int = settings.MAX_LINE_LENGTH,
+    max_line_length: int | None = settings.MAX_LINE_LENGTH,
 ) -> DataFrame:
     """First match of each rule on each line, and one row for each line too long to scan.
 
     The rules are unrolled into literal patterns, each behind its keyword test, so one pass over
     the lines does it all and lines without a hit are dropped inside the same stage. The lower-case
-    copy of the line is computed once for all keyword tests, the context only for hits.
+    copy of the line is computed once for all keyword tests, the context only for hits. Without a
+    ``max_line_length`` lines of any length are scanned.
     """
     text, low = F.col("text"), F.col("low")
 
@@ -146,7 +147,8 @@ def match_rules(
         )
         for order, rule in enumerate(rules, start=1)
     ]
-    hits = F.when(F.length(text) > max_line_length, F.array(too_long)).when(
+    no_scan = F.lit(False) if max_line_length is None else F.length(text) > max_line_length
+    hits = F.when(no_scan, F.array(too_long)).when(
         _any_may_hit(rules, text, low), F.array_compact(F.array(*found))
     )
     return lines.select(
@@ -168,15 +170,17 @@ def drop_false_positives(findings: DataFrame, literals=settings.FALSE_POSITIVES)
 
 
 def cap_per_file(
-    findings: DataFrame, max_secrets: int = settings.MAX_SECRETS_PER_FILE
+    findings: DataFrame, max_secrets: int | None = settings.MAX_SECRETS_PER_FILE
 ) -> DataFrame:
     """Replace all rows of a file that has too many matches by one summary row.
 
     The summary carries the count, every secret in (line, rule) order and their hash. Findings, not
     contents, are shuffled once by file. They are counted before they are gathered, and those of
     files over the cap are gathered without their contexts, which the summary does not show: what
-    comes together is at most the secrets of one file.
+    comes together is at most the secrets of one file. None lists every file in full.
     """
+    if max_secrets is None:
+        return findings.select("project", "path", *FINDING_FIELDS)
     match = lambda row: row["type"] != TYPE_LONG_LINE
     matches = F.count_if(F.col("type") != TYPE_LONG_LINE).over(
         Window.partitionBy("project", "path")
@@ -218,8 +222,8 @@ def scan_lines(
     lines: DataFrame,
     rules=settings.RULES,
     false_positives=settings.FALSE_POSITIVES,
-    max_secrets: int = settings.MAX_SECRETS_PER_FILE,
-    max_line_length: int = settings.MAX_LINE_LENGTH,
+    max_secrets: int | None = settings.MAX_SECRETS_PER_FILE,
+    max_line_length: int | None = settings.MAX_LINE_LENGTH,
 ) -> DataFrame:
     """Findings of numbered lines."""
     matches = match_rules(lines, rules, max_line_length)
@@ -232,8 +236,8 @@ def scan_files(
     false_positives=settings.FALSE_POSITIVES,
     extensions=settings.EXCLUDED_EXTENSIONS,
     names=settings.EXCLUDED_FILES,
-    max_secrets: int = settings.MAX_SECRETS_PER_FILE,
-    max_line_length: int = settings.MAX_LINE_LENGTH,
+    max_secrets: int | None = settings.MAX_SECRETS_PER_FILE,
+    max_line_length: int | None = settings.MAX_LINE_LENGTH,
 ) -> DataFrame:
     """Findings of source files, without the excluded ones."""
     lines = to_lines(exclude_files(files, extensions, names))

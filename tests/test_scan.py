@@ -208,3 +208,14 @@ def test_scan_of_several_projects(spark):
     result = scans.scan_projects(make_files(spark, [("p", "a.py", "token=abc123")]))
     assert result.findings.count() == result.exclusions.count() == result.languages.count() == 1
     assert result.frameworks.count() == 0
+
+
+def test_caps_can_be_switched_off(spark):
+    long = "x" * 20_000 + " api_key=abcdef123"
+    rows = [("p", "many", "token=abc123\n" * 60), ("p", "long", long)]
+    rows += [("q", f"f{i:03d}/angular.json", "{}") for i in range(120)]
+    files = make_files(spark, rows)
+    found = scan.scan_files(files, max_secrets=None, max_line_length=None)
+    assert {r["path"]: r["count"] for r in found.groupBy("path").count().collect()} == {"many": 60, "long": 1}
+    [evidence] = inventory.framework_evidence(files, max_files=None).collect()
+    assert evidence["file_count"] == 120 == len(evidence["files"])
