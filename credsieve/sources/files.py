@@ -89,14 +89,17 @@ def _list_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Contents, handed on in batches of bounded size."""
+    """Contents, handed on in batches of bounded size; null where a file cannot be read."""
     for batch in batches:
         rows, held = [], 0
         for project, path, location in batch.itertuples(index=False):
-            with open(location, "rb") as source:
-                raw = source.read()
+            try:
+                with open(location, "rb") as source:
+                    raw = source.read()
+            except OSError:
+                raw = None
             rows.append((project, path, raw))
-            held += len(raw)
+            held += len(raw or b"")
             if held >= BATCH_BYTES:
                 yield pd.DataFrame(rows, columns=["project", "path", "raw"])
                 rows, held = [], 0
@@ -107,7 +110,8 @@ def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_mounted_tree(spark: SparkSession, root: str) -> DataFrame:
     """All files below ``root/<project>/`` of a file system mounted on every node.
 
-    Unlike ``read_tree`` it has empty and hidden files too. One task lists a project; the files are
+    Unlike ``read_tree`` it has empty and hidden files too. A file that cannot be read has a null
+    content and leaves the others be: it counts as a file and gives no lines. One task lists a project; the files are
     then spread over all tasks by path, so a huge project is read by many.
     """
     with os.scandir(root) as entries:

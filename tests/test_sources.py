@@ -2,6 +2,7 @@
 
 import io
 import json
+import os
 import random
 import zipfile
 
@@ -56,6 +57,14 @@ def test_mounted_tree_has_all_files(spark, tree):
     assert rows["two", "_x.TAR.GZ"]["ext"] == ".gz" and rows["one", ".env"]["content"] == "hidden"
 
 
+def test_unreadable_file_leaves_the_others_be(spark, tree):
+    os.symlink("/nowhere/at/all", os.path.join(tree, "one", "gone.txt"))
+    found = files.read_mounted_tree(spark, tree)
+    rows = {(r["project"], r["path"]): r["content"] for r in found.collect()}
+    assert rows["one", "gone.txt"] is None and rows["one", ".env"] == "hidden"
+    assert files.to_lines(found).filter("path = 'gone.txt'").count() == 0
+
+
 def zipped(members):
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as archive:
