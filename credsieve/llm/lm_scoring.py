@@ -37,7 +37,7 @@ from credsieve.llm.common import SPACED, fold_hashes, staged, text_chunks, word_
 
 ORDER = 2
 #: Bytes of text in a block (one longer text is a block of its own).
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Distinct n-grams of a block that one bucket is to receive from all blocks, about.
 BUCKET_KEYS = 2 << 20
 #: One unit of discount in the exchange of whole numbers.
