@@ -6,8 +6,12 @@ common list is the same as a shared-pivot count that reaches the number. Candida
 cosine in double precision, so no pair below the threshold is linked; a pair whose
 pivots differ too much may be missed, which the tests measure against brute force.
 
-Pivots are a bounded sample, about as many as the root of the number of vectors allows; all vectors are
-indexed. Bitwise equal vectors are one node with a count. A long list is cut into blocks, and each pair
+Pivots are a bounded sample, about as many as the root of the number of vectors allows, thinned so that no
+two are near each other: pivots within one dense group would be told apart by noise only, and its members
+would not agree on them. All vectors are indexed. A vector close to a pivot is listed under that pivot
+alone, and so is every vector that could link with it by the angles between them: links inside a group
+around a pivot are all found, in one list. Where so few pivots are left that most vectors would meet
+anyway, all vectors are one list. Bitwise equal vectors are one node with a count. A long list is cut into blocks, and each pair
 of its blocks is one task, so no task holds more than two blocks. A pair that meets in several lists is
 counted in the list of its first shared pivots only. Tasks return counts and links that connect, not pairs.
 
@@ -36,6 +40,11 @@ SHARED = 2
 #: Pivots at most (a broadcast of 8 bytes for each of their numbers), and the fewest.
 MAX_PIVOTS = 16_384
 MIN_PIVOTS = 32
+#: Pivots are less similar than this. With fewer of them than FEW_PIVOTS all vectors are compared.
+APART = 0.5
+FEW_PIVOTS = 32
+#: From this similarity to a pivot on, a vector meets others under that pivot alone.
+COVERED = 0.866
 #: Vectors of a list that are verified together.
 BLOCK = 2000
 
@@ -58,11 +67,29 @@ def _usable(vectors: DataFrame) -> DataFrame:
     )
 
 
-def _keys(pivots, nearest: int, shared: int):
-    """Each vector once for every subset of its nearest pivots."""
+def _thinned(points: np.ndarray) -> np.ndarray:
+    """The points, scaled, without those that are near one before them."""
+    points = _normed(points)
+    kept, n = np.empty_like(points), 0
+    for point in points:
+        if not n or (kept[:n] @ point).max() < APART:
+            kept[n] = point
+            n += 1
+    return kept[:n].copy()
+
+
+def _reach(threshold: float) -> float:
+    """The least similarity to a pivot of what links with a vector that the pivot covers."""
+    angle = math.acos(COVERED) + math.acos(max(-1.0, min(1.0, threshold)))
+    return math.cos(min(math.pi, angle)) - 1e-9
+
+
+def _keys(pivots, nearest: int, shared: int, threshold: float):
+    """Each vector once for every pivot in reach, and for every subset of its nearest pivots unless
+    a pivot covers it."""
+    reach = _reach(threshold)
 
     def run(batches):
-        own = {d: _normed(np.array(v)) for d, v in pivots.value.items()}
         for batch in batches:
             rows = []
             vectors = batch.column("vector").to_pylist()
@@ -72,45 +99,62 @@ def _keys(pivots, nearest: int, shared: int):
             nodes = batch.column("node").to_pylist()
             for size, places in by_size.items():
                 unit = _normed(np.array([vectors[i] for i in places], dtype=np.float64))
-                points = own[size]
+                points = pivots.value[size]
+                if len(points) < FEW_PIVOTS:
+                    rows += [(nodes[i], str(size), unit[row].tobytes(), b"", b"") for row, i in enumerate(places)]
+                    continue
                 take = min(nearest, len(points))
-                near = np.argsort(-(unit @ points.T), axis=1, kind="stable")[:, :take]
+                cosines = unit @ points.T
+                near = np.argsort(-cosines, axis=1, kind="stable")[:, :take]
                 for row, i in enumerate(places):
                     ordered = np.sort(near[row]).astype(np.int32)
-                    vector, marks = unit[row].tobytes(), ordered.tobytes()
-                    for subset in combinations(ordered.tolist(), min(shared, take)):
-                        rows.append((nodes[i], ",".join(map(str, (size, *subset))), vector, marks))
+                    within = np.flatnonzero(cosines[row] >= reach).astype(np.int32)
+                    vector, marks, around = unit[row].tobytes(), ordered.tobytes(), within.tobytes()
+                    names = [f"{size},{p}" for p in within.tolist()]
+                    if cosines[row].max() < COVERED:
+                        names += [",".join(map(str, (size, *s))) + "," for s in combinations(ordered.tolist(), min(shared, take))]
+                    rows += [(nodes[i], name, vector, marks, around) for name in names]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([r[0] for r in rows], pa.int64()),
                     pa.array([r[1] for r in rows], pa.string()),
                     pa.array([r[2] for r in rows], pa.binary()),
                     pa.array([r[3] for r in rows], pa.binary()),
+                    pa.array([r[4] for r in rows], pa.binary()),
                 ],
-                names=["node", "list", "vector", "pivots"],
+                names=["node", "list", "vector", "pivots", "around"],
             )
 
     return run
 
 
+def _early(name: str, marks: list[np.ndarray], around: list[np.ndarray]) -> np.ndarray:
+    """Marks of the lists before this one, a row for each vector: a pair that shares a mark is counted
+    in an earlier list. Lists of one pivot in reach come first, then those of nearest pivots."""
+    own = [int(x) for x in name.strip(",").split(",")[1:]]
+    if not own:
+        early = [m[:0] for m in marks]
+    elif not name.endswith(","):
+        early = [w[w < own[0]] for w in around]
+    else:  # nearest pivots count from -2 downwards
+        early = [np.concatenate([w, -2 - m[(m < own[-1]) & ~np.isin(m, own)]]) for m, w in zip(marks, around)]
+    known, flat = np.unique(np.concatenate(early), return_inverse=True)
+    has = np.zeros((len(early), len(known)), np.float32)
+    has[np.repeat(np.arange(len(early)), [len(e) for e in early]), flat.reshape(-1)] = 1
+    return has
+
+
 def _verify(threshold: float):
     def run(key, table):
         """Counts of links by node, and links that connect, of one list or pair of its blocks."""
         name, one, two = (k.as_py() for k in key)
-        subset = np.array([int(x) for x in name.split(",")[1:]])
         order = np.argsort(table.column("node").to_numpy(), kind="stable")
         nodes = table.column("node").to_numpy()[order]
         blocks = table.column("own").to_numpy()[order]
         copies = table.column("copies").to_numpy()[order]
         unit = np.stack([np.frombuffer(table.column("vector")[i].as_py(), np.float64) for i in order.tolist()])
-        marks = np.stack([np.frombuffer(table.column("pivots")[i].as_py(), np.int32) for i in order.tolist()])
-        # Pivots before the last of the list's own that are not of the list: a pair that shares one
-        # is counted in an earlier list.
-        early = np.where((marks < subset[-1]) & ~np.isin(marks, subset), marks, -1)
-        known, flat = np.unique(early, return_inverse=True)
-        has = np.zeros((len(nodes), len(known)), np.float32)
-        has[np.repeat(np.arange(len(nodes)), marks.shape[1]), flat.reshape(-1)] = 1
-        has = has[:, known >= 0]
+        marks, around = ([np.frombuffer(table.column(c)[i].as_py(), np.int32) for i in order.tolist()] for c in ("pivots", "around"))
+        has = _early(name, marks, around)
         counts, connected, links = np.zeros(len(nodes), np.int64), Sets(len(nodes)), []
         for a in range(0, len(nodes), 500):
             rows = slice(a, a + 500)
@@ -153,16 +197,16 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, nearest: int = NEARES
         points.setdefault(len(r.vector), []).append(r.vector)
     for r in classes.groupBy(F.size("vector")).agg(F.first("vector").alias("vector")).collect():
         points.setdefault(len(r.vector), [r.vector])  # lengths that the sample has not met
-    pivots = spark.sparkContext.broadcast(points)
+    pivots = spark.sparkContext.broadcast({d: _thinned(np.array(v, dtype=np.float64)) for d, v in points.items()})
     keyed = classes.select("node", "vector").mapInArrow(
-        _keys(pivots, nearest, shared), "node bigint, list string, vector binary, pivots binary"
+        _keys(pivots, nearest, shared, threshold), "node bigint, list string, vector binary, pivots binary, around binary"
     )
     keyed = staged(keyed.join(classes.select("node", "copies"), "node"))
     lists = keyed.groupBy("list").agg(F.count("*").alias("n")).filter("n > 1")
     lists = lists.select("list", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     met = keyed.join(lists, "list").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = met.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("list", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two"), "node", "own", "copies", "vector", "pivots")
+    met = met.select("list", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two"), "node", "own", "copies", "vector", "pivots", "around")
     found = staged(met.groupBy("list", "one", "two").applyInArrow(_verify(threshold), "a bigint, b bigint, n_links bigint"))
     counts = found.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n_links").alias("others"))
     roots = components(found.filter("b IS NOT NULL").select("a", "b"))
