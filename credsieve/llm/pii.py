@@ -2,7 +2,8 @@
 
 Base spans of four kinds are found by fixed patterns. They seed a bootstrap: the words around them
 are lexical patterns, and patterns and identifiers (base spans and other number- or mail-like tokens)
-form a graph. A pattern's confidence in a kind is the mean score of its distinct identifiers, an
+form a graph. A pattern's confidence in a kind is the mean score of its distinct identifiers, where those
+nothing is known about yet weigh little: they are what is looked for. An
 identifier's score is one minus the chance that all its confident patterns err; seeds keep score 1 for
 their kind. After some rounds, unseen identifiers of a high score are added as spans of that kind.
 
@@ -32,6 +33,8 @@ MIN_SEEDS = 5
 MIN_CONFIDENCE = 0.8
 #: Identifiers without any evidence that a pattern is taken to have seen.
 DOUBT = 1.0
+#: Weight of an identifier that is no seed and has no score yet.
+UNKNOWN = 0.1
 MIN_SCORE = 0.9
 #: Digits that a token needs to be looked at as an identifier.
 MIN_DIGITS = 6
@@ -160,27 +163,31 @@ def bootstrap(mentions: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     edges = staged(
         mentions.select("kind", "value", F.explode(F.array_distinct("patterns")).alias("pattern")).distinct()
     )
-    sizes = edges.select("pattern", "value").distinct().groupBy("pattern").count()
-    unseen = edges.filter("kind IS NULL").select("pattern", "value").distinct()
+    each = edges.groupBy("pattern", "value").agg(F.max(F.col("kind").isNotNull().cast("int")).alias("labelled"))
+    sizes = each.groupBy("pattern").agg(F.sum("labelled").alias("n_labelled"), F.count("*").alias("n"))
+    unseen = each.filter("labelled = 0").select("pattern", "value")
     supported = (
         edges.filter("kind IS NOT NULL")
         .groupBy("pattern", "kind")
         .agg(F.count("*").alias("n_seeds"))
         .filter(F.col("n_seeds") >= MIN_SEEDS)
         .join(sizes, "pattern")
-        .select("pattern", "kind", "n_seeds", "count")
+        .select("pattern", "kind", "n_seeds", "n_labelled", "n")
     )
     supported = staged(supported)
     reached = staged(unseen.join(supported.select("pattern", "kind"), "pattern"))
     scores = None
     for _ in range(rounds):
-        evidence = F.lit(0.0)
+        evidence = weighed = F.lit(0.0)
         graded = supported
         if scores is not None:
             gained = reached.join(scores, ["value", "kind"]).groupBy("pattern", "kind").agg(F.sum("score").alias("gained"))
-            graded = graded.join(gained, ["pattern", "kind"], "left")
-            evidence = F.coalesce("gained", F.lit(0.0))
-        confidence = (F.col("n_seeds") + evidence) / (F.col("count") + DOUBT)
+            scored = reached.select("pattern", "value").distinct().join(scores.select("value").distinct(), "value")
+            scored = scored.groupBy("pattern").agg(F.count("*").alias("n_scored"))
+            graded = graded.join(gained, ["pattern", "kind"], "left").join(scored, "pattern", "left")
+            evidence, weighed = F.coalesce("gained", F.lit(0.0)), F.coalesce("n_scored", F.lit(0))
+        known = F.col("n_labelled") + weighed
+        confidence = (F.col("n_seeds") + evidence) / (known + UNKNOWN * (F.col("n") - known) + DOUBT)
         graded = graded.select("pattern", "kind", confidence.alias("confidence")).filter(F.col("confidence") >= MIN_CONFIDENCE)
         doubt = F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence"))))
         scores = staged(

@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from credsieve.llm import pii
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -64,6 +66,30 @@ def test_chance_neighbours_add_nothing(spark):
     assert all(r.added == [] for r in pii.find_personal_data(docs(spark, rows)).collect())
 
 
+@pytest.mark.parametrize("seeds, unseen", [(5, 2), (30, 10), (30, 30)])
+def test_unseen_identifiers_do_not_hide_each_other(spark, seeds, unseen):
+    """Up to half of a context's identifiers are not seen by the fixed patterns."""
+    rows = [(i, f"please call me at phone: +1 (555) 010-{1000 + i * 7} thanks a lot number {i}") for i in range(seeds)]
+    rows += [(100 + i, f"please call me at phone: {5550101234 + i * 11} thanks a lot") for i in range(unseen)]
+    by_id = {r.doc_id: r for r in pii.find_personal_data(docs(spark, rows)).collect()}
+    assert all([(s.kind, s.start, s.end) for s in by_id[100 + i].added] == [("phone", 25, 35)] for i in range(unseen))
+
+
+@pytest.mark.parametrize("unseen", [10, 30])
+def test_one_pattern_is_enough(spark, unseen):
+    """Only the two words before are the same."""
+    rows = [(i, f"please a{i}b call me at phone: +1 (555) 010-{1000 + i * 7} x{i}y z{i}") for i in range(30)]
+    rows += [(100 + i, f"please call me at phone: {5550101234 + i * 11} v{i}w u{i}") for i in range(unseen)]
+    by_id = {r.doc_id: r for r in pii.find_personal_data(docs(spark, rows)).collect()}
+    assert all([s.kind for s in by_id[100 + i].added] == ["phone"] for i in range(unseen))
+
+
+def test_a_context_of_mostly_other_numbers_adds_nothing(spark):
+    rows = [(i, f"the record has the number +1 (555) 010-{1000 + i * 7} in it") for i in range(8)]
+    rows += [(100 + i, f"the record has the number {20240000 + i * 11} in it") for i in range(80)]
+    assert all(r.added == [] for r in pii.find_personal_data(docs(spark, rows)).collect())
+
+
 def test_messy_rows(clashing, messy_rows, no_docs):
     rows = pii.find_personal_data(clashing).collect()
     assert sorted(repr(r.doc_id) for r in rows) == sorted(repr(r[0]) for r in messy_rows)
