@@ -30,7 +30,7 @@ ALL_TERMS = (1 << 31) - 1
 HASHED_FEATURES = 1 << 22
 MAX_ITERATIONS = 1000
 # The optimiser ends when a step improves the objective by less than this part of it.
-TOLERANCE = 1e-3
+TOLERANCE = 1e-6
 
 _INPUT = "model_text"
 _STAGE_COLUMNS = (_INPUT, "tokens", "counts", "weighted", "features", "rawPrediction",

@@ -57,6 +57,20 @@ def test_regularisation_is_that_of_summed_losses(spark, samples, model):
     assert abs(gradient).max() < 1e-2
 
 
+def test_default_fit_is_converged(samples):
+    """With the defaults the gradient vanishes as well."""
+    fitted = classify.fit(samples)
+    regression = fitted.stages[-1]
+    rows = fitted.transform(samples.withColumn(classify._INPUT, F.col("text"))).select(
+        "features", "probability", "label"
+    ).collect()
+    gradient = regression.coefficients.toArray().copy()
+    for row in rows:
+        error = row["probability"][1] - row["label"]
+        gradient[row["features"].indices] += error * row["features"].values
+    assert abs(gradient).max() < 1e-2
+
+
 def test_separable_data_and_determinism(samples, model):
     row = classify.evaluate(model, samples).first()
     assert row["accuracy"] == 1.0 and row["total"] == 240
