@@ -7,6 +7,9 @@ nothing is known about yet weigh little: they are what is looked for. An
 identifier's score is one minus the chance that all its confident patterns err; seeds keep score 1 for
 their kind. After some rounds, unseen identifiers of a high score are added as spans of that kind.
 
+Other identifiers are single tokens, and runs of neighbouring tokens of digits with the separators of the
+fixed patterns. Where a run is added, tokens within it are not added again.
+
 Patterns are the two words before, the word before with the word after, and the two words after.
 One needs several distinct seeds and must be confident, so chance neighbours add nothing.
 
@@ -36,8 +39,10 @@ DOUBT = 1.0
 #: Weight of an identifier that is no seed and has no score yet.
 UNKNOWN = 0.1
 MIN_SCORE = 0.9
-#: Digits that a token needs to be looked at as an identifier.
+#: Digits that a token or a run of them needs to be looked at as an identifier, and the most of a run:
+#: no kind has more. Of longer runs only the single tokens are looked at.
 MIN_DIGITS = 6
+MAX_RUN_DIGITS = 19
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -46,6 +51,10 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _TOKEN = re.compile(r"\S+")
+#: First, further and last tokens of a run of digits: what stands before, digits, and what ends the run.
+_RUN_FIRST = re.compile(r"(?:[^0-9\s]*[:=])?[\"'`<\[{(+]*[0-9][0-9().-]*")
+_RUN_NEXT = re.compile(r"[0-9().-]+")
+_RUN_END = re.compile(r"[\"'`,;:!?\]}>]*")
 _EDGES = "\"'`.,;:!?()[]{}<>"
 
 
@@ -98,6 +107,37 @@ def _lexical(token: str) -> str:
     return _DIGIT.sub("0", token.lower())
 
 
+def _runs(text: str, tokens: list[tuple[int, int]], taken: set[int]) -> list[tuple[int, int, int, int]]:
+    """(start, end, first token, last token) of runs of two or more tokens of digits, as long as they go."""
+    runs, i = [], 0
+    while i < len(tokens):
+        first, match = i, None if i in taken else _RUN_FIRST.match(text, *tokens[i])
+        i += 1
+        while match:
+            if match.end() < tokens[i - 1][1]:  # only what closes it may follow
+                if not _RUN_END.fullmatch(text, match.end(), tokens[i - 1][1]):
+                    i -= 1  # not of the run, but another may begin here
+                break
+            if i == len(tokens) or i in taken or text[tokens[i - 1][1] : tokens[i][0]].strip(" "):
+                break
+            match = _RUN_NEXT.match(text, *tokens[i])
+            i += bool(match)
+        last = i - 1
+        while last > first and not _DIGIT.search(text, *tokens[last]):
+            last -= 1
+        if last > first:
+            start = _DIGIT.search(text, tokens[first][0]).start()
+            end = max(m.end() for m in _DIGIT.finditer(text, *tokens[last]))
+            if text.count(")", start, end) > text.count("(", start, end) and text[start - 1 : start] == "(":
+                start -= 1
+            if text[start - 1 : start] == "+" and start > tokens[first][0]:
+                start -= 1
+            if MIN_DIGITS <= len(_DIGIT.findall(text, start, end)) <= MAX_RUN_DIGITS:
+                runs.append((start, end, first, last))
+        i = max(i, first + 1)
+    return runs
+
+
 def occurrences(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
     """Base spans and other identifiers of a text with the patterns around them."""
     if not spans and not _DIGIT.search(text) and "@" not in text:
@@ -108,12 +148,12 @@ def occurrences(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
     taken = set()
     found = []
 
-    def add(kind: str | None, start: int, end: int, first: int, last: int) -> None:
+    def add(kind: str | None, start: int, end: int, first: int, last: int, run: int | None = None) -> None:
         word = lambda i: _lexical(text[slice(*tokens[i])]) if 0 <= i < len(tokens) else "^"
         before, after = word(first - 1), word(last + 1)
         found.append(
             {
-                "kind": kind, "start": start, "end": end, "value": text[start:end],
+                "kind": kind, "start": start, "end": end, "value": text[start:end], "run": start if run is None else run,
                 "patterns": [f"{word(first - 2)} {before} _", f"{before} _ {after}", f"_ {after} {word(last + 2)}"],
             }
         )
@@ -123,6 +163,10 @@ def occurrences(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
         last = bisect_left(begins, end) - 1
         taken.update(range(first, last + 1))
         add(kind, start, end, first, last)
+    within = {}
+    for start, end, first, last in _runs(text, tokens, taken):
+        within.update(dict.fromkeys(range(first, last + 1), start))
+        add(None, start, end, first, last)
     for i, (a, b) in enumerate(tokens):
         token = text[a:b]
         if i in taken or ("@" not in token and len(_DIGIT.findall(token)) < MIN_DIGITS):
@@ -130,13 +174,13 @@ def occurrences(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
         core = token.strip(_EDGES)
         if core:
             start = a + token.index(core)
-            add(None, start, start + len(core), i, i)
+            add(None, start, start + len(core), i, i, within.get(i))
     return found
 
 
 SCHEMA = (
     "base array<struct<kind: string, start: bigint, end: bigint>>, found array<struct<kind: string, "
-    "start: bigint, end: bigint, value: string, patterns: array<string>>>"
+    "start: bigint, end: bigint, value: string, run: bigint, patterns: array<string>>>"
 )
 
 
@@ -148,7 +192,7 @@ def _find(columns: list[pa.Array]) -> list[pa.Array]:
         base.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
         found.append(occurrences(text, spans))
     span = [("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]
-    more = [("value", pa.string()), ("patterns", pa.list_(pa.string()))]
+    more = [("value", pa.string()), ("run", pa.int64()), ("patterns", pa.list_(pa.string()))]
     return [
         pa.array(base, pa.list_(pa.struct(span))),
         pa.array(found, pa.list_(pa.struct([*span, *more]))),
@@ -219,11 +263,14 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     known = bootstrap(mentions)
     added = (
         mentions.filter("kind IS NULL")
-        .select("row_id", "value", "start", "end")
+        .select("row_id", "value", "run", "start", "end")
         .join(known, "value")
-        .groupBy("row_id")
-        .agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
+        .groupBy("row_id", "run")  # a run and the few tokens of it
+        .agg(F.collect_list(F.struct("kind", "start", "end")).alias("spans"))
     )
+    inside = lambda s, t: (t["start"] <= s["start"]) & (s["end"] <= t["end"]) & (t["end"] - t["start"] > s["end"] - s["start"])
+    widest = F.filter("spans", lambda s: ~F.exists("spans", lambda t: inside(s, t)))
+    added = added.select("row_id", widest.alias("spans")).groupBy("row_id").agg(F.flatten(F.collect_list("spans")).alias("added"))
     none = F.array().cast("array<struct<kind: string, start: bigint, end: bigint>>")
     result = rows.join(added, "row_id", "left").withColumn("added", F.coalesce("added", none))
     return result.select(

@@ -90,6 +90,27 @@ def test_a_context_of_mostly_other_numbers_adds_nothing(spark):
     assert all(r.added == [] for r in pii.find_personal_data(docs(spark, rows)).collect())
 
 
+@pytest.mark.parametrize("unseen", ["555 010 1234", "(555) 010-1234", "555 - 010 - 1234", "4539 1488 0343 6468"])
+def test_identifiers_of_several_tokens(spark, unseen):
+    rows = [(i, f"please call me at phone: +1 (555) 010-{1000 + i * 7} thanks a lot number {i}") for i in range(30)]
+    rows += [(100, f"please call me at phone: {unseen} thanks a lot"), (101, f"please call me at phone: {unseen}, thanks")]
+    by_id = {r.doc_id: r for r in pii.find_personal_data(docs(spark, rows)).collect()}
+    for i in (100, 101):
+        assert [(s.kind, s.start, s.end) for s in by_id[i].added] == [("phone", 25, 25 + len(unseen))]
+
+
+def test_runs_of_tokens():
+    def runs(text):
+        return [text[a:b] for a, b, _, _ in pii._runs(text, [m.span() for m in pii._TOKEN.finditer(text)], set())]
+
+    assert runs("call (555) 010-1234. Or tel:555 010 1234, 555 010 9999!") == ["(555) 010-1234", "555 010 1234", "555 010 9999"]
+    assert runs("12 34 x 5550101234 one 555 010\n1234 a12 345 678") == ["555 010", "345 678"]
+    assert runs("(555 010 1234) and 2 3 4 5 +555 010 (") == ["555 010 1234", ] + ["+555 010"]
+    assert runs("1234567890 1234567890 and 1 a") == []
+    assert runs("") == runs("1") == runs("- -") == []
+    assert len(runs("1 2 3 a " * 20_000 + "1 2 3 4 5 6")) == 1
+
+
 def test_messy_rows(clashing, messy_rows, no_docs):
     rows = pii.find_personal_data(clashing).collect()
     assert sorted(repr(r.doc_id) for r in rows) == sorted(repr(r[0]) for r in messy_rows)
