@@ -11,6 +11,11 @@ from credsieve.llm.ngram_join import keep_one
 from credsieve.llm.quality import select_good
 from credsieve.llm.sharding import shard
 
+#: Words of a shingle of the near-duplicate stage, and the similarity in hundredths from which on texts
+#: are copies. The query op5_ngram_join has its own.
+SHINGLE_WORDS = 5
+SIMILARITY = 80
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
@@ -19,7 +24,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return keep_one(docs)
+    return keep_one(docs, SHINGLE_WORDS, SIMILARITY)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """N-gram Jaccard self-join by T-occurrence search.
 
-Each text is the set of its distinct 4-word shingles. Two texts link when their Jaccard similarity
+Each text is the set of its distinct shingles (of four words unless the caller says otherwise). Two texts link when their Jaccard similarity
 reaches the threshold, that is, when one occurs often enough in the inverted lists of the other's
 shingles. The search runs in two steps.
 
@@ -18,7 +18,7 @@ texts leave the task, never all pairs of a group.
 Texts with the same set are one node throughout. Shingles and sets are compared by 64-bit hashes.
 
 Defined cases: a null, empty or wordless text has an empty set and is linked with nothing; a text of
-one to three words is one shingle, its whole sequence; texts of any length are taken whole;
+fewer words than a shingle is one shingle, its whole sequence; texts of any length are taken whole;
 repeated rows are linked with each other; the component of rows with null ids only has a null id;
 an empty table gives an empty result; extra columns stay.
 """
@@ -39,8 +39,8 @@ from credsieve.llm.common import SPACED, fold_hashes, mix, staged, text_chunks,
 from credsieve.llm.graph import Sets, components
 from credsieve.llm.lm_scoring import pack, unpack
 
+#: Words of a shingle, and the least similarity in hundredths, where the caller does not give them.
 SHINGLE_WORDS = 4
-#: Least similarity in hundredths.
 THRESHOLD = 85
 #: Prefixes must share this part of a set, in hundredths (at least one shingle).
 SHARED = 10
@@ -87,9 +87,9 @@ def signatures(offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return mix((sums[offsets[1:]] - sums[offsets[:-1]]) + sizes * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def least_overlap(n):
+def least_overlap(n, threshold: int):
     """The least overlap of a set of n shingles with any set that it links with."""
-    return -(-n * THRESHOLD // 100)
+    return -(-n * threshold // 100)
 
 
 def least_shared(n):
@@ -100,39 +100,43 @@ def least_shared(n):
 _NARROW = "doc_id bigint, text_hash bigint, sig bigint, n bigint, bucket bigint, seen bigint"
 
 
-def _survey(batches):
+def _survey(size: int):
     """Size and signature of every set, and then how many sets hold shingles of each sketch bucket."""
-    seen = np.zeros(1 << SKETCH_BITS, np.int64)
-    names = ["doc_id", "text_hash", "sig", "n", "bucket", "seen"]
-    for batch in batches:
-        sizes, marks = [], []
-        for _, offsets, hashes in shingle_sets(batch.column("text")):
-            seen += np.bincount((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(seen))
-            sizes.append(np.diff(offsets))
-            marks.append(signatures(offsets, hashes))
-        rows = batch.num_rows
-        columns = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (marks, sizes)]
-        none = pa.nulls(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("text_hash"), *[pa.array(c, pa.int64()) for c in columns], none, none],
-            names=names,
-        )
-    buckets = np.flatnonzero(seen)
-    none = pa.nulls(len(buckets), pa.int64())
-    yield pa.RecordBatch.from_arrays([none] * 4 + [pa.array(buckets), pa.array(seen[buckets])], names=names)
+
+    def run(batches):
+        seen = np.zeros(1 << SKETCH_BITS, np.int64)
+        names = ["doc_id", "text_hash", "sig", "n", "bucket", "seen"]
+        for batch in batches:
+            sizes, marks = [], []
+            for _, offsets, hashes in shingle_sets(batch.column("text"), size):
+                seen += np.bincount((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(seen))
+                sizes.append(np.diff(offsets))
+                marks.append(signatures(offsets, hashes))
+            rows = batch.num_rows
+            columns = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (marks, sizes)]
+            none = pa.nulls(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_hash"), *[pa.array(c, pa.int64()) for c in columns], none, none],
+                names=names,
+            )
+        buckets = np.flatnonzero(seen)
+        none = pa.nulls(len(buckets), pa.int64())
+        yield pa.RecordBatch.from_arrays([none] * 4 + [pa.array(buckets), pa.array(seen[buckets])], names=names)
+
+    return run
 
 
 _POSTINGS = "bucket bigint, shingles binary, places binary, sigs binary, sizes binary"
 _SHARED = "shingle bigint, sig bigint, n bigint"
 
 
-def _prefixes(sketch, bits: int):
+def _prefixes(sketch, bits: int, size: int, threshold: int):
     """Emits the prefix shingles of every distinct set of a task, packed by bucket."""
 
     def run(batches):
         known: set[int] = set()
         for batch in batches:
-            for _, offsets, hashes in shingle_sets(batch.column("text")):
+            for _, offsets, hashes in shingle_sets(batch.column("text"), size):
                 sigs, sizes = signatures(offsets, hashes), np.diff(offsets)
                 own = np.repeat(np.arange(len(sizes)), sizes)
                 fresh = np.zeros(len(sizes), bool)
@@ -143,7 +147,7 @@ def _prefixes(sketch, bits: int):
                 seen = sketch.value[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 order = np.lexsort((seen, own))  # stable: equal frequencies stay in the order of hashes
                 place = np.arange(len(hashes)) - np.repeat(offsets[:-1], sizes)
-                length = sizes - least_overlap(sizes) + least_shared(sizes)
+                length = sizes - least_overlap(sizes, threshold) + least_shared(sizes)
                 chosen = (place < np.repeat(length, sizes)) & np.repeat(fresh, sizes)
                 shingles, texts = hashes[order][chosen], own[chosen]
                 order = np.argsort(shingles, kind="stable")
@@ -190,9 +194,9 @@ def _meeting(key, table):
     return pa.table({"shingle": shingles[shared].view(np.int64), "sig": sigs[shared], "n": sizes[shared]})
 
 
-def _pruned(postings: DataFrame) -> DataFrame:
+def _pruned(postings: DataFrame, threshold: int) -> DataFrame:
     """Drops sets that meet others on too few prefix shingles for any link, then lists of one set."""
-    enough = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * THRESHOLD / 100) * SHARED / 100))
+    enough = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * threshold / 100) * SHARED / 100))
     active = postings.groupBy("sig", "n").agg(F.count("*").alias("met")).filter(F.col("met") >= enough)
     left = postings.join(active.select("sig"), "sig")
     lists = left.groupBy("shingle").agg(F.count("*").alias("sets"), F.min("sig").alias("hub")).filter("sets > 1")
@@ -202,7 +206,8 @@ def _pruned(postings: DataFrame) -> DataFrame:
 class Index:
     """Inverted lists of the sets of one task, and the search over them."""
 
-    def __init__(self, sets: list[np.ndarray]) -> None:
+    def __init__(self, sets: list[np.ndarray], threshold: int) -> None:
+        self.threshold = threshold
         self.sets, self.sizes = sets, np.array([len(s) for s in sets], dtype=np.int64)
         shingles = np.concatenate(sets) if sets else np.empty(0, np.uint64)
         owners = np.repeat(np.arange(len(sets)), self.sizes)
@@ -216,11 +221,11 @@ class Index:
 
         ``other`` marks the texts to look at; None stands for all.
         """
-        own, n = self.sets[text], len(self.sets[text])
+        own, n, threshold = self.sets[text], len(self.sets[text]), self.threshold
         at = np.searchsorted(self.keys, own)
         lengths = self.ends[at] - self.starts[at]
         order = np.argsort(lengths, kind="stable")
-        n_long = least_overlap(n) - 1  # lists that may be left to probing: T - 1
+        n_long = least_overlap(n, threshold) - 1  # lists that may be left to probing: T - 1
         short, long = at[order[: n - n_long]], at[order[n - n_long :]]
         lists = [self.owners[self.starts[i] : self.ends[i]] for i in short.tolist()]
         merged = heapq.merge(*[x[: np.searchsorted(x, text)].tolist() for x in lists if x[0] < text])
@@ -229,7 +234,7 @@ class Index:
             return
         found, overlap = (np.array(x) for x in zip(*counts))
         sizes = self.sizes[found]
-        fits = (sizes * 100 >= n * THRESHOLD) & (n * 100 >= sizes * THRESHOLD)
+        fits = (sizes * 100 >= n * threshold) & (n * 100 >= sizes * threshold)
         if other is not None:
             fits &= other[found]
         mine = connected.find(text)
@@ -241,48 +246,55 @@ class Index:
             probed = self.owners[self.starts[i] : self.ends[i]]
             place = np.minimum(np.searchsorted(probed, found), len(probed) - 1)
             overlap = overlap + (probed[place] == found)
-        linked = overlap * (100 + THRESHOLD) >= THRESHOLD * (n + sizes)
+        linked = overlap * (100 + threshold) >= threshold * (n + sizes)
         yield from found[linked].tolist()
 
 
-def _search(key, table):
+def _search(threshold: int):
     """Links of a family, or of a pair of its blocks, that connect its texts."""
-    _, _, one, two = (k.as_py() for k in key)
-    sigs = table.column("sig").to_numpy()
-    order = np.argsort(sigs)
-    blocks = table.column("own").to_numpy()[order]
-    sigs = sigs[order]
-    sets = [unpack(table.column("shingles")[i].as_py(), np.uint64, delta=True) for i in order.tolist()]
-    fresh = np.ones(len(sigs), bool)
-    fresh[1:] = sigs[1:] != sigs[:-1]
-    keep = np.flatnonzero(fresh)
-    sigs, blocks, sets = sigs[keep], blocks[keep], [sets[i] for i in keep.tolist()]
-    index, connected, links = Index(sets), Sets(len(sets)), []
-    for text in range(len(sets)):
-        other = None if one == two else blocks != blocks[text]
-        for found in index.links(text, connected, other):
-            if connected.join(text, found):
-                links.append((text, found))
-    a, b = (np.array(x, dtype=np.int64) for x in zip(*links)) if links else (np.empty(0, np.int64),) * 2
-    return pa.table({"a": pa.array(sigs[a], pa.int64()), "b": pa.array(sigs[b], pa.int64())})
-
-
-def _sets(batches):
-    for batch in batches:
-        for first, offsets, hashes in shingle_sets(batch.column("text")):
-            rows = len(offsets) - 1
-            sets = [pack(hashes[a:b], delta=True) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            part = batch.slice(first, rows)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("places"), pa.array(signatures(offsets, hashes)), pa.array(sets, pa.binary())],
-                names=["places", "sig", "shingles"],
-            )
+
+    def run(key, table):
+        _, _, one, two = (k.as_py() for k in key)
+        sigs = table.column("sig").to_numpy()
+        order = np.argsort(sigs)
+        blocks = table.column("own").to_numpy()[order]
+        sigs = sigs[order]
+        sets = [unpack(table.column("shingles")[i].as_py(), np.uint64, delta=True) for i in order.tolist()]
+        fresh = np.ones(len(sigs), bool)
+        fresh[1:] = sigs[1:] != sigs[:-1]
+        keep = np.flatnonzero(fresh)
+        sigs, blocks, sets = sigs[keep], blocks[keep], [sets[i] for i in keep.tolist()]
+        index, connected, links = Index(sets, threshold), Sets(len(sets)), []
+        for text in range(len(sets)):
+            other = None if one == two else blocks != blocks[text]
+            for found in index.links(text, connected, other):
+                if connected.join(text, found):
+                    links.append((text, found))
+        a, b = (np.array(x, dtype=np.int64) for x in zip(*links)) if links else (np.empty(0, np.int64),) * 2
+        return pa.table({"a": pa.array(sigs[a], pa.int64()), "b": pa.array(sigs[b], pa.int64())})
+
+    return run
+
+
+def _sets(size: int):
+    def run(batches):
+        for batch in batches:
+            for first, offsets, hashes in shingle_sets(batch.column("text"), size):
+                rows = len(offsets) - 1
+                sets = [pack(hashes[a:b], delta=True) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                part = batch.slice(first, rows)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("places"), pa.array(signatures(offsets, hashes)), pa.array(sets, pa.binary())],
+                    names=["places", "sig", "shingles"],
+                )
+
+    return run
 
 
 _PLACES = "array<struct<family: bigint, span: int, blocks: int>>"
 
 
-def _placed(families: DataFrame, sizes: DataFrame) -> DataFrame:
+def _placed(families: DataFrame, sizes: DataFrame, threshold: int) -> DataFrame:
     """(sig, places): the searches that a set takes part in.
 
     A large family is searched by spans of set sizes. Classes of sizes are wider than the sizes of
@@ -290,7 +302,7 @@ def _placed(families: DataFrame, sizes: DataFrame) -> DataFrame:
     with the next. What is still too large is cut into blocks.
     """
     large = families.groupBy("family").agg(F.count("*").alias("texts"))
-    width = math.log(100 / (THRESHOLD - 1))
+    width = math.log(100 / (threshold - 1))
     size_class = F.floor(F.log("n") / F.lit(width)).cast("int")
     spans = F.when(F.col("texts") <= BLOCK_TEXTS, F.array(F.lit(0))).otherwise(F.array(size_class - 1, size_class))
     each = families.join(sizes, "sig").join(large, "family").select("sig", "family", F.explode(spans).alias("span"))
@@ -299,12 +311,12 @@ def _placed(families: DataFrame, sizes: DataFrame) -> DataFrame:
     return each.join(blocks, ["family", "span"]).groupBy("sig").agg(place)
 
 
-def link(docs: DataFrame) -> DataFrame:
+def link(docs: DataFrame, size: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id) of every row."""
     spark = docs.sparkSession
     text_hash = F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_hash, "text")
-    survey = staged(texts.mapInArrow(_survey, _NARROW))
+    survey = staged(texts.mapInArrow(_survey(size), _NARROW))
     rows = survey.filter("n IS NOT NULL").select("doc_id", "text_hash", "sig", "n")
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)  # a fixed number of counts, whatever the input
     for r in survey.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("seen").alias("s")).collect():
@@ -312,12 +324,12 @@ def link(docs: DataFrame) -> DataFrame:
     total = int(sketch.sum())
     bits = max(3, math.ceil(math.log2(max(1, total / 5 / BUCKET_KEYS))))
     shared = spark.sparkContext.broadcast(sketch)
-    packed = texts.select("text").mapInArrow(_prefixes(shared, bits), _POSTINGS)
+    packed = texts.select("text").mapInArrow(_prefixes(shared, bits, size, threshold), _POSTINGS)
     postings = staged(packed.groupBy("bucket").applyInArrow(_meeting, _SHARED))
-    postings = _pruned(_pruned(postings).select("shingle", "sig", "n"))
+    postings = _pruned(_pruned(postings, threshold).select("shingle", "sig", "n"), threshold)
     ties = postings.filter("sig <> hub").select(F.col("sig").alias("a"), F.col("hub").alias("b"))
     families = staged(components(ties).withColumnRenamed("root", "family").withColumnRenamed("node", "sig"))
-    placed = _placed(families, postings.select("sig", "n").distinct())
+    placed = _placed(families, postings.select("sig", "n").distinct(), threshold)
     # One row stands for each set; its text is read again for the shingles.
     row = F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash")).alias("row")
     chosen = rows.filter("n > 0").groupBy("sig").agg(row).join(placed, "sig")
@@ -325,13 +337,13 @@ def link(docs: DataFrame) -> DataFrame:
         texts.withColumn("id", F.coalesce("doc_id", F.lit(0)))
         .join(chosen.select("row.id", "row.text_hash", "places"), ["id", "text_hash"])
         .select("places", "text")
-        .mapInArrow(_sets, f"places {_PLACES}, sig bigint, shingles binary")
+        .mapInArrow(_sets(size), f"places {_PLACES}, sig bigint, shingles binary")
         .select(F.inline("places"), "sig", "shingles")
         .withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
     )
     dealt = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("family", "span", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two"), "sig", "own", "shingles")
-    links = staged(dealt.groupBy("family", "span", "one", "two").applyInArrow(_search, "a bigint, b bigint"))
+    links = staged(dealt.groupBy("family", "span", "one", "two").applyInArrow(_search(threshold), "a bigint, b bigint"))
     return _named(rows, components(links))
 
 
@@ -347,12 +359,12 @@ def _named(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return filled.unionByName(empty)
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """One document of each component, that of the smallest id; columns unchanged.
 
     Texts without words are linked with nothing and all stay.
     """
-    linked = staged(link(docs))
+    linked = staged(link(docs, size, threshold))
     filled = linked.filter("n_shingles > 0")
     root = F.coalesce(F.col("component_id"), F.col("text_hash"))
     kept = filled.groupBy(root, F.col("component_id").isNull()).agg(

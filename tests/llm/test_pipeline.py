@@ -44,6 +44,15 @@ def test_join_stage(stages):
     assert ids(stages[2]) == sorted({c for _, _, c in expected})
 
 
+def test_join_stage_takes_five_words_and_four_fifths(spark):
+    """100 words with 20 more share 96 of 116 shingles of five words; with 30 more 96 of 126."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[:n]), None, None, n) for i, n in enumerate((100, 120, 147))]
+    rows += [(10, " ".join(words[200:300]), None, None, 100), (11, " ".join(words[200:330]), None, None, 130)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert ids(corpus_pipeline.keep_one_of_each(spark, docs, SF).collect()) == [0, 10, 11]
+
+
 def test_benchmark_stage(spark, stages):
     items = [tuple(r) for r in read(spark, SF, "benchmark").select("item_id", "text").collect()]
     assert ids(stages[3]) == sorted(r.doc_id for r in stages[2] if not passages(r.text, items)[1])
