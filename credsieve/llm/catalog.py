@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from credsieve.llm import chat, embedding_dedup, lm_scoring, mixing, ngram_join, pii, quality, sharding, token_counts
+from credsieve.llm import alignment, chat, embedding_dedup, lm_scoring, mixing, ngram_join, pii, quality, sharding, token_counts
 from credsieve.llm.common import read
 from credsieve.llm.decontaminate import find_passages
 from credsieve.llm.oracles import ORACLES
@@ -98,11 +98,17 @@ def op10_chat(spark, sf_dir):
     )
 
 
+def op13_token_alignment(spark, sf_dir):
+    paths = [public_tokenizers.path(v) for v in (alignment.VOCABULARY_A, alignment.VOCABULARY_B)]
+    aligned = alignment.align(read(spark, sf_dir, "documents"), *paths, keep=["doc_id"])
+    return aligned.select("row.doc_id", *[c for c in aligned.columns if c != "row"])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_lm_scoring, op2_sharding, op3_token_counts, op4_decontaminate, op5_ngram_join, op6_quality, op7_pii, op8_mixing,
-        op9_embedding_dedup, op10_chat,
+        op9_embedding_dedup, op10_chat, op13_token_alignment,
     )
 }
 

@@ -135,7 +135,7 @@ def annotated(
     keep = frame.columns if keep is None else keep
     needed = list(dict.fromkeys([*keep, *inputs]))
     source = frame.select(packed(frame.select(*[f"`{c}`" for c in needed])).alias("row"))
-    names = [field.strip().split()[0] for field in _fields(schema)]
+    names = [field.strip().split()[0] for field in ddl_fields(schema)]
     row_type = frame.select(*[f"`{c}`" for c in keep]).schema.simpleString()
     kept = [needed.index(c) for c in keep]
     read_at = [needed.index(c) for c in inputs]
@@ -152,7 +152,7 @@ def annotated(
     return source.mapInArrow(run, f"row {row_type}, {schema}")
 
 
-def _fields(schema: str) -> list[str]:
+def ddl_fields(schema: str) -> list[str]:
     """The fields of a DDL schema, split at its outer commas."""
     fields, depth, last = [], 0, 0
     for i, c in enumerate(schema):
