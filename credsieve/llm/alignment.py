@@ -32,6 +32,7 @@ An empty table gives an empty result; extra columns stay inside ``row``, so name
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -45,7 +46,7 @@ from credsieve.llm.common import ddl_fields, packed, staged
 
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of blobs and their ids that a worker remembers before it starts over, and the longest such blob.
-REMEMBERED_BYTES, REMEMBERED_CHARS = 96 << 20, 64
+REMEMBERED_BYTES, REMEMBERED_CHARS = 160 << 20, 64
 #: Characters that are merged at once, and blobs of one lane.
 BATCH_CHARS, LANE_BLOBS = 1 << 20, 256
 #: A block ends with the document that brings it to so many entries (document, pair) or characters.
@@ -102,52 +103,92 @@ class Tokenizers:
             [b"%d%c" % (i, c) for n, ends in ((len(self.a_bytes), b",|"), (len(self.b_bytes), b",;"))
              for c in ends for i in range(n)], dtype=object,
         )
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        #: The number of each blob seen; by number, whether its ids give it back, and where they lie.
+        self.known: dict[str, int] = {}
+        self.sound = np.zeros(0, bool)
+        self.a_ids, self.b_ids = _Lists(), _Lists()
         self.held = 0
 
     def blobs(self, text: str) -> list[str]:
         text = f" {text}"
         return _BLOBS.findall(text) if self.in_blobs else [text]
 
-    def encode(self, blobs: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """The ids of A and of B of each blob, 4 bytes each; None where they do not give it back."""
-        a = [e.ids for e in self.a.encode_batch(blobs, add_special_tokens=False)]
+    def encode(self, blobs: list[str]) -> tuple[np.ndarray, ...]:
+        """(ids of A one after another, how many of each blob, the same for B, whether each is given back)."""
+        raw = [blob.encode("utf-8", "surrogatepass") for blob in blobs]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        a = [e.ids for e in self.a.encode_batch_fast(blobs, add_special_tokens=False)]
         if self.in_blobs:
             # The line end keeps the blob's own start apart from the space that B puts in front.
-            b = [ids[len(self.start) :] for ids in self.b.encode([f"\n{x}" for x in blobs], num_threads=1)]
+            skip, b = len(self.start), self.b.encode(["\n" + x for x in blobs], num_threads=1)
         else:
-            b = self.b.encode([x[1:] for x in blobs], num_threads=1)
-        out = []
-        for blob, x, y in zip(blobs, a, b):
-            raw = blob.encode("utf-8", "surrogatepass")
-            same = b"".join([self.a_bytes[i] for i in x]) == raw == b"".join([self.b_bytes[i] for i in y])
-            out.append((np.array(x, "<i4").tobytes(), np.array(y, "<i4").tobytes()) if same else None)
-        return out
-
-    def encoded(self, texts: list[list[str]]) -> list[list[tuple[bytes, bytes] | None]]:
-        """The same for the blobs of several texts, from memory where they are short."""
+            skip, b = 0, self.b.encode([x[1:] for x in blobs], num_threads=1)
+        out, sound = [], np.ones(len(raw), bool)
+        for ids, left, table, lengths in ((a, 0, self.a_bytes, self.a_sizes), (b, skip, self.b_bytes, self.b_sizes)):
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(n.sum()))
+            if left:
+                own = np.ones(len(flat), bool)
+                own[((np.cumsum(n) - n)[:, None] + np.arange(left)).ravel()] = False
+                flat, n = flat[own], n - left
+            ends = np.cumsum(n)
+            covered = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths[flat])])
+            sound &= covered[ends] - covered[ends - n] == sizes
+            # Where the lengths agree the bytes are compared all at once, and one by one only if they differ.
+            if not sound.all() or b"".join([table[i] for i in flat.tolist()]) != b"".join(raw):
+                for i in np.flatnonzero(sound).tolist():
+                    sound[i] = b"".join([table[t] for t in ids[i][left:]]) == raw[i]
+            out += [flat, n]
+        return *out, sound
+
+    def numbers(self, blobs: list[str]) -> np.ndarray:
+        """The number of each blob; new ones are encoded, each once."""
         if self.held > REMEMBERED_BYTES:
-            self.known.clear()
-            self.held = 0
-        known = self.known
-        missing = list({b for blobs in texts for b in blobs if b not in known})
-        new: dict[str, tuple[bytes, bytes] | None] = {}
-        at = 0
-        while at < len(missing):
-            end, chars = at, 0
-            while end < len(missing) and chars < 1 << 18:  # what the libraries give back is large
-                chars += len(missing[end])
-                end += 1
-            for blob, ids in zip(missing[at:end], self.encode(missing[at:end])):
-                if len(blob) <= REMEMBERED_CHARS:
-                    known[blob] = ids
-                    self.held += 300 + 4 * len(blob) + (len(ids[0]) + len(ids[1]) if ids else 0)
-                else:
-                    new[blob] = ids
-            at = end
-        if new:
-            return [[known[b] if b in known else new[b] for b in blobs] for blobs in texts]
-        return [[known[b] for b in blobs] for blobs in texts]
+            self.forget()
+        found = np.fromiter(map(self.known.get, blobs, itertools.repeat(-1)), np.int64, len(blobs))
+        missing = np.flatnonzero(found < 0).tolist()
+        if missing:
+            first, known = len(self.sound), {}
+            for i in missing:
+                found[i] = known.setdefault(blobs[i], first + len(known))
+            order, at = list(known), 0
+            while at < len(order):
+                end, chars = at, 0
+                while end < len(order) and chars < 1 << 18:  # what the libraries give back is large
+                    chars += len(order[end])
+                    end += 1
+                a, n_a, b, n_b, sound = self.encode(order[at:end])
+                self.a_ids.add(a, n_a)
+                self.b_ids.add(b, n_b)
+                self.sound = np.concatenate([self.sound, sound])
+                self.held += 200 * (end - at) + 2 * chars + 4 * (len(a) + len(b))
+                at = end
+            self.known.update((b, n) for b, n in known.items() if len(b) <= REMEMBERED_CHARS)
+        return found
+
+
+class _Lists:
+    """Lists of numbers, laid one after another in an array that doubles when it is full."""
+
+    def __init__(self) -> None:
+        self.values, self.used = np.empty(1 << 16, np.int32), 0
+        self.starts = self.sizes = np.empty(0, np.int64)
+
+    def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        if self.used + len(values) > len(self.values):
+            self.values = np.resize(self.values, 2 * (self.used + len(values)))
+        self.values[self.used : self.used + len(values)] = values
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.used += len(values)
+
+    def get(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of these numbers, and how long each is."""
+        sizes = self.sizes[numbers]
+        return self.values[_spans(self.starts[numbers], sizes)].astype(np.int64), sizes
 
 
 _LOADED: dict[tuple[str, str], Tokenizers] = {}
@@ -205,19 +246,20 @@ class Aligned:
 
     def __init__(self, tools: Tokenizers, texts: list[str]) -> None:
         blobs = [tools.blobs(t) if t and _SPACE not in t else [] for t in texts]
-        a_parts, b_parts, a_lanes, b_lanes, of_text = [], [], [0], [0], [0]
-        for found in tools.encoded(blobs):
-            if None not in found:
-                for at in range(0, len(found), LANE_BLOBS):
-                    lane = found[at : at + LANE_BLOBS]
-                    a_parts.append(b"".join([ids for ids, _ in lane]))
-                    b_parts.append(b"".join([ids for _, ids in lane]))
-                    a_lanes.append(a_lanes[-1] + (len(a_parts[-1]) >> 2))
-                    b_lanes.append(b_lanes[-1] + (len(b_parts[-1]) >> 2))
-            of_text.append(len(a_lanes) - 1)
-        self.a = np.frombuffer(b"".join(a_parts), "<i4").astype(np.int64)
-        self.b = np.frombuffer(b"".join(b_parts), "<i4").astype(np.int64)
-        a_lanes, b_lanes = np.array(a_lanes), np.array(b_lanes)
+        numbers = tools.numbers(list(itertools.chain.from_iterable(blobs)))
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs))
+        text = np.repeat(np.arange(len(blobs)), sizes)
+        sound = np.ones(len(blobs), bool)
+        sound[text[~tools.sound[numbers]]] = False
+        numbers, sizes = numbers[sound[text]], sizes * sound
+        self.a, n_a = tools.a_ids.get(numbers)
+        self.b, n_b = tools.b_ids.get(numbers)
+        # A lane ends with its text, or after so many blobs of it.
+        lanes = -(-sizes // LANE_BLOBS)
+        of_text = np.concatenate([np.zeros(1, np.int64), np.cumsum(lanes)])
+        ends = np.repeat(np.cumsum(sizes) - sizes, lanes) + LANE_BLOBS * (_spans(np.zeros_like(lanes), lanes) + 1)
+        ends = np.concatenate([np.zeros(1, np.int64), np.minimum(ends, np.repeat(np.cumsum(sizes), lanes))])
+        a_lanes, b_lanes = (np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])[ends] for n in (n_a, n_b))
         cuts = merge_lockstep(np.cumsum(tools.a_sizes[self.a]), np.cumsum(tools.b_sizes[self.b]), a_lanes, b_lanes)
         self.a_cuts, self.b_cuts = cuts
         #: First token of each text, on both sides, and first group.
