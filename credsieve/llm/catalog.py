@@ -5,7 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from credsieve.llm import alignment, chat, embedding_dedup, lm_scoring, mixing, ngram_join, pii, quality, sharding, token_counts
+from credsieve.llm import (
+    alignment, chat, embedding_dedup, hard_negatives, language_id, lm_scoring, mixing, ngram_join, pii, quality, sharding,
+    token_counts,
+)
 from credsieve.llm.common import read
 from credsieve.llm.decontaminate import find_passages
 from credsieve.llm.oracles import ORACLES
@@ -98,6 +101,17 @@ def op10_chat(spark, sf_dir):
     )
 
 
+def op11_language_id(spark, sf_dir):
+    found = language_id.identify(read(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("row.doc_id", "held_out", "lang_pred", "score")
+
+
+def op12_hard_negatives(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), F.col("id") % 50 == 0)
+
+
 def op13_token_alignment(spark, sf_dir):
     paths = [public_tokenizers.path(v) for v in (alignment.VOCABULARY_A, alignment.VOCABULARY_B)]
     aligned = alignment.align(read(spark, sf_dir, "documents"), *paths, keep=["doc_id"])
@@ -108,7 +122,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_lm_scoring, op2_sharding, op3_token_counts, op4_decontaminate, op5_ngram_join, op6_quality, op7_pii, op8_mixing,
-        op9_embedding_dedup, op10_chat, op13_token_alignment,
+        op9_embedding_dedup, op10_chat, op11_language_id, op12_hard_negatives, op13_token_alignment,
     )
 }
 

@@ -163,6 +163,32 @@ SELECT conv_id, count(*) AS n_turns,
 FROM rows_ GROUP BY conv_id
 """
 
+OP12 = """
+WITH usable AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+    SELECT a.vec_id AS anchor_id, r.vec_id AS other_id, a.label = r.label AS same,
+        list_inner_product(a.v, r.v)::BIGINT AS score
+    FROM usable a JOIN usable r ON a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id
+),
+positives AS (
+    SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+),
+negatives AS (
+    SELECT p.*, s.other_id AS negative_id, s.score AS negative_score,
+        row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.other_id)::INTEGER AS rank
+    FROM positives p JOIN scored s USING (anchor_id)
+    WHERE NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 3
+"""
+
 ORACLES = {
     "op2_sharding": OP2,
     "op4_decontaminate": OP4,
@@ -170,4 +196,5 @@ ORACLES = {
     "op8_mixing": OP8,
     "op9_embedding_dedup": OP9,
     "op10_chat": OP10,
+    "op12_hard_negatives": OP12,
 }
