@@ -313,7 +313,7 @@ def mine(
     tiles = staged(_packed_tiles(candidates, TILE, "tile"))
     anchors = candidates.filter(is_anchor)
     blocks = staged(_packed_tiles(anchors, ANCHORS, "block"))
-    positives = _top(_meet(blocks, tiles, _SameLabel), ["anchor"], "positive", POSITIVES)
+    positives = staged(_top(_meet(blocks, tiles, _SameLabel), ["anchor"], "positive", POSITIVES))
     listed = positives.groupBy(F.col("anchor").alias("id")).agg(
         F.array_sort(F.collect_list(F.struct("rank", "positive", "score"))).alias("best")
     )
