@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from credsieve import settings
 from credsieve.functions.regex import to_java
+from credsieve.sources.files import with_content
 from credsieve.sources.tables import language_table
 
 OTHER = "Other"
@@ -64,7 +65,7 @@ def contained(content: Column, literals) -> Column:
 
 def code_pattern_hits(files: DataFrame, framework: str, patterns) -> DataFrame:
     """One row (project, path, framework, patterns) per file that holds a pattern."""
-    return files.select(
+    return with_content(files).select(
         "project",
         "path",
         F.lit(framework).alias("framework"),
@@ -116,7 +117,7 @@ def framework_files(
     names = set(manifests).union(*(rule.files for rule in frameworks.values()))
     exts = set().union(*(rule.code_extensions for rule in frameworks.values()))
     candidates = files.filter(name.isin(sorted(names)) | ext.isin(sorted(exts)))
-    return candidates.select("project", "path", F.inline(F.array_compact(F.array(*found))))
+    return with_content(candidates).select("project", "path", F.inline(F.array_compact(F.array(*found))))
 
 
 def framework_evidence(

@@ -16,13 +16,21 @@ from credsieve.operators.classify import score_findings
 from credsieve.operators.scan import scan_files
 from credsieve.plans import scans
 from credsieve.session import scratch
-from credsieve.sources.files import tree_files
+from credsieve.sources.files import stream_files, visible_files
+from credsieve.sources.tree import SETTLE
 
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def stream_tree(spark: SparkSession, root: str, files_per_batch: int | None = None) -> DataFrame:
-    """Files arriving below ``root/<project>/``."""
+def stream_tree(spark: SparkSession, root: str, settle: float = SETTLE) -> DataFrame:
+    """All files arriving below ``root/<project>/``, hidden and empty ones too, once each. A file is taken when it has
+    lain still for ``settle`` seconds. Contents are read by the scan of the batch."""
+    return stream_files(spark, root, settle)
+
+
+def stream_visible_tree(spark: SparkSession, root: str, files_per_batch: int | None = None) -> DataFrame:
+    """Files arriving below ``root/<project>/`` by Spark's own file source, which can bound the files of a batch but
+    passes over empty files and names that start with ``.`` or ``_``."""
     reader = (
         spark.readStream.format("binaryFile")
         .schema(BINARY_FILE_SCHEMA)
@@ -30,7 +38,7 @@ def stream_tree(spark: SparkSession, root: str, files_per_batch: int | None = No
     )
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return tree_files(reader.load(root), root)
+    return visible_files(reader.load(root), root)
 
 
 def start_scan(

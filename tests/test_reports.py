@@ -125,20 +125,53 @@ def write_tree(root, start, n):
 
 def test_stream_equals_batch(spark, tmp_path):
     from credsieve.operators.scan import scan_files
-    from credsieve.sources.files import read_tree
+    from credsieve.sources.files import read_visible_tree
 
     root, out, check = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "check")
     for start in (0, 7):
         write_tree(root, start, 7)
-        arriving = scan_stream.stream_tree(spark, str(root), files_per_batch=3)
+        arriving = scan_stream.stream_visible_tree(spark, str(root), files_per_batch=3)
         query = scan_stream.start_scan(arriving, out, check, once=True)
         query.awaitTermination()
     streamed = scan_stream.read_findings(spark, out)
-    batch = scan_files(read_tree(spark, str(root)))
+    batch = scan_files(read_visible_tree(spark, str(root)))
     assert sorted(streamed.collect()) == sorted(batch.select(streamed.columns).collect())
     assert batch.count() == 14 and len(list((tmp_path / "out").glob("query=*/batch=*"))) >= 4
 
 
+def test_stream_of_all_files_sees_hidden_ones_once(spark, tmp_path):
+    from credsieve.operators.scan import scan_files
+    from credsieve.sources.files import read_tree
+
+    root, out, check = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "check")
+    for start in (0, 7, 14):  # two restarts of the query
+        write_tree(root, start, 7)
+        (root / "p0" / f".env{start}").write_text(f"token=hid{start:03d}\n")
+        (root / "p1" / ".git").mkdir(exist_ok=True)
+        (root / "p1" / ".git" / f"_netrc{start}").write_text("")
+        arriving = scan_stream.stream_tree(spark, str(root), settle=0)
+        query = scan_stream.start_scan(arriving, out, check, once=True)
+        query.awaitTermination()
+    streamed = scan_stream.read_findings(spark, out)
+    batch = scan_files(read_tree(spark, str(root)))
+    assert sorted(streamed.collect()) == sorted(batch.select(streamed.columns).collect())
+    assert streamed.filter("path like '.env%'").count() == 3 and streamed.count() == 24
+    # Nothing new: no batch, nothing twice.
+    before = len(list((tmp_path / "out").glob("query=*/batch=*")))
+    scan_stream.start_scan(scan_stream.stream_tree(spark, str(root), settle=0), out, check, once=True).awaitTermination()
+    assert len(list((tmp_path / "out").glob("query=*/batch=*"))) == before
+
+
+def test_stream_waits_until_a_file_lies_still(tmp_path):
+    from credsieve.sources.tree import TreeStream
+
+    write_tree(tmp_path, 0, 1)
+    assert TreeStream({"root": str(tmp_path), "settle": "3600"}).latestOffset() == {"modified": -1}
+    stream = TreeStream({"root": str(tmp_path), "settle": "0"})
+    offset = stream.latestOffset()
+    assert offset["modified"] > 0 and stream.latestOffset() == offset
+
+
 def test_shared_dir_is_the_one_the_cluster_names(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     assert shared_dir(spark).startswith(root + "/") and shared_dir(spark) != shared_dir(spark)

@@ -42,27 +42,68 @@ def tree(tmp_path):
     return str(tmp_path)
 
 
-def test_tree_and_invalid_utf8(spark, tree):
-    rows = {(r["project"], r["path"]): r for r in files.read_tree(spark, tree).collect()}
+def test_visible_tree_and_invalid_utf8(spark, tree):
+    rows = {(r["project"], r["path"]): r for r in files.read_visible_tree(spark, tree).collect()}
     assert set(rows) == {("one", "src/a.py"), ("one", "bad.txt")}
     assert rows["one", "bad.txt"]["content"] == b"caf\xe9 t\xc3\xa9\xff!".decode("utf-8", "ignore")
     assert rows["one", "src/a.py"]["file_name"] == "a.py"
 
 
-def test_mounted_tree_has_all_files(spark, tree):
-    rows = {(r["project"], r["path"]): r for r in files.read_mounted_tree(spark, tree).collect()}
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_tree_has_all_files(spark, tree, scheme):
+    found = files.with_content(files.read_tree(spark, scheme + tree))
+    rows = {(r["project"], r["path"]): r for r in found.collect()}
     assert set(rows) == {
         ("one", "src/a.py"), ("one", "bad.txt"), ("one", ".env"), ("two", "_x.TAR.GZ"),
     }
+    assert rows["one", "bad.txt"]["content"] == b"caf\xe9 t\xc3\xa9\xff!".decode("utf-8", "ignore")
     assert rows["two", "_x.TAR.GZ"]["ext"] == ".gz" and rows["one", ".env"]["content"] == "hidden"
+    assert rows["two", "_x.TAR.GZ"]["content"] == "" and rows["two", "_x.TAR.GZ"]["length"] == 0
+
+
+def test_tree_equals_a_listing_of_its_own(spark, tmp_path):
+    """SQL over a listing that the test writes itself, with folders of every depth and odd names."""
+    rnd, expected = random.Random(5), []
+    for i in range(120):
+        parts = [rnd.choice(["a", ".git", "_d", "ü b", "x=1"]) for _ in range(rnd.randint(0, 4))]
+        name = rnd.choice([".env", "_netrc", "f.py", "no ending", "a%20b#c"]) + str(i)
+        folder = tmp_path / "root" / f"p{i % 3}" / "/".join(parts)
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_bytes(b"x" * (i % 5))
+        expected.append((f"p{i % 3}", "/".join([*parts, name]), i % 5))
+    spark.createDataFrame(expected, "project string, path string, length bigint").createOrReplaceTempView("expected")
+    for folders in (1, 2, 1000):
+        found = spark.read.format(files._registered(spark)).option("root", str(tmp_path / "root"))
+        found.option("folders", folders).load().createOrReplaceTempView("found")
+        extra = spark.sql("SELECT project, path, length FROM found EXCEPT ALL SELECT * FROM expected").count()
+        assert (extra, spark.table("found").count()) == (0, 120)
+
+
+def test_contents_are_read_only_where_needed(spark, tree):
+    found = files.read_tree(spark, tree)
+    os.remove(os.path.join(tree, "one", ".env"))  # listed by the plan's run, not by the plan
+    result = scans.scan_projects(files.read_tree(spark, tree))
+    plan = result.languages._jdf.queryExecution().toString() + result.exclusions._jdf.queryExecution().toString()
+    assert "raw" not in plan and found.count() == 3
+    assert "raw" in result.findings._jdf.queryExecution().toString()
 
 
 def test_unreadable_file_leaves_the_others_be(spark, tree):
     os.symlink("/nowhere/at/all", os.path.join(tree, "one", "gone.txt"))
-    found = files.read_mounted_tree(spark, tree)
-    rows = {(r["project"], r["path"]): r["content"] for r in found.collect()}
-    assert rows["one", "gone.txt"] is None and rows["one", ".env"] == "hidden"
-    assert files.to_lines(found).filter("path = 'gone.txt'").count() == 0
+    os.symlink(tree, os.path.join(tree, "one", "loop"))
+    listed = files.read_tree(spark, tree)
+    found = files.with_content(listed)
+    rows = {(r["project"], r["path"]): r for r in found.collect()}
+    assert rows["one", "gone.txt"]["content"] is None and rows["one", ".env"]["content"] == "hidden"
+    assert files.to_lines(listed).filter("path = 'gone.txt'").count() == 0
+    assert [tuple(r) for r in files.file_problems(listed).collect()] == [
+        ("one", "gone.txt", "unreadable file: it leads nowhere")
+    ]
+    # A file that goes between the listing and the reading is a problem of its own.
+    ghost = listed.withColumn("location", F.concat("location", F.lit(".gone")))
+    assert {r["problem"] for r in files.file_problems(ghost).collect()} == {
+        "unreadable file: it leads nowhere", "unreadable file: FileNotFoundError",
+    }
 
 
 def zipped(members):
@@ -73,7 +114,8 @@ def zipped(members):
     return buffer.getvalue()
 
 
-def test_archives(spark, tmp_path):
+@pytest.mark.parametrize("read", [archives.read_archives, archives.list_archives])
+def test_archives(spark, tmp_path, read):
     long_path = "d" * 120 + "/" + "n" * 150
     (tmp_path / "app.zip").write_bytes(
         zipped(
@@ -88,7 +130,7 @@ def test_archives(spark, tmp_path):
     damaged[at : at + 4] = b"\xff" * 4
     (tmp_path / "hurt.zip").write_bytes(bytes(damaged))
     (tmp_path / "bad.zip").write_bytes(b"not a zip")
-    found = archives.read_archives(spark, str(tmp_path))
+    found = read(spark, str(tmp_path))
     members = archives.expand_archives(found).collect()
     problems = {(r["project"], r["path"]): r["problem"] for r in members if r["problem"]}
     assert set(problems) == {("app", "../b.py"), ("app", "/abs.py"), ("bad", None), ("hurt", "hurt.py")}
@@ -102,6 +144,38 @@ def test_archives(spark, tmp_path):
     assert sorted(r["project"] for r in broken) == ["bad", "hurt"]
 
 
+def test_members_are_read_by_range(spark, tmp_path, monkeypatch):
+    """An archive is never read whole, its runs go to many tasks, and every kind of damage stays with its member."""
+    rnd = random.Random(3)
+    members = {f"d{i % 7}/f{i}.txt": rnd.randbytes(2000) for i in range(200)} | {"empty": b"", "ü/ß.txt": b"x" * 90_000}
+    (tmp_path / "big.zip").write_bytes(zipped(members))
+    with zipfile.ZipFile(tmp_path / "kinds.zip", "w") as archive:
+        for kind in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2, zipfile.ZIP_LZMA):
+            archive.writestr(f"k{kind}", b"the same text " * 100, kind)
+    (tmp_path / "cut.zip").write_bytes(zipped({"a": "text"})[:-10])
+    (tmp_path / "empty.zip").write_bytes(zipped({}))
+    os.symlink("/nowhere", tmp_path / "gone.zip")
+    index = archives.archive_index(archives.list_archives(spark, str(tmp_path)))
+    # Runs of about 20 KB: many tasks read parts of the one archive.
+    runs = index.withColumn("run", F.floor(F.col("at") / 20_000))
+    assert runs.filter("project = 'big'").select("run").distinct().count() > 10
+    read = archives.read_members(runs)
+    tasks = read.filter("project = 'big'").select(F.spark_partition_id()).distinct().count()
+    rows = {(r["project"], r["path"]): r for r in read.collect()}
+    assert tasks > 4
+    assert {p: r["raw"] for (z, p), r in rows.items() if z == "big"} == members
+    assert {r["raw"] for (z, _), r in rows.items() if z == "kinds"} == {b"the same text " * 100}
+    assert {z for z, p in rows if p is None} == {"cut", "gone"} and not any(z == "empty" for z, _ in rows)
+    assert all(r["problem"].startswith("unreadable archive") for (z, p), r in rows.items() if p is None)
+    # Places that do not hold what the directory says.
+    for change, said in (("at + 3", "no member begins"), ("at + 1000000000", "beyond"), ("at", "")):
+        moved = index.filter("path = 'd0/f0.txt'").withColumn("at", F.expr(change))
+        (row,) = archives.read_members(moved).collect()
+        assert (row["raw"] == members["d0/f0.txt"]) if not said else said in row["problem"]
+    wrong = index.filter("path = 'd0/f0.txt'").withColumn("crc", F.col("crc") + 1)
+    assert "Bad CRC" in archives.read_members(wrong).first()["problem"]
+
+
 def test_archive_reports(spark):
     angular = '{"dependencies": {"@angular/core": "1"}}'
     rows = [
