@@ -44,6 +44,8 @@ SMOOTHING = 1.0
 DEAD_ZONE = 1.0
 ERRORS = 2.0
 TEMPERATURE = 0.05
+#: Bytes of text whose features are found at once: they take some hundred times that.
+FEATURE_BYTES = 256 << 10
 BINS = 1024
 
 _WORDS, _CHARACTERS, _RUNS = 0, 1 << BUCKET_BITS, 2 << BUCKET_BITS
@@ -53,7 +55,7 @@ FEATURES = _RUNS + len(RUNS)
 def features(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, row, feature) of runs of whole texts; each feature of a text once."""
     shift = np.uint64(64 - BUCKET_BITS)
-    for first, raw, offsets in text_chunks(column):
+    for first, raw, offsets in text_chunks(column, FEATURE_BYTES):
         starts, ends, at = word_spans(raw, offsets, SPACED)
         words = word_hashes(raw, starts, ends)
         owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
