@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from credsieve import settings
 from credsieve.functions import text as tx
-from credsieve.functions.regex import to_java
+from credsieve.functions.regex import danger, guarded_search, needs_guard, to_java
 from credsieve.settings import TYPE_LONG_LINE, TYPE_TOO_MANY, Rule
 from credsieve.sources.files import to_lines
 
@@ -72,7 +72,27 @@ def _may_hit(rule: Rule, text: Column, low: Column, ignore_case: bool) -> Column
 
 
 def _hits(rule: Rule, text: Column, low: Column, ignore_case: bool = False) -> Column:
-    return _may_hit(rule, text, low, ignore_case) & text.rlike(to_java(rule.pattern, ignore_case))
+    return _first_match(rule, text, low, ignore_case).isNotNull() if danger(rule.pattern) else (
+        _may_hit(rule, text, low, ignore_case) & text.rlike(to_java(rule.pattern, ignore_case))
+    )
+
+
+def _guarded(rule: Rule, text: Column, low: Column, ignore_case: bool = False) -> Column:
+    """The match outside the JVM, of the texts that need it."""
+    needed = _may_hit(rule, text, low, ignore_case) & needs_guard(rule.pattern, text)
+    return guarded_search(rule.pattern, F.when(needed, text), ignore_case)
+
+
+def _first_match(rule: Rule, text: Column, low: Column, ignore_case: bool = False) -> Column:
+    """The first match of a rule, null without one. A rule that can end a task is kept from the texts it can do so on."""
+    java = to_java(rule.pattern, ignore_case)
+    native = F.when(
+        _may_hit(rule, text, low, ignore_case) & text.rlike(java), F.regexp_extract(text, java, 0)
+    )
+    if danger(rule.pattern) is None:
+        return native
+    guard = needs_guard(rule.pattern, text)
+    return F.when(guard, _guarded(rule, text, low, ignore_case)["found"]).otherwise(F.when(~guard, native))
 
 
 def shared_literals(keywords, shortest: int = 3) -> list[str]:
@@ -137,13 +157,7 @@ def match_rules(
     found = [
         F.when(
             _hits(rule, text, low),
-            row(
-                order,
-                rule.message,
-                F.regexp_extract(text, to_java(rule.pattern), 0),
-                tx.strip(text),
-                "",
-            ),
+            row(order, rule.message, _first_match(rule, text, low), tx.strip(text), ""),
         )
         for order, rule in enumerate(rules, start=1)
     ]
@@ -156,6 +170,40 @@ def match_rules(
     ).select("project", "path", "line", F.inline(hits))
 
 
+def match_problems(
+    lines: DataFrame,
+    rules=settings.RULES,
+    max_line_length: int | None = settings.MAX_LINE_LENGTH,
+) -> DataFrame:
+    """(project, path, line, rule_id, problem) of rules that gave no answer on a line.
+
+    Only rules that could end a task or try for ever have any; their long lines are matched outside the JVM and
+    under a time limit (see ``functions.regex.danger``). All other rows are scanned as usual.
+    """
+    schema = "project string, path string, line int, rule_id string, problem string"
+    risky = [rule for rule in rules if danger(rule.pattern)]
+    if not risky:
+        return lines.sparkSession.createDataFrame([], schema)
+    text, low = F.col("text"), F.col("low")
+    if max_line_length is not None:
+        lines = lines.filter(F.length("text") <= max_line_length)
+    rows = lines.select("project", "path", "line", "text", F.lower("text").alias("low"))
+    found = rows.select(
+        "project",
+        "path",
+        "line",
+        F.explode(
+            F.array(
+                *[
+                    F.struct(F.lit(rule.id).alias("rule_id"), _guarded(rule, text, low)["problem"].alias("problem"))
+                    for rule in risky
+                ]
+            )
+        ).alias("found"),
+    )
+    return found.select("project", "path", "line", "found.*").filter(F.col("problem").isNotNull())
+
+
 def drop_false_positives(findings: DataFrame, literals=settings.FALSE_POSITIVES) -> DataFrame:
     """Drop findings whose context holds a false-positive literal, ignoring case.
 
@@ -276,10 +324,37 @@ def first_rule(text: Column, low: Column, rules=settings.RULES) -> Column:
 # --- findings --------------------------------------------------------------------------------
 
 
-def mask_findings(findings: DataFrame) -> DataFrame:
-    """Star the secrets, also where a context holds them: its own and all others of its line.
+# Around a match. Characters that no text should hold; those that do are read as the third meanwhile.
+_OPEN, _CLOSE, _STRAY = "\ufdd0", "\ufdd1", "\ufdd2"
+
 
-    A character is starred when it is so for any of the line's secrets, so overlapping ones leave
+def masked_view(context: Column, rule: Rule) -> Column:
+    """The context with all matches of a rule starred, the same length.
+
+    The context ends its line, so the line end it was stripped of is put back for the match. Matches that must not
+    meet a long context inside the JVM are left to the secrets that were found.
+    """
+    plain = F.translate(F.concat(context, F.lit("\n")), _OPEN + _CLOSE, _STRAY * 2)
+    marked = F.regexp_replace(plain, F.lit(to_java(rule.pattern)), F.lit(f"{_OPEN}$0{_CLOSE}"))
+    pieces = F.transform(
+        F.split(marked, _OPEN),
+        lambda piece, i: F.when(i == 0, piece).otherwise(
+            F.concat(
+                tx.mask(F.substring_index(piece, _CLOSE, 1)),
+                F.substring(piece, F.length(F.substring_index(piece, _CLOSE, 1)) + 2, F.length(piece)),
+            )
+        ),
+    )
+    view = F.substring(F.array_join(pieces, ""), F.lit(1), F.length(context))
+    possible = _may_hit(rule, context, F.lower(context), False)
+    return F.when(possible & ~needs_guard(rule.pattern, context), view).otherwise(context)
+
+
+def mask_findings(findings: DataFrame, rules=settings.RULES) -> DataFrame:
+    """Star the secrets, also where a context holds them: its own, all others found on its line, and every
+    further match of any rule in the context, of which a finding shows only the first.
+
+    A character is starred when it is so for any of these, so overlapping ones are one span and leave
     nothing in clear. A summary row holds nothing but secrets below its first two lines, which go.
     """
     hidden = tx.mask(F.col("secret"))
@@ -291,19 +366,17 @@ def mask_findings(findings: DataFrame) -> DataFrame:
         .groupBy("project", "path", "line")
         .agg(F.collect_set(bare).alias("_secrets"))
     )
-    views = F.transform("_secrets", lambda s: F.replace(F.col("context"), s, tx.mask(s)))
-    masked = F.aggregate(
-        F.coalesce(views, F.array().cast("array<string>")),
-        F.col("context"),
-        lambda text, view: F.when(text == view, text).otherwise(
-            F.array_join(
-                F.zip_with(
-                    F.split(text, ""), F.split(view, ""), lambda x, y: F.when(y == "*", y).otherwise(x)
-                ),
-                "",
-            )
+    known = F.transform("_secrets", lambda s: F.replace(F.col("context"), s, tx.mask(s)))
+    matched = F.array(*[masked_view(F.col("context"), rule) for rule in rules])
+    views = F.concat(F.coalesce(known, F.array().cast("array<string>")), matched.cast("array<string>"))
+    starred = F.aggregate(
+        F.array_distinct(views),
+        F.split(F.col("context"), ""),
+        lambda shown, view: F.when(F.col("context") == view, shown).otherwise(
+            F.zip_with(shown, F.split(view, ""), lambda x, y: F.when(y == "*", y).otherwise(x))
         ),
     )
+    masked = F.array_join(starred, "")
     columns = findings.columns
     findings = findings.join(secrets, ["project", "path", "line"], "left")
     return findings.select(

@@ -50,10 +50,10 @@ def scan_projects(
     )
 
 
-def _report(requests: DataFrame, result: ScanResult, masked: bool) -> DataFrame:
+def _report(requests: DataFrame, result: ScanResult, masked: bool, rules=settings.RULES) -> DataFrame:
     """Reports of a scan; the findings are written first, so contents are matched only once. Masked
     reports are masked before that, so no secret is stored in clear."""
-    shown = scan.mask_findings(result.findings) if masked else result.findings
+    shown = scan.mask_findings(result.findings, rules) if masked else result.findings
     stored = result._replace(findings=materialize(shown))
     return report.scan_report(requests, *stored, masked=False)
 
@@ -64,7 +64,8 @@ def scan_requests(requests: DataFrame, files: DataFrame, model=None, masked=True
     The requests pick among the results: contents are neither counted nor joined. Where ``files`` is
     partitioned by project, filter it by the projects beforehand.
     """
-    return _report(requests, scan_projects(files, model, **options), masked)
+    rules = options.get("rules", settings.RULES)
+    return _report(requests, scan_projects(files, model, **options), masked, rules)
 
 
 def scan_request(
@@ -73,7 +74,8 @@ def scan_request(
     """The report of one project."""
     one = requests.filter(F.col("ProjectName") == project)
     mine = files.filter(F.col("project") == project)
-    return _report(one, scan_projects(mine, model, **options), masked)
+    rules = options.get("rules", settings.RULES)
+    return _report(one, scan_projects(mine, model, **options), masked, rules)
 
 
 def scan_archives(archives: DataFrame, **options) -> ScanResult:
@@ -90,7 +92,8 @@ def report_archives(requests: DataFrame, archives: DataFrame, model=None, masked
         .groupBy("project")
         .agg(F.min("problem").alias("problem"), F.count("*").alias("broken"))
     )
-    reports = _report(requests, scan_projects(member_files(members), model, **options), masked)
+    rules = options.get("rules", settings.RULES)
+    reports = _report(requests, scan_projects(member_files(members), model, **options), masked, rules)
     joined = reports.join(problems, "project", "left")
     failed = F.col("problem").isNotNull()
     lost = (F.col("status") == "Error") & failed

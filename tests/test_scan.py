@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from credsieve import settings
+from credsieve.functions.regex import danger
 from credsieve.operators import inventory, scan
 from credsieve.plans import fixtures as fx
 from credsieve.plans import scans
@@ -219,3 +220,85 @@ def test_caps_can_be_switched_off(spark):
     assert {r["path"]: r["count"] for r in found.groupBy("path").count().collect()} == {"many": 60, "long": 1}
     [evidence] = inventory.framework_evidence(files, max_files=None).collect()
     assert evidence["file_count"] == 120 == len(evidence["files"])
+
+
+# --- all matches are starred -----------------------------------------------------------------
+
+
+def masked_contexts(spark, lines, rules=settings.RULES):
+    rows = [("p", "f", i, line) for i, line in enumerate(lines, start=1)]
+    frame = spark.createDataFrame(rows, "project string, path string, line int, text string")
+    findings = scan.scan_lines(frame, rules)
+    return {r["line"]: r["context"] for r in scan.mask_findings(findings, rules).collect()}
+
+
+def starred_by_python(line, rules):
+    """Stars over every match of every rule, by Python's own matcher."""
+    context = line.strip()
+    shown = list(context)
+    for rule in rules:
+        for match in re.finditer(rule.pattern, context + "\n"):
+            start = match.start() + (4 if len(match.group()) >= 4 else 0)
+            shown[start : match.end()] = "*" * (min(match.end(), len(context)) - start)
+    return "".join(shown)
+
+
+TWO = (
+    settings.Rule("t", "Tok", r"tok_[a-z0-9]{6,}", "HIGH"),
+    settings.Rule("k", "Key", r"[a-z0-9]{4}_[a-z0-9]{4}\b", "HIGH"),
+    settings.Rule("e", "End", r"end=[^ ]{2,9}[\"'\s]", "HIGH"),
+)
+
+
+@pytest.mark.parametrize(
+    "line",
+    [
+        "tok_abcdef12 and tok_zyxwvu98\n",
+        "tok_abcdef_1234 overlaps tok_aaaaaa_bbbb",
+        "end=12345 end=67890\n",
+        "  end=short\n",
+        "ab tok_abcdef \U0001f600 tok_ghijkl é\n",
+        "﷐tok_abcdef﷑ tok_ghijkl\n",
+        "tok_abcdef tok_abcdef tok_abcde tok_abcdefg\n",
+    ],
+)
+def test_every_match_of_every_rule_is_starred(spark, line):
+    assert masked_contexts(spark, [line], TWO)[1] == starred_by_python(line, TWO)
+
+
+def test_second_token_of_a_line_is_starred(spark):
+    first, second = "123456789:" + "A" * 35, "987654321:" + "B" * 35
+    jwts = "eyJhbGciabc.eyJzdef123.sig456789 eyJhbGcizzz.eyJzyyy999.sig111222"
+    shown = masked_contexts(spark, [f"bot {first} bot {second}\n", jwts + "\n"])
+    assert "BBBBB" not in shown[1] and "AAAAA" not in shown[1]
+    assert "eyJzyyy" not in shown[2] and "eyJzdef" not in shown[2]
+
+
+# --- rules that could end a task -------------------------------------------------------------
+
+
+def test_danger_of_patterns():
+    assert danger("(a|bc)*!") == "deep" and danger("(?:ab+)+x") == "nested" and danger("(x+)*y") == "nested"
+    assert danger(r"[ab]*c+(?:def)?x{1,20}(?=.*z)") is None
+    assert not any(danger(rule.pattern) for rule in settings.RULES)
+
+
+def test_a_rule_that_overflows_leaves_the_rest_alone(spark):
+    deep = settings.Rule("deep", "Deep", "(a|bc)*!", "HIGH")
+    endless = settings.Rule("endless", "Endless", r"(?:q|qq)+[!?]", "HIGH")
+    lines = [
+        ("p", "f", 1, "bc" * 7000 + "!\n"), ("p", "f", 2, "aabc!\n"), ("p", "g", 1, "q" * 300 + "\n"),
+        ("p", "g", 2, "qq!\n"), ("p", "h", 1, "token=abc123xyz\n"),
+    ]
+    frame = spark.createDataFrame(lines, "project string, path string, line int, text string")
+    rules = (*settings.RULES, deep, endless)
+    found = {(r["path"], r["line"], r["type"]): r["secret"] for r in scan.match_rules(frame, rules).collect()}
+    assert found["f", 1, "Deep"] == "bc" * 7000 + "!" and found["f", 2, "Deep"] == "aabc!"
+    assert found["g", 2, "Endless"] == "qq!" and ("g", 1, "Endless") not in found
+    usual = {(r["path"], r["line"], r["type"]) for r in scan.match_rules(frame).collect()}
+    assert usual < set(found) and usual
+    problems = [tuple(r) for r in scan.match_problems(frame, rules).collect()]
+    assert problems == [("p", "g", 1, "endless", "no answer after 2.0 seconds")]
+    assert scan.match_problems(frame).collect() == []
+    hits = scan.all_rule_hits(frame, rules).filter("rule_id = 'deep'").select("path", "line").collect()
+    assert sorted(map(tuple, hits)) == [("f", 1), ("f", 2), ("g", 2)]
