@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import time
+import uuid
+from datetime import datetime, timezone
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
@@ -18,12 +20,11 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from credsieve import settings
 from credsieve.functions import text as tx
-from credsieve.session import materialize
 
 # An exact vocabulary keeps every term: as many as Spark ML can number.
 ALL_TERMS = (1 << 31) - 1
@@ -149,18 +150,57 @@ def fit(
         elasticNetParam=0.0,
         standardization=False,
     ).fit(features)
+    # The summary of the training holds the session, which is not to travel with the model to the tasks.
+    regression._java_obj.setSummary(getattr(training.sparkSession._jvm, "scala.Option").empty())
     counts.unpersist()
     tokens.unpersist()
     return PipelineModel([tokenizer, vectorizer, scaler, normalizer, regression])
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+# Names the version that counts, in the folder of a model's versions.
+_CURRENT = "CURRENT"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _place(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def save_model(model: PipelineModel, path: str) -> str:
+    """The model as a new version below a path; gives the version's own path.
+
+    A version is written whole before the pointer to it is replaced, by an atomic rename: a crash at any point
+    leaves the version before, and who reads one keeps reading it. Old versions stay until they are removed.
+    """
+    spark = SparkSession.active()
+    version = f"{datetime.now(timezone.utc):%Y%m%d_%H%M%S_%f}-{uuid.uuid4().hex[:8]}"
+    model.write().save(f"{path}/versions/{version}")
+    fresh, system = _place(spark, f"{path}/{_CURRENT}.{version}")
+    stream = system.create(fresh, False)
+    stream.write(bytearray(version.encode()))
+    stream.close()
+    fs = spark._jvm.org.apache.hadoop.fs
+    context = fs.FileContext.getFileContext(system.getUri(), spark._jsc.hadoopConfiguration())
+    options = spark._sc._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = getattr(fs.Options.Rename, "OVERWRITE")
+    context.rename(context.makeQualified(fresh), context.makeQualified(_place(spark, f"{path}/{_CURRENT}")[0]), options)
+    return f"{path}/versions/{version}"
+
+
+def model_path(spark: SparkSession, path: str) -> str | None:
+    """Where the current version of a stored model lies; null where none was ever finished. A model that was saved
+    without versions is its own."""
+    pointer, system = _place(spark, f"{path}/{_CURRENT}")
+    if system.exists(pointer):
+        return f"{path}/versions/{spark.read.text(str(pointer)).first()[0]}"
+    return path if system.exists(_place(spark, f"{path}/metadata")[0]) else None
+
+
+def load_model(spark: SparkSession, path: str) -> PipelineModel:
+    found = model_path(spark, path)
+    if found is None:
+        raise FileNotFoundError(f"no model at {path}")
+    return PipelineModel.load(found)
 
 
 def load_or_fit(
@@ -168,11 +208,12 @@ def load_or_fit(
 ) -> PipelineModel:
     """The model at a path; where there is none it is trained on the samples and saved.
 
-    Only a path that does not exist is taken for no model: any other failure is raised, and a
-    model that is there is never replaced.
+    A path without a finished version has none; a version that is there is never replaced, and any failure to
+    load it is raised.
     """
-    if training is None or _exists(training.sparkSession, path):
-        return PipelineModel.load(path)
+    spark = SparkSession.active() if training is None else training.sparkSession
+    if training is None or model_path(spark, path):
+        return load_model(spark, path)
     model = fit(training, **options)
     save_model(model, path)
     return model
@@ -285,18 +326,25 @@ def predict_pairs(pairs: DataFrame, model: PipelineModel) -> DataFrame:
 # --- evaluation ------------------------------------------------------------------------------
 
 
-def confusion_metrics(rows: DataFrame, label: str = "label", prediction: str = "prediction"):
-    """Confusion counts and the metrics that follow from them, as one row."""
+def _confusion(label: str, prediction: str) -> list[Column]:
     actual, guess = F.col(label) == 1, F.col(prediction) == 1
-    counts = rows.agg(
-        F.count("*").alias("total"),
+    return [
+        F.count(F.lit(1)).alias("total"),
         F.count_if(actual).alias("secrets"),
         F.count_if(~actual).alias("non_secrets"),
         F.count_if(actual & guess).alias("true_positives"),
         F.count_if(~actual & guess).alias("false_positives"),
         F.count_if(actual & ~guess).alias("false_negatives"),
         F.count_if(~actual & ~guess).alias("true_negatives"),
-    )
+    ]
+
+
+def confusion_metrics(rows: DataFrame, label: str = "label", prediction: str = "prediction"):
+    """Confusion counts and the metrics that follow from them, as one row."""
+    return _metrics(rows.agg(*_confusion(label, prediction)))
+
+
+def _metrics(counts: DataFrame) -> DataFrame:
     tp, fp, fn = F.col("true_positives"), F.col("false_positives"), F.col("false_negatives")
     correct = tp + F.col("true_negatives")
 
@@ -313,6 +361,15 @@ def confusion_metrics(rows: DataFrame, label: str = "label", prediction: str = "
     )
 
 
+def write_evaluation(predicted: DataFrame, errors_path: str) -> DataFrame:
+    """Writes the misclassified rows and gives the metrics of all rows, in one pass: Spark counts them as they
+    flow by to the file."""
+    seen = Observation()
+    write_wrong_predictions(predicted.observe(seen, *_confusion("label", "prediction")), errors_path)
+    counts = predicted.sparkSession.createDataFrame([seen.get], ", ".join(f"{name} bigint" for name in seen.get))
+    return _metrics(counts)
+
+
 def predict_samples(model: PipelineModel, samples: DataFrame) -> DataFrame:
     """Samples with ``p_secret`` and ``prediction``."""
     return score(samples, "text", model, "p_secret").withColumn(
@@ -353,10 +410,7 @@ def evaluate_csv(
     from credsieve.sources.samples import read_evaluation_csv
 
     predicted = predict_samples(model, read_evaluation_csv(spark, csv_path))
-    if errors_path:
-        predicted = materialize(predicted)  # scored once for both
-        write_wrong_predictions(predicted, errors_path)
-    return confusion_metrics(predicted)
+    return write_evaluation(predicted, errors_path) if errors_path else confusion_metrics(predicted)
 
 
 def write_wrong_predictions(predicted: DataFrame, path: str) -> None:

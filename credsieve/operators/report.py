@@ -7,7 +7,7 @@ import gzip
 from datetime import datetime, timezone
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,7 @@ from credsieve.operators.repair import repair
 from credsieve.operators.scan import mask_findings
 from credsieve.session import materialize
 
+#: Results of one record; every project's are cut at its multiples.
 RESULTS_PER_RECORD = 10_000
 
 
@@ -66,21 +67,22 @@ def validate_requests(requests: DataFrame, projects: DataFrame) -> DataFrame:
 # --- reports ---------------------------------------------------------------------------------
 
 
-def _results(findings: DataFrame, per_record: int) -> DataFrame:
-    """Findings packed into records (project, part, parts, results).
+def placed_results(findings: DataFrame) -> DataFrame:
+    """Findings with their ``position`` within their project, by path, line and rule.
 
-    A project is spread by hash over as many records as its findings need, so no record grows with
-    the project.
+    They are sorted in ranges, so a project of very many findings lies in many partitions; what is added up to number
+    them is one row per project and partition.
     """
-    counts = findings.groupBy("project").agg(F.count("*").alias("n"))
-    parts = F.ceil(F.col("n") / per_record).cast("int")
-    fields = [name for name in findings.columns if name != "project"]
-    spread = findings.join(counts.select("project", parts.alias("parts")), "project").withColumn(
-        "part", F.pmod(F.xxhash64("path", "line", "rule_ord"), F.col("parts")).cast("int")
-    )
-    return spread.groupBy("project", "part", "parts").agg(
-        F.array_sort(F.collect_list(F.struct(*fields))).alias("results")
-    )
+    order = ["project", "path", "line", "rule_ord"]
+    ranged = findings.repartitionByRange(*order).sortWithinPartitions(*order, "secret", "context")
+    stored = materialize(ranged.withColumn("_at", F.monotonically_increasing_id()))
+    run = F.shiftright("_at", 33)
+    runs = stored.groupBy("project", run.alias("_run")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("project").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = runs.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    position = F.col("_before") + F.col("_at") - F.col("_first")
+    numbered = stored.withColumn("_run", run).join(starts, ["project", "_run"])
+    return numbered.select(*findings.columns, position.alias("position"))
 
 
 def scan_report(
@@ -92,13 +94,22 @@ def scan_report(
     masked: bool = True,
     per_record: int = RESULTS_PER_RECORD,
 ) -> DataFrame:
-    """One nested record per request (several for a project with very many findings).
+    """Nested records per request, all of one shape: ``part`` of ``parts``, what is known of the project as a
+    whole, and the results of that part in order. Part p holds the positions from p * ``per_record`` on; a project
+    without findings has one part without results.
 
     A project without readable files gives a record with status Error; the others are unaffected.
     Secrets are starred unless ``masked`` is off.
     """
-    shown = mask_findings(findings) if masked else findings
-    results = _results(shown, per_record)
+    shown = materialize(mask_findings(findings) if masked else findings)
+    fields = [name for name in findings.columns if name != "project"]
+    kind = shown.select(F.array(F.struct(*fields))).schema.fields[0].dataType
+    placed = placed_results(shown).withColumn("part", F.floor(F.col("position") / per_record).cast("int"))
+    gathered = placed.groupBy("project", "part").agg(
+        F.array_sort(F.collect_list(F.struct("position", F.struct(*fields).alias("row")))).alias("rows")
+    )
+    results = gathered.select("project", "part", F.transform("rows", lambda r: r["row"]).alias("results"))
+    counts = shown.groupBy("project").agg(F.count("*").alias("n_results"))
     totals = exclusions.select("project", "files_excluded", "all_files", "skipped_files")
     per_language = languages.groupBy("project").agg(
         F.array_sort(F.collect_list(F.struct("language", "files", "extensions"))).alias("languages")
@@ -117,21 +128,11 @@ def scan_report(
         .join(totals, "project", "left")
         .join(per_language, "project", "left")
         .join(per_framework, "project", "left")
+        .join(counts, "project", "left")
     )
     found = F.col("all_files").isNotNull()
-    # Inner from the side of the results, which Spark can split, and the rest beside it.
-    firsts = results.groupBy("project").agg(F.min("part").alias("first_part"))
-    header = header.join(firsts, "project", "left")
-    rest = header.filter(F.col("first_part").isNull()).withColumns(
-        {
-            "part": F.lit(0),
-            "parts": F.lit(1),
-            "results": F.array().cast(results.schema["results"].dataType),
-        }
-    )
-    first = F.col("part") == F.coalesce("first_part", "part")
-    both = results.join(header, "project").unionByName(rest)
-    return both.select(
+    n_results = F.coalesce("n_results", F.lit(0))
+    return header.join(results, "project", "left").select(
         F.when(found, "completed").otherwise("Error").alias("status"),
         F.when(found, "Scanned Successfully")
         .otherwise("Process Error: the project has no readable files")
@@ -139,15 +140,22 @@ def scan_report(
         "project",
         "repo_url",
         "commit",
-        "part",
-        "parts",
-        "results",
-        # What is known of the project as a whole is in its first record only.
-        F.coalesce(F.when(first, F.col("files_excluded")), F.lit(0)).alias("files_excluded"),
-        F.coalesce(F.when(first, F.col("all_files")), F.lit(0)).alias("all_files"),
-        F.coalesce(F.when(first, F.col("skipped_files")), F.lit("")).alias("skipped_files"),
-        F.coalesce(F.when(first, F.col("languages")), F.array()).alias("languages"),
-        F.coalesce(F.when(first, F.col("frameworks")), F.array()).alias("frameworks"),
+        F.coalesce("part", F.lit(0)).alias("part"),
+        F.greatest(F.ceil(n_results / per_record), F.lit(1)).cast("int").alias("parts"),
+        n_results.alias("n_results"),
+        F.coalesce("results", F.array().cast(kind)).alias("results"),
+        F.coalesce("files_excluded", F.lit(0)).alias("files_excluded"),
+        F.coalesce("all_files", F.lit(0)).alias("all_files"),
+        F.coalesce("skipped_files", F.lit("")).alias("skipped_files"),
+        F.coalesce("languages", F.array()).alias("languages"),
+        F.coalesce("frameworks", F.array()).alias("frameworks"),
+    )
+
+
+def report_results(reports: DataFrame) -> DataFrame:
+    """The results of reports as rows, with their position in the project."""
+    return reports.select("project", "part", F.posexplode("results").alias("place", "result")).select(
+        "project", "part", "place", "result.*"
     )
 
 

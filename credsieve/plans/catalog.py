@@ -17,19 +17,28 @@ from credsieve.operators import classify, inventory, quality, repair, report, sc
 from credsieve.plans import fixtures as fx
 from credsieve.plans import scans
 from credsieve.session import shared_dir
-from credsieve.sources.archives import expand_archives
-from credsieve.sources.files import to_lines, with_names
+from credsieve.sources import tree
+from credsieve.sources.archives import expand_archives, list_archives
+from credsieve.sources.files import read_tree, to_lines, with_names
 from credsieve.sources.samples import clean_evaluation
-from credsieve.streaming.scan_stream import read_findings, start_scan
+from credsieve.streaming.scan_stream import read_findings, start_scan, stream_tree
 
 # Lower limits than the defaults, so that the given tables reach them.
 SECRETS_CAP = 2
 LINE_CAP = 2000
 EVIDENCE_CAP = 8
 LISTED_CAP = 7
+RESULTS_CAP = 5
 
 BROKEN_PROJECT = "src3"
 
+# Rules that match a line more than once, and parts of each other's matches.
+MASK_RULES = (
+    settings.Rule("tok", "Tok", r"tok_[a-z0-9]{6,}", "HIGH"),
+    settings.Rule("key", "Key", r"[a-z0-9]{4}_[a-z0-9]{4}", "HIGH"),
+    settings.Rule("end", "End", r"end=[a-z0-9]{2,9}", "HIGH"),
+)
+
 
 def _rounded(frame: DataFrame, digits: int = 6) -> DataFrame:
     return frame.select(
@@ -103,6 +112,20 @@ def mask_secrets(spark, sf_dir):
     )
 
 
+def mask_all_matches(spark, sf_dir):
+    """Lines with two matches of one rule, and with matches of two rules that overlap."""
+    text = F.concat(
+        F.lit(" tok_"), F.substring("h", 1, 8), F.lit(" and tok_"), F.substring("h", 9, 8), F.lit("_"),
+        F.substring("h", 17, 4), F.lit(", end="), F.substring("h", 1, 6), F.lit("\n"),
+    )
+    lines = fx.documents(spark, sf_dir).select(
+        F.col("source").alias("project"), F.concat(F.lit("d"), "doc_id").alias("path"), F.lit(1).alias("line"), text.alias("text")
+    )
+    return scan.mask_findings(scan.scan_lines(lines, MASK_RULES), MASK_RULES).select(
+        "project", "path", "type", "secret", "context"
+    )
+
+
 def path_parts(spark, sf_dir):
     pages = fx.table(spark, sf_dir, "pages")
     below = tx.relative_path(F.col("url"), "https://")
@@ -414,6 +437,32 @@ def scan_report(spark, sf_dir):
     )
 
 
+def report_results(spark, sf_dir):
+    """The results of the reports row by row; a record holds few, so that projects take several."""
+    findings = scan.scan_files(fx.files(spark, sf_dir))
+    files = fx.files(spark, sf_dir)
+    reports = report.scan_report(
+        fx.requests(spark, sf_dir),
+        findings,
+        scan.exclusion_summary(files),
+        inventory.language_summary(files),
+        inventory.framework_report(inventory.framework_evidence(files)),
+        per_record=RESULTS_CAP,
+    )
+    return report.report_results(reports).select(
+        "project", "part", "place", "path", "line", "type", "secret"
+    )
+
+
+def csv_evaluation(spark, sf_dir):
+    """The metrics that are counted while the misclassified rows are written, and how many were."""
+    rows = _guesses(spark, sf_dir).withColumn("text", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    errors = f"{shared_dir(spark)}/errors"
+    metrics = classify.write_evaluation(rows, errors)
+    written = spark.read.option("header", True).csv(errors).agg(F.count("*").alias("written"))
+    return _rounded(metrics.join(written))
+
+
 # --- archives and streams --------------------------------------------------------------------
 
 
@@ -467,6 +516,78 @@ def archive_report(spark, sf_dir):
     return reports.select("status", "message", "project", "all_files", F.size("results").alias("n_results"))
 
 
+def _tree_rows(spark, sf_dir):
+    """Documents as files of a tree, some of them hidden, in hidden folders or empty."""
+    docs = fx.table(spark, sf_dir, "documents")
+    name = F.expr(
+        "CASE doc_id % 4 WHEN 0 THEN concat('.env', doc_id) WHEN 1 THEN concat('.git/_netrc', doc_id) "
+        "ELSE concat('src/d', doc_id, '.txt') END"
+    )
+    content = F.when(F.col("doc_id") % 10 == 0, "").otherwise(F.coalesce("text", F.lit("")))
+    return docs.select(F.col("source").alias("project"), name.alias("path"), content.alias("content"))
+
+
+def _write_files(root: str):
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for project, path, content in batch.itertuples(index=False):
+                system, place, _ = tree.storage(f"{root}/{project}/{path}")
+                system.create_dir(place.rpartition("/")[0])
+                with system.open_output_stream(place) as target:
+                    target.write(content.encode())
+            yield pd.DataFrame({"written": [len(batch)]})
+
+    return write
+
+
+def _tree(spark, sf_dir) -> str:
+    root = shared_dir(spark)
+    _tree_rows(spark, sf_dir).mapInPandas(_write_files(root), "written bigint").agg(F.sum("written")).collect()
+    return root
+
+
+def _line_counts(files: DataFrame) -> DataFrame:
+    """Each file with its size and number of lines."""
+    lines = to_lines(files).groupBy("project", "path").agg(F.count("*").alias("n_lines"))
+    counted = files.select("project", "path", "length").join(lines, ["project", "path"], "left")
+    return counted.fillna(0, ["n_lines"])
+
+
+def tree_files(spark, sf_dir):
+    """A tree of all documents: hidden and empty files are listed and read as well."""
+    return _line_counts(read_tree(spark, _tree(spark, sf_dir)))
+
+
+def stream_tree_files(spark, sf_dir):
+    """The same tree as a stream of arriving files."""
+    root, folder = _tree(spark, sf_dir), shared_dir(spark)
+    query = start_scan(
+        stream_tree(spark, root, settle=0), f"{folder}/findings", f"{folder}/checkpoint", scan=_line_counts, once=True
+    )
+    query.awaitTermination()
+    return read_findings(spark, f"{folder}/findings")
+
+
+def archive_ranges(spark, sf_dir):
+    """Members of archives on storage, read by range: one archive for every eighth of a source's documents."""
+    root = shared_dir(spark)
+
+    def write(key, rows: pd.DataFrame) -> pd.DataFrame:
+        system, place, _ = tree.storage(f"{root}/all/{key[0]}-{key[1]}.zip")
+        system.create_dir(place.rpartition("/")[0])
+        with system.open_output_stream(place) as target, zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+            for path, content in sorted(zip(rows["path"], rows["content"])):
+                archive.writestr(path, content)
+            archive.writestr("../outside", "no")
+        return pd.DataFrame({"written": [len(rows)]})
+
+    rows = _tree_rows(spark, sf_dir).withColumn("part", F.crc32("path") % 8)
+    rows.groupBy("project", "part").applyInPandas(write, "written bigint").agg(F.sum("written")).collect()
+    return expand_archives(list_archives(spark, root)).select(
+        "project", "path", F.octet_length("raw").alias("bytes"), "problem"
+    )
+
+
 def _arriving(spark, sf_dir):
     """The documents table as a stream of files."""
     schema = fx.table(spark, sf_dir, "documents").schema
@@ -514,7 +635,7 @@ QUERIES = {
     query.__name__: query
     for query in (
         line_split, rule_scan, rule_hits_all, false_positive_filter, long_line_rows, cap_per_file,
-        scan_findings, file_exclusion, exclusion_summary, findings_by_project, mask_secrets,
+        scan_findings, file_exclusion, exclusion_summary, findings_by_project, mask_secrets, mask_all_matches,
         path_parts, language_summary, language_extensions, framework_files, framework_evidence, framework_report,
         code_patterns, merged_detections, quality_basic, quality_duplicates, quality_overlap,
         duplicate_examples, quality_coverage, uncovered_examples, quality_issues, issue_examples,
@@ -523,7 +644,7 @@ QUERIES = {
         repair_report, repair_report_covered, quality_report_before_after, ngram_frequencies, idf_weights,
         tfidf_features, blend_severity, confusion_metrics, wrong_predictions, evaluation_samples, train_score,
         evaluate_model, predict_pairs, model_info, training_split, request_check, request_validation,
-        repo_url_parts, scan_report, archive_members, archive_scan,
-        archive_inventory, archive_report, stream_scan, stream_report,
+        repo_url_parts, scan_report, report_results, csv_evaluation, archive_members, archive_scan,
+        archive_inventory, archive_report, archive_ranges, tree_files, stream_scan, stream_report, stream_tree_files,
     )
 }

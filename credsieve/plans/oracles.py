@@ -432,6 +432,54 @@ def _examples(kinds: dict[str, str], source: str, limit: int, name: str = "categ
     )
 
 
+_TREE = r"""rows_ AS (
+  SELECT source AS project, CASE doc_id % 4 WHEN 0 THEN concat('.env', doc_id)
+    WHEN 1 THEN concat('.git/_netrc', doc_id) ELSE concat('src/d', doc_id, '.txt') END AS path,
+    CASE WHEN doc_id % 10 = 0 THEN '' ELSE coalesce(text, '') END AS content FROM documents),
+counted AS (
+  SELECT project, path, strlen(content)::BIGINT AS length,
+    regexp_replace(content, '\r\n?', chr(10), 'g') AS plain FROM rows_)"""
+_TREE_LINES = f"""WITH {_TREE}
+SELECT project, path, length, (len(string_split(plain, chr(10)))
+  - CASE WHEN plain = '' OR plain LIKE concat('%', chr(10)) THEN 1 ELSE 0 END)::BIGINT AS n_lines FROM counted"""
+
+
+def _starred(value: str) -> str:
+    return (
+        f"CASE WHEN length({value}) < 4 THEN repeat('*', length({value})) "
+        f"ELSE concat(substr({value}, 1, 4), repeat('*', length({value}) - 4)) END"
+    )
+
+
+def _view(pattern: str) -> str:
+    """The context with all matches of a pattern starred."""
+    marked = f"regexp_replace(context, '{pattern}', concat(chr(1), '\\0', chr(2)), 'g')"
+    inside = "string_split(p, chr(2))"
+    return (
+        f"array_to_string(list_transform(string_split({marked}, chr(1)), lambda p, i: CASE WHEN i = 1 THEN p "
+        f"ELSE concat({_starred(inside + '[1]')}, {inside}[2]) END), '')"
+    )
+
+
+def _masked_all() -> str:
+    rules = catalog.MASK_RULES
+    hits = " UNION ALL ".join(
+        f"SELECT project, path, {_quoted(r.message)} AS type, regexp_extract(context, '{r.pattern}') AS secret, context "
+        f"FROM contexts WHERE regexp_matches(context, '{r.pattern}')"
+        for r in rules
+    )
+    views = ", ".join(_view(r.pattern) for r in rules)
+    return f"""WITH h AS (SELECT *, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents),
+contexts AS (
+  SELECT source AS project, concat('d', doc_id) AS path, concat('tok_', substr(h, 1, 8), ' and tok_', substr(h, 9, 8),
+    '_', substr(h, 17, 4), ', end=', substr(h, 1, 6)) AS context FROM h),
+hits AS ({hits}), seen AS (SELECT *, [{views}] AS views FROM hits)
+SELECT project, path, type, {_starred("secret")} AS secret,
+  array_to_string(list_transform(range(1, length(context) + 1), lambda i:
+    CASE WHEN len(list_filter(views, lambda v: substr(v, i, 1) = '*')) > 0 THEN '*'
+         ELSE substr(context, i, 1) END), '') AS context FROM seen"""
+
+
 ORACLES = {
     "line_split": f"""WITH scanned AS (
   SELECT source AS project, CAST(doc_id AS VARCHAR) AS path, text AS content FROM documents),
@@ -632,6 +680,28 @@ SELECT *, true_positives + true_negatives AS correct,
   round(coalesce(true_positives / nullif(true_positives + false_negatives, 0), 0), 6) AS recall,
   round(coalesce(2 * true_positives /
     nullif(2 * true_positives + false_positives + false_negatives, 0), 0), 6) AS f1 FROM n""",
+    "csv_evaluation": f"""WITH {_PROBABILITIES},
+g AS (SELECT label = 1 AS a, p > 0.5::DOUBLE AS b FROM probabilities),
+n AS (
+  SELECT count(*) AS total, count(*) FILTER (a) AS secrets, count(*) FILTER (NOT a) AS non_secrets,
+    count(*) FILTER (a AND b) AS true_positives, count(*) FILTER (NOT a AND b) AS false_positives,
+    count(*) FILTER (a AND NOT b) AS false_negatives,
+    count(*) FILTER (NOT a AND NOT b) AS true_negatives FROM g)
+SELECT *, true_positives + true_negatives AS correct,
+  round((true_positives + true_negatives) / total, 6) AS accuracy,
+  round(coalesce(true_positives / nullif(true_positives + false_positives, 0), 0), 6) AS precision,
+  round(coalesce(true_positives / nullif(true_positives + false_negatives, 0), 0), 6) AS recall,
+  round(coalesce(2 * true_positives /
+    nullif(2 * true_positives + false_positives + false_negatives, 0), 0), 6) AS f1,
+  false_positives + false_negatives AS written FROM n""",
+    "mask_all_matches": _masked_all(),
+    "tree_files": _TREE_LINES,
+    "stream_tree_files": _TREE_LINES,
+    "report_results": f"""WITH {_FINDINGS},
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY project ORDER BY path, line, rule_ord) - 1 AS spot FROM findings)
+SELECT project, (spot // {catalog.RESULTS_CAP})::INTEGER AS part, (spot % {catalog.RESULTS_CAP})::INTEGER AS place, path, line, type,
+  CASE WHEN type IN {_listed(settings.SPECIAL_TYPES)} THEN secret ELSE {_starred("secret")} END AS secret FROM placed""",
     "wrong_predictions": f"""WITH {_PROBABILITIES}
 SELECT concat(l_orderkey, '-', l_linenumber) AS secret,
   CASE WHEN label = 1 THEN 'Secret' ELSE 'NotSecret' END AS expected,

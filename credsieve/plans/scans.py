@@ -51,11 +51,10 @@ def scan_projects(
 
 
 def _report(requests: DataFrame, result: ScanResult, masked: bool, rules=settings.RULES) -> DataFrame:
-    """Reports of a scan; the findings are written first, so contents are matched only once. Masked
-    reports are masked before that, so no secret is stored in clear."""
+    """Reports of a scan. The findings are written once, masked before that where they are to be, so contents are
+    matched only once and no secret is stored in clear."""
     shown = scan.mask_findings(result.findings, rules) if masked else result.findings
-    stored = result._replace(findings=materialize(shown))
-    return report.scan_report(requests, *stored, masked=False)
+    return report.scan_report(requests, *result._replace(findings=shown), masked=False)
 
 
 def scan_requests(requests: DataFrame, files: DataFrame, model=None, masked=True, **options):

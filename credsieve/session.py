@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 
@@ -27,14 +28,17 @@ def build_session(app: str = "credsieve", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-_MADE: list[str] = []
+# The intermediate folders of the scratch blocks a task of the driver is in, the innermost last; below them those made
+# outside any block. Each thread and each block has its own list, so none removes what another made.
+_OUTSIDE: list[str] = []
+_BLOCKS: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scratch", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below the shared one the cluster names in ``spark.checkpoint.dir``.
 
     Only where that setting is absent (a local run) a temporary folder takes its place. Intermediate
-    folders stay until ``release`` or the end of the ``scratch`` block they were made in.
+    folders stay until the end of the ``scratch`` block they were made in, or else until ``release``.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -42,25 +46,32 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="credsieve-")
     path = f"{root.rstrip('/')}/credsieve-{uuid.uuid4().hex}"
-    _MADE.append(path)
+    blocks = _BLOCKS.get()
+    (blocks[-1] if blocks else _OUTSIDE).append(path)
     return path
 
 
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Remove the intermediate folders made so far, but for the first ``keep`` of them."""
-    while len(_MADE) > keep:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+def _remove(spark: SparkSession, made: list[str]) -> None:
+    while made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(made.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Remove the intermediate folders that were made outside of ``scratch`` blocks."""
+    _remove(spark, _OUTSIDE)
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
-    """Removes what is written for intermediate use inside the block; write results before its end."""
-    before = len(_MADE)
+    """Removes what this thread writes for intermediate use inside the block; write results before its end."""
+    made: list[str] = []
+    before = _BLOCKS.set((*_BLOCKS.get(), made))
     try:
         yield
     finally:
-        release(spark, before)
+        _BLOCKS.reset(before)
+        _remove(spark, made)
 
 
 def materialize(frame: DataFrame) -> DataFrame:

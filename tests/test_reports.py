@@ -3,13 +3,14 @@
 import base64
 import gzip
 import json
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from credsieve.operators import report
 from credsieve.plans import scans
-from credsieve.session import materialize, shared_dir
+from credsieve.session import materialize, scratch, shared_dir
 from credsieve.sources.files import with_names
 from credsieve.sources.requests import make_requests
 from credsieve.sources.samples import read_samples
@@ -45,15 +46,60 @@ def test_reports(files, requests):
     assert alone["results"][0]["secret"].startswith("token=abc")
 
 
-def test_large_projects_take_several_records(files, requests):
+def test_records_have_one_shape_at_every_size(files, requests):
     result = scans.scan_projects(files)
-    rows = report.scan_report(requests, *result, per_record=15).filter("project = 'one'").collect()
-    assert {r["parts"] for r in rows} == {3} and {r["part"] for r in rows} <= {0, 1, 2}
-    assert sorted(f["path"] for r in rows for f in r["results"]) == sorted(f"f{i}.py" for i in range(40))
-    # A sum over records counts the project once.
+    rows = report.scan_report(requests, *result, per_record=15).filter("project = 'one'").orderBy("part").collect()
+    assert [(r["part"], r["parts"], len(r["results"])) for r in rows] == [(0, 3, 15), (1, 3, 15), (2, 3, 10)]
+    assert [f["path"] for r in rows for f in r["results"]] == sorted(f"f{i}.py" for i in range(40))
     [whole] = report.scan_report(requests, *result).filter("project = 'one'").collect()
-    assert sum(r["all_files"] for r in rows) == whole["all_files"] > 0
-    assert sum(len(r["languages"]) for r in rows) == len(whole["languages"])
+    left_out = ("part", "parts", "results")
+    for row in rows:
+        assert {k: v for k, v in row.asDict().items() if k not in left_out} == {
+            k: v for k, v in whole.asDict().items() if k not in left_out
+        }
+
+
+def test_project_of_very_many_findings(spark, requests):
+    n = 50_000
+    findings = spark.range(n).select(
+        F.lit("one").alias("project"), F.format_string("f%05d", F.col("id") % 9973).alias("path"),
+        (F.col("id") / 9973).cast("int").alias("line"), F.lit(1).alias("rule_ord"), F.lit("T").alias("type"),
+        F.lit("secret").alias("secret"), F.lit("a secret").alias("context"), F.lit("").alias("severity"),
+        F.lit(1.0).alias("confidence"),
+    )
+    result = scans.scan_projects(with_names(spark.createDataFrame([("one", "a", "")], "project string, path string, content string")))
+    reports = report.scan_report(requests, findings, *result[1:])
+    rows = reports.filter("project = 'one'").select("part", "parts", F.size("results"), "all_files", "n_results").collect()
+    assert sorted(map(tuple, rows)) == [(p, 5, 10_000, 1, n) for p in range(5)]
+    placed = report.report_results(reports).select("path", "line", (F.col("part") * 10_000 + F.col("place")).alias("at"))
+    assert [tuple(r) for r in placed.orderBy("at").select("path", "line").collect()] == sorted(
+        (f"f{i % 9973:05d}", i // 9973) for i in range(n)
+    )
+
+
+def test_scratch_blocks_leave_what_others_made(spark):
+    outer, started, done = {}, threading.Event(), threading.Event()
+
+    def other_thread():
+        started.wait(60)
+        outer["table"] = materialize(spark.range(5).select("id"))
+        done.set()
+
+    thread = threading.Thread(target=other_thread)
+    thread.start()
+    with scratch(spark):
+        mine = materialize(spark.range(3).select("id"))
+        started.set()
+        assert done.wait(120)
+        with scratch(spark):
+            inner = materialize(spark.range(2).select("id"))
+        assert mine.count() == 3
+        with pytest.raises(Exception):
+            inner.count()
+    thread.join()
+    assert outer["table"].count() == 5
+    with pytest.raises(Exception):
+        mine.count()
 
 
 def test_envelopes_and_files(spark, files, requests, tmp_path):

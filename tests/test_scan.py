@@ -287,7 +287,7 @@ def test_a_rule_that_overflows_leaves_the_rest_alone(spark):
     deep = settings.Rule("deep", "Deep", "(a|bc)*!", "HIGH")
     endless = settings.Rule("endless", "Endless", r"(?:q|qq)+[!?]", "HIGH")
     lines = [
-        ("p", "f", 1, "bc" * 7000 + "!\n"), ("p", "f", 2, "aabc!\n"), ("p", "g", 1, "q" * 300 + "\n"),
+        ("p", "f", 1, "bc" * 7000 + "!\n"), ("p", "f", 2, "aabc!\n"), ("p", "g", 1, "q" * 1500 + "\n"),
         ("p", "g", 2, "qq!\n"), ("p", "h", 1, "token=abc123xyz\n"),
     ]
     frame = spark.createDataFrame(lines, "project string, path string, line int, text string")
