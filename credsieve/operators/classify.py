@@ -458,7 +458,7 @@ def model_info(
         saved = (
             samples.sparkSession.read.format("binaryFile")
             .option("recursiveFileLookup", True)
-            .load(path)
+            .load(model_path(samples.sparkSession, path) or path)
             .agg(F.round(F.sum("length") / (1 << 20), 2).cast("string").alias("value"))
         )
         rows = rows.unionByName(saved.select(F.lit("saved_mb").alias("name"), "value"))

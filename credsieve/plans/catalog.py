@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from credsieve import settings
 from credsieve.functions import text as tx
 from credsieve.functions.urls import repository_parts
-from credsieve.operators import classify, inventory, quality, repair, report, scan
+from credsieve.operators import classify, inventory, quality, repair, report, scan, sharded
 from credsieve.plans import fixtures as fx
 from credsieve.plans import scans
 from credsieve.session import shared_dir
@@ -383,6 +383,51 @@ def model_info(spark, sf_dir):
     return info.filter(F.col("name") != "regularisation")
 
 
+def _small_model(spark, sf_dir):
+    """A model of five terms, fitted to its optimum."""
+    small = fx.small_samples(spark, sf_dir)
+    return classify.fit(small, tolerance=1e-15), small
+
+
+def small_model(spark, sf_dir):
+    """The probability of each distinct text by the trained model."""
+    model, small = _small_model(spark, sf_dir)
+    texts = small.select("text").union(small.select("context").filter("context IS NOT NULL")).distinct()
+    return classify.score(texts, "text", model, "p").select("text", F.round("p", 4).alias("p_secret"))
+
+
+def sharded_model(spark, sf_dir):
+    """The same by the training whose vocabulary lies in shards."""
+    small = fx.small_samples(spark, sf_dir)
+    model = sharded.fit(small, shards=2, block_rows=256)
+    texts = small.select("text").union(small.select("context").filter("context IS NOT NULL")).distinct()
+    scored = sharded.score(texts.withColumn("key", F.col("text")), "key", "text", model)
+    return scored.select(F.col("key").alias("text"), F.round("p_secret", 4).alias("p_secret"))
+
+
+def small_evaluate(spark, sf_dir):
+    """Metrics of the trained model over all samples."""
+    model, small = _small_model(spark, sf_dir)
+    return _rounded(classify.evaluate(model, small))
+
+
+def small_findings(spark, sf_dir):
+    """Findings scored by the trained model, some without a context, some of a special kind."""
+    model, small = _small_model(spark, sf_dir)
+    kind = F.when(F.col("doc_id") % 9 == 0, settings.TYPE_TOO_MANY).otherwise("Token")
+    findings = small.select(
+        "doc_id", kind.alias("type"), F.col("text").alias("secret"), "context", F.lit("").alias("severity"),
+        F.lit(1.0).alias("confidence"),
+    )
+    return classify.score_findings(findings, model)
+
+
+def small_pairs(spark, sf_dir):
+    """Pairs rated by the trained model."""
+    model, small = _small_model(spark, sf_dir)
+    return classify.predict_pairs(small.select("doc_id", "text", "context"), model)
+
+
 def training_split(spark, sf_dir):
     samples = fx.samples(spark, sf_dir)
     part = F.when(classify.in_training(F.col("text"), F.col("label")), "training").otherwise("test")
@@ -643,7 +688,8 @@ QUERIES = {
         quality_scorecard, quality_recommendations, repair_dataset, repair_dataset_covered,
         repair_report, repair_report_covered, quality_report_before_after, ngram_frequencies, idf_weights,
         tfidf_features, blend_severity, confusion_metrics, wrong_predictions, evaluation_samples, train_score,
-        evaluate_model, predict_pairs, model_info, training_split, request_check, request_validation,
+        evaluate_model, predict_pairs, model_info, small_model, sharded_model, small_evaluate, small_findings, small_pairs,
+        training_split, request_check, request_validation,
         repo_url_parts, scan_report, report_results, csv_evaluation, archive_members, archive_scan,
         archive_inventory, archive_report, archive_ranges, tree_files, stream_scan, stream_report, stream_tree_files,
     )

@@ -193,3 +193,21 @@ requests AS (
          ['Branch', 'Tag', 'Commit'][CAST(substr(name, 4) AS BIGINT) % 3 + 1] AS ref_type,
          concat('ref', CAST(substr(name, 4) AS BIGINT)) AS ref
   FROM names)"""
+
+
+# Texts of a few one-letter words: a model of five terms, small enough to be fitted in SQL. Both dialects read it.
+_FIRST = "CASE WHEN coalesce(n_chars, 0) % 2 = 0 THEN 'a' ELSE 'b' END"
+_SECOND = "CASE doc_id % 3 WHEN 0 THEN 'c' WHEN 1 THEN 'd' ELSE 'e' END"
+_SMALL = {
+    "text": f"CASE WHEN doc_id % 7 = 0 THEN {_FIRST} ELSE concat({_FIRST}, ' ', {_SECOND}) END",
+    "context": f"CASE WHEN doc_id % 4 > 0 THEN concat({_SECOND}, ' ', {_FIRST}, ' ', {_FIRST}) END",
+    "label": "CASE WHEN (coalesce(n_chars, 0) % 2 = 0 AND doc_id % 11 < 7) OR doc_id % 15 = 0 THEN 1 ELSE 0 END",
+}
+SMALL_TERMS = "abcde"
+SQL_SMALL = "small AS (SELECT doc_id, " + ", ".join(f"{v} AS {k}" for k, v in _SMALL.items()) + " FROM documents)"
+
+
+def small_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text, context, label) of every document."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "n_chars"))
+    return docs.select("doc_id", *[F.expr(v).alias(k) for k, v in _SMALL.items()])

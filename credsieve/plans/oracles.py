@@ -408,6 +408,47 @@ _PROBABILITIES = f"""probabilities AS (
     CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label
   FROM lineitem)"""
 
+def _optimum() -> str:
+    """CTEs up to ``fitted`` (the optimum's coefficients) and ``known`` (text, p): the penalised logistic loss of the
+    small samples, minimised by accelerated gradient steps in a recursive query. Each step is one pass over the distinct samples."""
+    terms = fx.SMALL_TERMS
+    tf = {t: f"(length(text) - length(replace(text, '{t}', '')))" for t in terms}
+    names = [*terms, "one"]
+    y = {t: f"(w_{t} + momentum * (w_{t} - v_{t}))" for t in names}
+    margin = " + ".join(f"{y[t]} * x_{t}" for t in names)
+    steps = ", ".join(
+        f"any_value({y[t]}) - (sum(times * (1 / (1 + exp(-({margin}))) - label) * x_{t}) / any_value(n)"
+        + (f" + any_value({y[t]}) / any_value(n)" if t != "one" else "") + ") / any_value(bound)"
+        for t in names
+    )
+    raw = " ".join(f"{tf[t]} * idf_{t} AS r_{t}," for t in terms)
+    norm = "sqrt(" + " + ".join(f"r_{t} * r_{t}" for t in terms) + ")"
+    idf = ", ".join(f"ln((1 + count(*)) / (1 + count(*) FILTER (contains(text, '{t}')))) + 1 AS idf_{t}" for t in terms)
+    xs = ", ".join(f"r_{t} / {norm} AS x_{t}" for t in terms)
+    return f"""{fx.SQL_SMALL},
+totals AS (SELECT count(*)::DOUBLE AS n, {idf} FROM small),
+texts AS (SELECT DISTINCT text FROM small UNION SELECT DISTINCT context FROM small WHERE context IS NOT NULL),
+raw AS (SELECT text, {raw} n FROM texts, totals),
+vectors AS (SELECT text, n, {xs}, 1 AS x_one FROM raw),
+samples AS (
+  SELECT v.*, label, times, 0.5 + 1 / n AS bound,
+    (sqrt(0.5 + 1 / n) - sqrt(1 / n)) / (sqrt(0.5 + 1 / n) + sqrt(1 / n)) AS momentum
+  FROM (SELECT text, label, count(*) AS times FROM small GROUP BY ALL) JOIN vectors v USING (text)),
+steps AS (
+  SELECT 0 AS k, {", ".join(f"0::DOUBLE AS w_{t}" for t in names)}, {", ".join(f"0::DOUBLE AS v_{t}" for t in names)}
+  UNION ALL
+  SELECT k + 1, {steps}, {", ".join(f"any_value(w_{t})" for t in names)}
+  FROM steps, samples WHERE k < 4000 GROUP BY k),
+fitted AS (SELECT * FROM steps WHERE k = 4000),
+known AS (
+  SELECT text, 1 / (1 + exp(-({" + ".join(f"w_{t} * x_{t}" for t in names)}))) AS p FROM vectors, fitted)"""
+
+
+_RATED = """rated AS (
+  SELECT small.*, a.p AS p, b.p AS c,
+    CASE WHEN b.p IS NULL THEN a.p ELSE (a.p * 1.0::DOUBLE + b.p * 0.8::DOUBLE) / 1.8::DOUBLE END AS final
+  FROM small JOIN known a USING (text) LEFT JOIN known b ON b.text = small.context)"""
+
 _TRAINING = "substr(md5(concat(label, ':', text)), 1, 4) < 'cccd'"
 
 _REQUEST_CHECK = """checked AS (
@@ -680,6 +721,34 @@ SELECT *, true_positives + true_negatives AS correct,
   round(coalesce(true_positives / nullif(true_positives + false_negatives, 0), 0), 6) AS recall,
   round(coalesce(2 * true_positives /
     nullif(2 * true_positives + false_positives + false_negatives, 0), 0), 6) AS f1 FROM n""",
+    "small_evaluate": f"""WITH RECURSIVE {_optimum()},
+g AS (SELECT label = 1 AS a, p > 0.5::DOUBLE AS b FROM small JOIN known USING (text)),
+n AS (
+  SELECT count(*) AS total, count(*) FILTER (a) AS secrets, count(*) FILTER (NOT a) AS non_secrets,
+    count(*) FILTER (a AND b) AS true_positives, count(*) FILTER (NOT a AND b) AS false_positives,
+    count(*) FILTER (a AND NOT b) AS false_negatives,
+    count(*) FILTER (NOT a AND NOT b) AS true_negatives FROM g)
+SELECT *, true_positives + true_negatives AS correct,
+  round((true_positives + true_negatives) / total, 6) AS accuracy,
+  round(coalesce(true_positives / nullif(true_positives + false_positives, 0), 0), 6) AS precision,
+  round(coalesce(true_positives / nullif(true_positives + false_negatives, 0), 0), 6) AS recall,
+  round(coalesce(2 * true_positives /
+    nullif(2 * true_positives + false_positives + false_negatives, 0), 0), 6) AS f1 FROM n""",
+    "small_model": f"WITH RECURSIVE {_optimum()} SELECT text, round(p, 4) AS p_secret FROM known",
+    "sharded_model": f"WITH RECURSIVE {_optimum()} SELECT text, round(p, 4) AS p_secret FROM known",
+    "small_findings": f"""WITH RECURSIVE {_optimum()}, {_RATED}
+SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '{settings.TYPE_TOO_MANY}' ELSE 'Token' END AS type, text AS secret, context,
+  CASE WHEN doc_id % 9 <> 0 AND final > 0.7::DOUBLE THEN 'High' ELSE 'Potential' END AS severity,
+  CASE WHEN doc_id % 9 <> 0 THEN round_even(final, 2) ELSE 0.5 END AS confidence,
+  round_even(p, 3) AS secret_confidence, p > 0.5::DOUBLE AS secret_prediction,
+  round_even(c, 3) AS context_confidence, c > 0.5::DOUBLE AS context_prediction,
+  c IS NOT NULL AS confidence_averaged FROM rated""",
+    "small_pairs": f"""WITH RECURSIVE {_optimum()}, {_RATED}
+SELECT doc_id, text, context, final > 0.5::DOUBLE AS is_secret, round_even(final, 3) AS confidence,
+  CASE WHEN final > 0.7::DOUBLE THEN 'High' ELSE 'Potential' END AS severity,
+  round_even(p, 3) AS text_confidence, p > 0.5::DOUBLE AS text_prediction,
+  round_even(c, 3) AS context_confidence, c > 0.5::DOUBLE AS context_prediction,
+  c IS NOT NULL AS averaged_confidence FROM rated""",
     "csv_evaluation": f"""WITH {_PROBABILITIES},
 g AS (SELECT label = 1 AS a, p > 0.5::DOUBLE AS b FROM probabilities),
 n AS (

@@ -1,6 +1,7 @@
 """Classifier: features, scores, blending, evaluation, storage."""
 
 import math
+import shutil
 from collections import Counter
 
 import pytest
@@ -97,6 +98,35 @@ def test_hashed_features(samples):
     assert classify.evaluate(hashed, samples).first()["accuracy"] == 1.0
 
 
+def test_a_save_that_dies_leaves_the_version_before(spark, samples, tmp_path):
+    path = str(tmp_path / "model")
+    made = classify.fit(samples, max_iterations=3)
+    first = classify.save_model(made, path)
+
+    class Dying:
+        def write(self):
+            return self
+
+        def save(self, place):
+            made.write().save(place)
+            shutil.rmtree(f"{place}/metadata")
+            raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        classify.save_model(Dying(), path)
+    assert classify.model_path(spark, path) == first
+    assert classify.load_or_fit(path, samples, max_iterations=1).stages[-1].getMaxIter() == 3
+    # The very first save dies: there is no model yet, and the next run trains one.
+    with pytest.raises(KeyboardInterrupt):
+        classify.save_model(Dying(), str(tmp_path / "none"))
+    assert classify.model_path(spark, str(tmp_path / "none")) is None
+    assert classify.load_or_fit(str(tmp_path / "none"), samples, max_iterations=2).stages[-1].getMaxIter() == 2
+    # A newer version takes over; what was loaded or named before stays.
+    second = classify.save_model(classify.fit(samples, max_iterations=4), path)
+    assert classify.load_model(spark, path).stages[-1].getMaxIter() == 4 and second != first
+    assert classify.load_model(spark, first).stages[-1].getMaxIter() == 3
+
+
 def test_store(spark, samples, tmp_path):
     path = str(tmp_path / "model")
     with pytest.raises(Exception):
@@ -104,10 +134,13 @@ def test_store(spark, samples, tmp_path):
     made = classify.load_or_fit(path, samples, max_iterations=10)
     loaded = classify.load_or_fit(path, samples, max_iterations=1)  # what is there is kept
     assert loaded.stages[-1].getMaxIter() == 10
-    (tmp_path / "broken").mkdir()
+    # A version that is there but damaged is an error, and is not replaced.
+    shutil.copytree(tmp_path / "model", tmp_path / "broken")
+    (damaged,) = (tmp_path / "broken" / "versions").iterdir()
+    shutil.rmtree(damaged / "stages")
     with pytest.raises(Exception):
         classify.load_or_fit(str(tmp_path / "broken"), samples)
-    assert not list((tmp_path / "broken").iterdir())
+    assert list((tmp_path / "broken" / "versions").iterdir()) == [damaged]
     texts = [r["p_secret"] for r in classify.predict_samples(made, samples).orderBy("text").collect()]
     assert texts == [
         r["p_secret"] for r in classify.predict_samples(loaded, samples).orderBy("text").collect()
