@@ -614,7 +614,7 @@ def stream_tree_files(spark, sf_dir):
 
 
 def archive_ranges(spark, sf_dir):
-    """Members of archives on storage, read by range: one archive for every eighth of a source's documents."""
+    """Members of archives on storage, read by range: up to eight archives of a source's documents."""
     root = shared_dir(spark)
 
     def write(key, rows: pd.DataFrame) -> pd.DataFrame:
@@ -626,7 +626,7 @@ def archive_ranges(spark, sf_dir):
             archive.writestr("../outside", "no")
         return pd.DataFrame({"written": [len(rows)]})
 
-    rows = _tree_rows(spark, sf_dir).withColumn("part", F.crc32("path") % 8)
+    rows = _tree_rows(spark, sf_dir).withColumn("part", F.length("path") % 8)
     rows.groupBy("project", "part").applyInPandas(write, "written bigint").agg(F.sum("written")).collect()
     return expand_archives(list_archives(spark, root)).select(
         "project", "path", F.octet_length("raw").alias("bytes"), "problem"

@@ -765,6 +765,10 @@ SELECT *, true_positives + true_negatives AS correct,
   false_positives + false_negatives AS written FROM n""",
     "mask_all_matches": _masked_all(),
     "tree_files": _TREE_LINES,
+    "archive_ranges": f"""WITH {_TREE}, members AS (
+  SELECT concat(project, '-', length(path) % 8) AS project, path, strlen(content)::INTEGER AS bytes FROM rows_)
+SELECT project, path, bytes, NULL::VARCHAR AS problem FROM members
+UNION ALL SELECT DISTINCT project, '../outside', NULL::INTEGER, 'unsafe path' FROM members""",
     "stream_tree_files": _TREE_LINES,
     "report_results": f"""WITH {_FINDINGS},
 placed AS (
