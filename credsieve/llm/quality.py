@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credsieve.llm.common import (
-    _BYTE_VALUES, _FOLD, _powers, SPACED, annotated, mix, staged, text_chunks, word_hashes, word_spans,
+    _BASE, _BYTE_VALUES, _FOLD, _powers, SPACED, annotated, mix, staged, text_chunks, word_hashes, word_spans,
 )
 
 #: Labelled rows the models are fitted on, at most.
@@ -44,7 +44,10 @@ SMOOTHING = 1.0
 DEAD_ZONE = 1.0
 ERRORS = 2.0
 TEMPERATURE = 0.05
-#: Bytes of text whose features are found at once: they take some hundred times that.
+#: The cut is looked for at steps of a weight, of which a unit holds this many, within this range of 0.
+CUT_STEPS, CUT_RANGE = 64, 1024
+#: Bytes of text whose features are found at once: they take some hundred times that. Longer texts are read in
+#: windows of that size.
 FEATURE_BYTES = 256 << 10
 BINS = 1024
 
@@ -52,14 +55,20 @@ _WORDS, _CHARACTERS, _RUNS = 0, 1 << BUCKET_BITS, 2 << BUCKET_BITS
 FEATURES = _RUNS + len(RUNS)
 
 
-def features(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, row, feature) of runs of whole texts; each feature of a text once."""
-    shift = np.uint64(64 - BUCKET_BITS)
-    for first, raw, offsets in text_chunks(column, FEATURE_BYTES):
+def features(column: pa.Array, size: int = FEATURE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, row, feature) of runs of whole texts; each feature of a text once.
+
+    A text of more than ``size`` bytes is read in windows of that many.
+    """
+    for first, raw, offsets in text_chunks(column, size):
+        if len(raw) > size:
+            found = _of_long(raw, size)
+            yield first, np.zeros(len(found), np.int64), found
+            continue
         starts, ends, at = word_spans(raw, offsets, SPACED)
         words = word_hashes(raw, starts, ends)
         owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        parts = [(owner, (words >> shift).astype(np.int64) + _WORDS)]
+        parts = [(owner, _bucket(words) + _WORDS)]
         if len(words):
             fresh = np.concatenate([[True], (words[1:] != words[:-1]) | (owner[1:] != owner[:-1])])
             begins = np.flatnonzero(fresh)
@@ -67,20 +76,75 @@ def features(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
             for i, least in enumerate(RUNS):
                 long = begins[lengths >= least]
                 parts.append((owner[long], np.full(len(long), _RUNS + i)))
-        n = CHARACTERS
-        if len(raw) >= n:
-            bytes_ = np.where(SPACED[raw], _FOLD[raw], np.uint8(32))
-            up, down = _powers(len(raw) + 1)
-            sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-            np.cumsum(_BYTE_VALUES[bytes_] * up[: len(raw)], out=sums[1:])
-            grams = mix((sums[n:] - sums[:-n]) * down[: len(raw) - n + 1])
-            text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-            inside = text[n - 1 :] == text[: len(grams)]
-            parts.append((text[: len(grams)][inside], (grams[inside] >> shift).astype(np.int64) + _CHARACTERS))
+        grams = _character_grams(raw)
+        text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        inside = text[CHARACTERS - 1 :] == text[: len(grams)]
+        parts.append((text[: len(grams)][inside], grams[inside] + _CHARACTERS))
         keys = np.unique(np.concatenate([(o << 20) | f for o, f in parts]))
         yield first, keys >> 20, keys & ((1 << 20) - 1)
 
 
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def _sums(values: np.ndarray) -> np.ndarray:
+    """Running sums of byte values times the powers of the base."""
+    up, _ = _powers(len(values) + 1)
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE_VALUES[values] * up[: len(values)], out=sums[1:])
+    return sums
+
+
+def _character_grams(raw: np.ndarray) -> np.ndarray:
+    """The bucket of the character n-gram at each place; all white space is one character."""
+    n = CHARACTERS
+    if len(raw) < n:
+        return np.empty(0, np.int64)
+    sums = _sums(np.where(SPACED[raw], _FOLD[raw], np.uint8(32)))
+    _, down = _powers(len(raw) + 1)
+    return _bucket(mix((sums[n:] - sums[:-n]) * down[: len(raw) - n + 1]))
+
+
+def _of_long(raw: np.ndarray, size: int) -> np.ndarray:
+    """The features of one text, window by window; words and runs go on over the edges.
+
+    The word at a window's end is carried as its sum so far and its length, the run as its word and length.
+    """
+    present = np.zeros(FEATURES, dtype=bool)
+    carried, length = np.uint64(0), 0
+    run_word, run = None, 0
+    for begin in range(0, len(raw), size):
+        piece = raw[begin : begin + size]
+        present[_character_grams(raw[max(0, begin - CHARACTERS + 1) : begin + size]) + _CHARACTERS] = True
+        starts, ends, _ = word_spans(piece, np.array([0, len(piece)]), SPACED)
+        sums = _sums(_FOLD[piece])
+        _, down = _powers(len(piece) + 1)
+        words = (sums[ends] - sums[starts]) * down[starts]
+        sizes = ends - starts
+        if length and len(starts) and starts[0] == 0:
+            words[:1] = carried + words[:1] * np.uint64(pow(_BASE, length, 1 << 64))
+            sizes[0] += length
+        elif length:
+            words, sizes = np.append(carried, words), np.append(length, sizes)
+        carried, length = np.uint64(0), 0
+        if len(ends) and ends[-1] == len(piece) and begin + size < len(raw):
+            carried, length = words[-1], int(sizes[-1])
+            words = words[:-1]
+        if not len(words):
+            continue
+        words = mix(words)
+        present[_bucket(words) + _WORDS] = True
+        begins = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+        lengths = np.diff(np.append(begins, len(words)))
+        if words[0] == run_word:
+            lengths[0] += run
+        run_word, run = words[-1], int(lengths[-1])
+        for i, least in enumerate(RUNS):
+            present[_RUNS + i] |= lengths.max() >= least
+    return np.flatnonzero(present)
+
+
 @dataclass
 class Model:
     """The log ratio of each feature, and the least weight of a kept document."""
@@ -149,12 +213,16 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
 
     def weigh(batches):
         for texts, kinds in labelled(batches):
+            places = np.floor(np.clip(shared.value.weights(texts), -CUT_RANGE, CUT_RANGE) * CUT_STEPS)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shared.value.weights(texts)), pa.array(kinds)], names=["weight", "good"]
+                [pa.array(places.astype(np.int64)), pa.array(kinds)], names=["place", "good"]
             )
 
-    rows = narrow.mapInArrow(weigh, "weight double, good boolean").collect()  # the labelled ones
-    model.cut = _best_cut(np.array([r.weight for r in rows]), np.array([r.good for r in rows]))
+    places = narrow.mapInArrow(weigh, "place bigint, good boolean").groupBy("place").agg(
+        F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")
+    )
+    rows = sorted(places.collect())  # as many as there are steps, a fixed number
+    model.cut = _best_cut(*(np.array(column) for column in zip(*rows)))
     return model
 
 
@@ -165,17 +233,16 @@ def _counts(features_, raw, target) -> pa.RecordBatch:
     )
 
 
-def _best_cut(weights: np.ndarray, good: np.ndarray) -> float:
-    """The weight from which on keeping makes fewest mistakes, midway to the one below."""
-    order = np.argsort(weights, kind="stable")
-    weights, good = weights[order], good[order]
+def _best_cut(places: np.ndarray, good: np.ndarray, bad: np.ndarray) -> float:
+    """The weight from which on keeping makes fewest mistakes, midway to the step below."""
     lost = np.concatenate([[0], np.cumsum(good)])  # good ones below the cut
-    left = np.concatenate([[(~good).sum()], (~good).sum() - np.cumsum(~good)])
-    wrong = np.where(np.concatenate([[True], weights[1:] > weights[:-1], [True]]), lost + left, len(good) + 1)
-    at = int(np.argmin(wrong))
+    left = bad.sum() - np.concatenate([[0], np.cumsum(bad)])
+    at = int(np.argmin(lost + left))
     if at == 0:
         return -np.inf
-    return float(weights[at - 1] / 2 + weights[at] / 2) if at < len(weights) else np.inf
+    if at == len(places):
+        return np.inf
+    return float(places[at - 1] + places[at] + 1) / 2 / CUT_STEPS
 
 
 def _gumbel(ids: list, temperature: float) -> np.ndarray:
@@ -229,21 +296,22 @@ class Choice:
     least_key: float
 
 
-def choose(docs: DataFrame, labels: DataFrame) -> tuple[Choice, DataFrame]:
-    """The fitted model with the key of the last kept document, and all weights and keys by id."""
+def choose(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> tuple[Choice, DataFrame]:
+    """The fitted model with the key of the last kept document, and ``row`` (all columns, or those to keep),
+    weight and key of all documents, which are scored once and stored."""
     model = fit(docs, labels)
-    keys = staged(scored(docs, model, keep=["doc_id"]).select("row.doc_id", "weight", "key"))
-    k = keys.filter(F.col("weight") >= model.cut).count()
-    return Choice(model, kth_largest(keys, k)), keys
+    rows = staged(scored(docs, model, keep=keep))
+    k = rows.filter(F.col("weight") >= model.cut).count()
+    return Choice(model, kth_largest(rows.select("key"), k)), rows
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, weight, key, kept of every document."""
-    choice, keys = choose(docs, labels)
-    return keys.withColumn("kept", F.col("key") >= F.lit(choice.least_key))
+    choice, rows = choose(docs, labels, ["doc_id"])
+    return rows.select("row.doc_id", "weight", "key", (F.col("key") >= F.lit(choice.least_key)).alias("kept"))
 
 
 def select_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier keeps, columns unchanged."""
-    choice, _ = choose(docs, labels)
-    return scored(docs, choice.model).filter(F.col("key") >= F.lit(choice.least_key)).select("row.*")
+    choice, rows = choose(docs, labels)
+    return rows.filter(F.col("key") >= F.lit(choice.least_key)).select("row.*")

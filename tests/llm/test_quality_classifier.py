@@ -70,6 +70,33 @@ def test_features_once_per_text():
     assert (feature[owner == 0] == quality._RUNS).sum() == 1
 
 
+def test_windows_of_a_long_text_give_the_same_features():
+    import pyarrow as pa
+
+    rnd = random.Random(5)
+    texts = [sentence(rnd, 300), "x" * 5000, "go " * 900, " \n" * 700, "Größe\tder " * 200, "spam " * 7 + "y" * 900 + " spam" * 7]
+    texts += ["".join(rnd.choice("aB \n") for _ in range(3000)) for _ in range(5)]
+    for text in texts:
+        ((_, _, whole),) = quality.features(pa.array([text]), 1 << 20)
+        for size in (5, 64, 701):
+            ((_, owner, parts),) = quality.features(pa.array([text]), size)
+            assert not owner.any() and parts.tolist() == whole.tolist()
+
+
+def test_best_cut():
+    cut = quality._best_cut(np.array([-64, 0, 63, 128]), np.array([0, 1, 5, 9]), np.array([7, 2, 1, 0]))
+    assert cut == 0.5  # between the steps 0 and 63
+    assert quality._best_cut(np.array([3]), np.array([2]), np.array([1])) == -np.inf
+    assert quality._best_cut(np.array([3]), np.array([1]), np.array([2])) == np.inf
+
+
+def test_texts_are_scored_once(spark, no_docs):
+    rows, labels, _ = corpus(60, 2)
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = quality.select_good(docs, spark.createDataFrame(labels, LABELS))
+    assert "MapInArrow" not in kept._jdf.queryExecution().toString()
+
+
 def test_messy_rows(spark, clashing, messy_rows, no_docs):
     labels = spark.createDataFrame(
         [(i, int(i % 4 != 0), None if i % 3 else 0) for i in range(40)] + [(None, 1, 1), (5, 0, None), (100, None, None), (108, 1, 0)], LABELS
