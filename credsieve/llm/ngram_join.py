@@ -10,9 +10,10 @@ prefix meets others too seldom are dropped, and texts that share a prefix shingl
 order uses a sketch of all shingles' frequencies, of fixed size; any order gives the same links.
 
 The search itself: a family is one task; a large one is cut by set size and into pairs of blocks. It builds the inverted
-lists, and for each text merges its short lists with a heap, keeps the texts that the long lists
-could still lift to the overlap T, and probes the long lists for those by binary search
-(DivideSkip). Texts already known to be connected are not probed again. Only links that connect new
+lists in order of set size, and for each text merges its short lists with a heap, keeps the texts that the
+long lists could still lift to the overlap T, and probes the long lists for those by binary search
+(DivideSkip). Texts that are connected already and texts too small for a link are skipped in the lists, so
+a text of a group is found once and the rest of the group costs nothing. Only links that connect new
 texts leave the task, never all pairs of a group.
 
 Texts with the same set are one node throughout. Shingles and sets are compared by 64-bit hashes.
@@ -27,8 +28,8 @@ from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credsieve.llm.common import SPACED, fold_hashes, mix, staged, text_chunks, word_hashes, word_spans
-from credsieve.llm.graph import Sets, components
+from credsieve.llm.graph import components
 from credsieve.llm.lm_scoring import pack, unpack
 
 #: Words of a shingle, and the least similarity in hundredths, where the caller does not give them.
@@ -45,9 +46,10 @@ THRESHOLD = 85
 #: Prefixes must share this part of a set, in hundredths (at least one shingle).
 SHARED = 10
 SKETCH_BITS = 18
-#: Prefix shingles that one task brings together, and texts of a family that it searches, about.
+#: Prefix shingles that one task brings together, and texts of a family and their shingles that it searches, about.
 BUCKET_KEYS = 1 << 20
 BLOCK_TEXTS = 3000
+BLOCK_SHINGLES = 1 << 21
 
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE_WORDS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -203,8 +205,32 @@ def _pruned(postings: DataFrame, threshold: int) -> DataFrame:
     return staged(left.join(lists, "shingle").select("shingle", "sig", "n", "hub"))
 
 
+def needed_overlap(n, m, threshold: int):
+    """The least overlap of linked sets of n and m shingles."""
+    return -(-(n + m) * threshold // (100 + threshold))
+
+
+class Groups:
+    """Disjoint groups of 0..n-1 within one task, with the group of each at hand as an array."""
+
+    def __init__(self, n: int) -> None:
+        self.label = np.arange(n)
+        self.members: list[list[int] | None] = [[i] for i in range(n)]
+
+    def join(self, a: int, b: int) -> None:
+        a, b = sorted((int(self.label[a]), int(self.label[b])), key=lambda g: len(self.members[g]))
+        if a != b:
+            self.label[self.members[a]] = b
+            self.members[b] += self.members[a]
+            self.members[a] = None
+
+
 class Index:
-    """Inverted lists of the sets of one task, and the search over them."""
+    """Inverted lists of the sets of one task, in order of size, and the search over them.
+
+    An entry is a shingle's number times the number of sets plus the set, so that all lists are one sorted array and
+    the part of a list between two sets is found by binary search.
+    """
 
     def __init__(self, sets: list[np.ndarray], threshold: int) -> None:
         self.threshold = threshold
@@ -212,42 +238,66 @@ class Index:
         shingles = np.concatenate(sets) if sets else np.empty(0, np.uint64)
         owners = np.repeat(np.arange(len(sets)), self.sizes)
         order = np.argsort(shingles, kind="stable")
-        self.owners = owners[order]
-        self.keys, self.starts = np.unique(shingles[order], return_index=True)
-        self.ends = np.append(self.starts[1:], len(shingles))
+        self.keys, counts = np.unique(shingles, return_counts=True)
+        self.entries = np.repeat(np.arange(len(self.keys)) * len(sets), counts) + owners[order]
 
-    def links(self, text: int, connected: Sets, other: np.ndarray | None = None) -> Iterator[int]:
-        """Texts before ``text`` that link with it and are not connected with it yet.
+    def links(self, text: int, groups: Groups, other: np.ndarray | None = None) -> Iterator[int]:
+        """Texts before ``text`` that link with it, of each group at most one; the caller joins the groups.
 
-        ``other`` marks the texts to look at; None stands for all.
+        ``other`` marks the texts to look at; None stands for all. Texts of the own group and texts too small for a
+        link are passed over in the lists, and the search ends when none is left.
         """
-        own, n, threshold = self.sets[text], len(self.sets[text]), self.threshold
-        at = np.searchsorted(self.keys, own)
-        lengths = self.ends[at] - self.starts[at]
-        order = np.argsort(lengths, kind="stable")
-        n_long = least_overlap(n, threshold) - 1  # lists that may be left to probing: T - 1
-        short, long = at[order[: n - n_long]], at[order[n - n_long :]]
-        lists = [self.owners[self.starts[i] : self.ends[i]] for i in short.tolist()]
-        merged = heapq.merge(*[x[: np.searchsorted(x, text)].tolist() for x in lists if x[0] < text])
-        counts = [(t, sum(1 for _ in same)) for t, same in groupby(merged)]
-        if not counts:
+        own, n, entries = self.sets[text], len(self.sets[text]), self.entries
+        first = int(np.searchsorted(self.sizes[:text], least_overlap(n, self.threshold)))
+
+        def open_from(c: int) -> list[int]:
+            apart = groups.label[c:text] != groups.label[text]
+            return (np.flatnonzero(apart if other is None else apart & other[c:text]) + c).tolist()
+
+        left, k = open_from(first), 0
+        if not left:
             return
-        found, overlap = (np.array(x) for x in zip(*counts))
-        sizes = self.sizes[found]
-        fits = (sizes * 100 >= n * threshold) & (n * 100 >= sizes * threshold)
-        if other is not None:
-            fits &= other[found]
-        mine = connected.find(text)
-        fits &= np.array([connected.find(t) != mine for t in found.tolist()])
-        found, overlap, sizes = found[fits], overlap[fits], sizes[fits]
-        for i in long.tolist():
-            if not len(found):
+        at = np.searchsorted(self.keys, own) * len(self.sets)
+        begins, ends = np.searchsorted(entries, at + first), np.searchsorted(entries, at + text)
+        order = np.argsort(ends - begins, kind="stable")
+        # lists that may be left to probing: T - 1
+        n_long = int(needed_overlap(n, self.sizes[left[0]], self.threshold)) - 1
+        short, long = order[: n - n_long], at[order[n - n_long :]]
+        view = memoryview(entries)
+        short = short[ends[short] > begins[short]]
+        heap = [(view[b] - base, b, e, base) for b, e, base in zip(*(x[short].tolist() for x in (begins, ends, at)))]
+        heapq.heapify(heap)
+
+        def skip(to: int) -> int:
+            """Moves the lists that stand before ``to`` there, and returns how many did."""
+            moved = 0
+            while heap and heap[0][0] < to:
+                _, b, e, base = heap[0]
+                b += 1
+                if b < e and view[b] < base + to:
+                    b = bisect_left(view, base + to, b, e)
+                if b < e:
+                    heapq.heapreplace(heap, (view[b] - base, b, e, base))
+                else:
+                    heapq.heappop(heap)
+                moved += 1
+            return moved
+
+        while heap:
+            k = bisect_left(left, heap[0][0], k)
+            if k == len(left):
                 return
-            probed = self.owners[self.starts[i] : self.ends[i]]
-            place = np.minimum(np.searchsorted(probed, found), len(probed) - 1)
-            overlap = overlap + (probed[place] == found)
-        linked = overlap * (100 + threshold) >= threshold * (n + sizes)
-        yield from found[linked].tolist()
+            candidate = left[k]
+            skip(candidate)
+            overlap = skip(candidate + 1)
+            needed = needed_overlap(n, int(self.sizes[candidate]), self.threshold)
+            if overlap + n_long < needed:
+                continue
+            probed = long + candidate
+            place = np.minimum(np.searchsorted(entries, probed), len(entries) - 1)
+            if overlap + int((entries[place] == probed).sum()) >= needed:
+                yield candidate
+                left, k = open_from(candidate + 1), 0
 
 
 def _search(threshold: int):
@@ -255,21 +305,17 @@ def _search(threshold: int):
 
     def run(key, table):
         _, _, one, two = (k.as_py() for k in key)
-        sigs = table.column("sig").to_numpy()
-        order = np.argsort(sigs)
-        blocks = table.column("own").to_numpy()[order]
-        sigs = sigs[order]
-        sets = [unpack(table.column("shingles")[i].as_py(), np.uint64, delta=True) for i in order.tolist()]
-        fresh = np.ones(len(sigs), bool)
-        fresh[1:] = sigs[1:] != sigs[:-1]
-        keep = np.flatnonzero(fresh)
-        sigs, blocks, sets = sigs[keep], blocks[keep], [sets[i] for i in keep.tolist()]
-        index, connected, links = Index(sets, threshold), Sets(len(sets)), []
+        sigs, fresh = np.unique(table.column("sig").to_numpy(), return_index=True)
+        blocks = table.column("own").to_numpy()[fresh]
+        sets = [unpack(table.column("shingles")[i].as_py(), np.uint64, delta=True) for i in fresh.tolist()]
+        by_size = np.argsort([len(s) for s in sets], kind="stable")
+        sigs, blocks, sets = sigs[by_size], blocks[by_size], [sets[i] for i in by_size.tolist()]
+        index, groups, links = Index(sets, threshold), Groups(len(sets)), []
         for text in range(len(sets)):
             other = None if one == two else blocks != blocks[text]
-            for found in index.links(text, connected, other):
-                if connected.join(text, found):
-                    links.append((text, found))
+            for found in index.links(text, groups, other):
+                groups.join(text, found)
+                links.append((text, found))
         a, b = (np.array(x, dtype=np.int64) for x in zip(*links)) if links else (np.empty(0, np.int64),) * 2
         return pa.table({"a": pa.array(sigs[a], pa.int64()), "b": pa.array(sigs[b], pa.int64())})
 
@@ -301,12 +347,14 @@ def _placed(families: DataFrame, sizes: DataFrame, threshold: int) -> DataFrame:
     linked sets can differ, so linked sets are of one class or of neighbours, and a span is a class
     with the next. What is still too large is cut into blocks.
     """
-    large = families.groupBy("family").agg(F.count("*").alias("texts"))
+    parts = F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("n") / BLOCK_SHINGLES)
+    known = families.join(sizes, "sig")
+    large = known.groupBy("family").agg(parts.alias("parts"))
     width = math.log(100 / (threshold - 1))
     size_class = F.floor(F.log("n") / F.lit(width)).cast("int")
-    spans = F.when(F.col("texts") <= BLOCK_TEXTS, F.array(F.lit(0))).otherwise(F.array(size_class - 1, size_class))
-    each = families.join(sizes, "sig").join(large, "family").select("sig", "family", F.explode(spans).alias("span"))
-    blocks = each.groupBy("family", "span").agg(F.ceil(F.count("*") / BLOCK_TEXTS).cast("int").alias("blocks"))
+    spans = F.when(F.col("parts") <= 1, F.array(F.lit(0))).otherwise(F.array(size_class - 1, size_class))
+    each = known.join(large, "family").select("sig", "n", "family", F.explode(spans).alias("span"))
+    blocks = each.groupBy("family", "span").agg(F.ceil(parts).cast("int").alias("blocks"))
     place = F.collect_list(F.struct("family", "span", "blocks")).alias("places")  # one or two
     return each.join(blocks, ["family", "span"]).groupBy("sig").agg(place)
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from tables import CLASHING, SCHEMA, sentence, spaced_words
 
@@ -71,3 +72,51 @@ def test_one_document_of_each_component_stays(clashing, messy_rows):
     components = {c for _, n, c in expected if n}
     assert sorted(repr(r.doc_id) for r in rows if shingles(r.text)) == sorted(map(repr, components))
     assert sum(not shingles(r.text) for r in rows) == sum(n == 0 for _, n, _ in expected)
+
+
+def near_sets(rnd, families, members, size):
+    """Sorted sets that share about as much with others of their family as a link takes, in order of size."""
+    sets = []
+    for _ in range(families):
+        base = [rnd.randrange(2**62) for _ in range(size)]
+        for _ in range(members):
+            share = rnd.choice([0.85, 0.92, 0.97])
+            own = {x for x in base if rnd.random() < share}
+            own |= {rnd.randrange(2**62) for _ in range(rnd.randrange(size // 8 + 2))}
+            sets.append(np.array(sorted(own), dtype=np.uint64))
+    return sorted((s for s in sets if len(s)), key=len)
+
+
+def groups_of(label):
+    return {frozenset(np.flatnonzero(np.asarray(label) == x).tolist()) for x in label}
+
+
+@pytest.mark.parametrize("size", [2, 12, 90])
+@pytest.mark.parametrize("threshold", [60, 80, 85, 100])
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_search_of_one_task(size, threshold, blocks):
+    sets = near_sets(random.Random(size), 3, 25, size)
+    marks = np.arange(len(sets)) % blocks
+    index, groups, plain = ngram_join.Index(sets, threshold), ngram_join.Groups(len(sets)), ngram_join.Groups(len(sets))
+    links = 0
+    for text in range(len(sets)):
+        for other in index.links(text, groups, None if blocks == 1 else marks != marks[text]):
+            assert other < text and groups.label[other] != groups.label[text]
+            groups.join(text, other)
+            links += 1
+        for other in range(text):
+            a, b = set(sets[text].tolist()), set(sets[other].tolist())
+            if (blocks == 1 or marks[text] != marks[other]) and 100 * len(a & b) >= threshold * len(a | b):
+                plain.join(text, other)
+    assert groups_of(groups.label) == groups_of(plain.label)
+    assert links == len(sets) - len(groups_of(groups.label))
+
+
+def test_blocks_are_cut_by_shingles_too(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 400)
+    rnd = random.Random(3)
+    words, rows = sentence(rnd, 150).split(), []
+    for i in range(12):
+        words[rnd.randrange(150)] = "other"
+        rows.append((i, " ".join(words), None, None, 1))
+    assert found(spark.createDataFrame(rows, SCHEMA)) == sorted(map(repr, brute_force(rows)))
