@@ -1,8 +1,16 @@
-"""The corpus pipeline: five stages, each written as Parquet before the next one reads it."""
+"""The corpus pipeline: five stages, each written as Parquet before the next one reads it.
+
+Defined cases, stage by stage as in the operators: null and empty texts weigh 0 for the classifier, are linked with
+nothing, hold no passage, take part in the mix with no words and go to a shard like others; repeated rows are one
+document to the join and the mix counts those left; texts of any length are taken whole; an empty table passes through
+all stages. Extra columns stay in all stages. A column of a document that is named like one of the shard's keeps its
+name, and the shard's takes an underscore.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from credsieve.llm.common import read, staged
 from credsieve.llm.decontaminate import decontaminate
@@ -39,7 +47,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the shard that each goes to."""
-    return shard(docs).select("row.*", "n_bytes", "shard", "depth", "shard_bytes", "shard_rows")
+    taken, added = {c.lower() for c in docs.columns}, []
+    for name in ("n_bytes", "shard", "depth", "shard_bytes", "shard_rows"):
+        free = name
+        while free.lower() in taken:
+            free += "_"
+        taken.add(free.lower())
+        added.append(F.col(name).alias(free))
+    return shard(docs).select("row.*", *added)
 
 
 #: In order. Each takes (spark, docs, sf_dir); all but the last return the columns of documents.
