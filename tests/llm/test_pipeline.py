@@ -2,12 +2,13 @@
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from test_decontaminate import brute_force as passages
 from test_ngram_join import brute_force as components
 from test_sharding import check as check_shards
 
 from credsieve.llm import quality
-from credsieve.llm.common import read
+from credsieve.llm.common import read, staged
 from credsieve.llm.mixing import plan_mix
 from credsieve.llm.sharding import SHARD_BYTES
 
@@ -71,3 +72,29 @@ def test_sharding_stage(stages):
 def test_run(spark, stages):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert ids(rows) == ids(stages[-1])
+
+
+def through_all(spark, docs):
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns
+        docs = staged(kept)
+    return docs, staged(corpus_pipeline.STAGES[-1][1](spark, docs, SF))
+
+
+def test_messy_rows(spark, clashing):
+    docs = clashing.withColumns({"depth": F.lit("d"), "Shard_Rows": F.lit(3), "shard_rows_": F.lit(4)})
+    mixed, cut = through_all(spark, docs)
+    assert cut.columns == [*docs.columns, "n_bytes", "shard_", "depth_", "shard_bytes", "shard_rows__"]
+    assert ids_or_none(cut) == ids_or_none(mixed)
+    assert {r.depth for r in cut.select("depth").collect()} == {"d"}
+    assert cut.filter("doc_id = 107").first().text == docs.filter("doc_id = 107").first().text
+
+
+def ids_or_none(frame):
+    return sorted(repr(r.doc_id) for r in frame.select("doc_id").collect())
+
+
+def test_empty_table(spark, no_docs):
+    _, cut = through_all(spark, no_docs)
+    assert cut.count() == 0 and "shard" in cut.columns
