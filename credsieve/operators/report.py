@@ -194,6 +194,17 @@ def report_envelopes(reports: DataFrame) -> DataFrame:
     )
 
 
+@F.pandas_udf(T.StringType())
+def _opened(data: pd.Series) -> pd.Series:
+    return data.map(lambda d: gzip.decompress(base64.b64decode(d)).decode())
+
+
+def open_envelopes(envelopes: DataFrame) -> DataFrame:
+    """Envelopes with the report in ``json`` in place of the compressed ``data``."""
+    kept = [name for name in envelopes.columns if name != "data"]
+    return envelopes.select(*kept, _opened("data").alias("json"))
+
+
 def write_reports(reports: DataFrame, path: str) -> None:
     """Reports as gzip-compressed JSON lines."""
     reports.write.mode("overwrite").option("compression", "gzip").json(path)

@@ -20,7 +20,7 @@ from credsieve.session import shared_dir
 from credsieve.sources import tree
 from credsieve.sources.archives import expand_archives, list_archives
 from credsieve.sources.files import read_tree, to_lines, with_names
-from credsieve.sources.samples import clean_evaluation
+from credsieve.sources.samples import clean_evaluation, read_samples
 from credsieve.streaming.scan_stream import read_findings, start_scan, stream_tree
 
 # Lower limits than the defaults, so that the given tables reach them.
@@ -31,6 +31,7 @@ LISTED_CAP = 7
 RESULTS_CAP = 5
 
 BROKEN_PROJECT = "src3"
+SINGLE_PROJECT = "src1"
 
 # Rules that match a line more than once, and parts of each other's matches.
 MASK_RULES = (
@@ -282,6 +283,31 @@ def quality_report_before_after(spark, sf_dir):
     return _rounded(scans.quality_before_after(fx.covered_samples(spark, sf_dir)), 4)
 
 
+def quality_export(spark, sf_dir):
+    """The exported metrics, read back."""
+    path = f"{shared_dir(spark)}/report"
+    report.write_quality_report(fx.covered_samples(spark, sf_dir), path)
+    return _rounded(spark.read.json(f"{path}/json").select("section", "metric", "value"), 4)
+
+
+def repaired_files(spark, sf_dir):
+    """The repaired samples, written as a new version and read back."""
+    paths = report.write_repaired(fx.samples(spark, sf_dir), f"{shared_dir(spark)}/repaired")
+    return read_samples(spark, paths["positives"], paths["negatives"])
+
+
+def sample_files(spark, sf_dir):
+    """Samples written by class and read back in both modes: how often each text is there."""
+    labelled = fx.samples(spark, sf_dir).filter("label IN (0, 1)")
+    paths = report.write_samples(labelled, f"{shared_dir(spark)}/samples")
+    quality_mode, training_mode = (
+        read_samples(spark, paths["positives"], paths["negatives"], mode).withColumn("mode", F.lit(mode))
+        for mode in ("quality", "training")
+    )
+    read = quality_mode.unionByName(training_mode)
+    return read.groupBy("mode", "label", "text").agg(F.count("*").alias("n_rows"))
+
+
 # --- classifier ------------------------------------------------------------------------------
 
 
@@ -482,6 +508,29 @@ def scan_report(spark, sf_dir):
     )
 
 
+def single_scan(spark, sf_dir):
+    """The report of one requested project."""
+    one = scans.scan_request(fx.requests(spark, sf_dir), fx.files(spark, sf_dir), SINGLE_PROJECT)
+    return one.select("status", "message", "project", "all_files", "files_excluded", F.size("results").alias("n_results"))
+
+
+def opened_envelopes(spark, sf_dir):
+    """Reports packed into envelopes and read from them again."""
+    reports = scans.scan_requests(fx.requests(spark, sf_dir), fx.files(spark, sf_dir))
+    opened = report.open_envelopes(report.report_envelopes(reports))
+
+    def field(name: str):
+        return F.get_json_object("json", f"$.{name}")
+
+    return opened.select(
+        "project",
+        *[field(name).alias(name) for name in ("status", "message", "repo_url", "commit")],
+        *[field(name).cast("bigint").alias(name) for name in ("files_excluded", "all_files")],
+        F.json_array_length(field("results")).alias("n_results"),
+        (F.octet_length("json") == F.col("original_size")).alias("whole"),
+    )
+
+
 def report_results(spark, sf_dir):
     """The results of the reports row by row; a record holds few, so that projects take several."""
     findings = scan.scan_files(fx.files(spark, sf_dir))
@@ -686,11 +735,11 @@ QUERIES = {
         duplicate_examples, quality_coverage, uncovered_examples, quality_issues, issue_examples,
         quality_patterns, quality_prefixes, top_lengths, entropy_stats, raw_line_issues,
         quality_scorecard, quality_recommendations, repair_dataset, repair_dataset_covered,
-        repair_report, repair_report_covered, quality_report_before_after, ngram_frequencies, idf_weights,
+        repair_report, repair_report_covered, repaired_files, sample_files, quality_report_before_after, quality_export, ngram_frequencies, idf_weights,
         tfidf_features, blend_severity, confusion_metrics, wrong_predictions, evaluation_samples, train_score,
         evaluate_model, predict_pairs, model_info, small_model, sharded_model, small_evaluate, small_findings, small_pairs,
         training_split, request_check, request_validation,
-        repo_url_parts, scan_report, report_results, csv_evaluation, archive_members, archive_scan,
+        repo_url_parts, scan_report, single_scan, opened_envelopes, report_results, csv_evaluation, archive_members, archive_scan,
         archive_inventory, archive_report, archive_ranges, tree_files, stream_scan, stream_report, stream_tree_files,
     )
 }

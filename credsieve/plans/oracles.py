@@ -874,3 +874,21 @@ FROM requests r JOIN docs_as_files d ON d.project = r.project GROUP BY r.project
     "stream_scan": f"""WITH {_DOC_FILES}, {_findings("SELECT * FROM docs_as_files")},
 {_capped(settings.MAX_SECRETS_PER_FILE)} SELECT * FROM findings""",
 }
+
+ORACLES |= {
+    "single_scan": f"""SELECT status, message, project, all_files, files_excluded, n_results
+FROM ({ORACLES["scan_report"]}) WHERE project = '{catalog.SINGLE_PROJECT}'""",
+    "opened_envelopes": f"""SELECT project, status, message, repo_url, commit, files_excluded, all_files,
+  n_results, true AS whole FROM ({ORACLES["scan_report"]})""",
+    "quality_export": f"""SELECT section, metric, value
+FROM ({ORACLES["quality_report_before_after"]}) WHERE stage = 'before'""",
+    "repaired_files": ORACLES["repair_dataset"],
+    "sample_files": f"""WITH {fx.SQL_SAMPLES},
+pieces AS (
+  SELECT 'quality' AS mode, label, {fx.sql_strip("text")} AS text FROM samples
+  WHERE label IN (0, 1) AND {fx.sql_strip("text")} <> ''
+  UNION ALL
+  SELECT 'training', label, unnest(string_split_regex(text, '[\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'))
+  FROM samples WHERE label IN (0, 1))
+SELECT mode, label, text, count(*) AS n_rows FROM pieces GROUP BY ALL""",
+}
