@@ -1,19 +1,21 @@
 """Embedding near-duplicates through a pivot-permutation index.
 
-Every vector is described by its nearest reference points, nearest first. Vectors that share some
-of their nearest pivots meet: for each subset of that many pivots there is an inverted list, so one
-common list is the same as a shared-pivot count that reaches the number. Candidates are verified by
-cosine in double precision, so no pair below the threshold is linked; a pair whose
-pivots differ too much may be missed, which the tests measure against brute force.
+Every vector is described by its nearest reference points in their order, nearest first. There is one
+inverted list for each pivot. Two vectors are candidates when they share enough of their nearest pivots at
+similar ranks: the lists of the other pivots are merged within each list and count that. Candidates are
+verified by cosine in double precision, so no pair below the threshold is linked; a pair whose pivots differ
+too much may be missed, which the tests measure against brute force. Who must share ``shared`` of ``nearest``
+pivots shares one of the first ``nearest - shared + 1`` by number, so a vector goes to the lists of those only.
 
 Pivots are a bounded sample, about as many as the root of the number of vectors allows, thinned so that no
 two are near each other: pivots within one dense group would be told apart by noise only, and its members
-would not agree on them. All vectors are indexed. A vector close to a pivot is listed under that pivot
-alone, and so is every vector that could link with it by the angles between them: links inside a group
-around a pivot are all found, in one list. Where so few pivots are left that most vectors would meet
-anyway, all vectors are one list. Bitwise equal vectors are one node with a count. A long list is cut into blocks, and each pair
-of its blocks is one task, so no task holds more than two blocks. A pair that meets in several lists is
-counted in the list of its first shared pivots only. Tasks return counts and links that connect, not pairs.
+would not agree on them. What is near follows from the distances in the sample, and pivots are ranked after
+the sample's mean is taken off, so a direction that all vectors share neither thins the pivots nor makes some
+of them near to all. All vectors are indexed, whatever the number of pivots. A vector close to a pivot of a dense group is
+listed under that pivot alone, and so is every vector that could link with it by the triangle inequality:
+links inside a group around a pivot are all found, in one list. Bitwise equal vectors are one node with a count. A
+long list is cut into blocks, and each pair of its blocks is one task, so no task holds more than two blocks. A pair
+that meets in several lists is counted in the first of them only. Tasks return counts and links that connect, not pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite numbers link with nothing
 and are their own component; vectors of different lengths do not link; repeated rows link with each
@@ -23,10 +25,11 @@ other; an empty table gives an empty result; extra columns, labels among them, a
 from __future__ import annotations
 
 import math
-from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,19 +37,33 @@ from credsieve.llm.common import staged
 from credsieve.llm.graph import Sets, components
 
 THRESHOLD = 0.9
-#: Nearest pivots that describe a vector, and how many of them two vectors must share.
-NEAREST = 8
-SHARED = 2
-#: Pivots at most (a broadcast of 8 bytes for each of their numbers), and the fewest.
+#: Nearest pivots that describe a vector, how many of them two vectors must share, and by how much the
+#: ranks of a shared pivot may differ.
+NEAREST = 12
+SHARED = 3
+RANKS = 8
+#: Pivots at most (a broadcast of 16 bytes for each of their numbers), and the fewest.
 MAX_PIVOTS = 16_384
 MIN_PIVOTS = 32
-#: Pivots are less similar than this. With fewer of them than FEW_PIVOTS all vectors are compared.
-APART = 0.5
-FEW_PIVOTS = 32
-#: From this similarity to a pivot on, a vector meets others under that pivot alone.
-COVERED = 0.866
-#: Vectors of a list that are verified together.
+#: Pivots are further apart than this part of the sample's median distance; a dense group lies within it
+#: together with all that could link with its members.
+APART = 0.7
+#: A pivot with so many vectors of the sample close around it stands for a dense group.
+DENSE = 8
+#: Vectors of a list that are verified together, and vectors described at once.
 BLOCK = 2000
+DESCRIBED = 1000
+
+
+class Pivots(NamedTuple):
+    """Reference points for vectors of one length."""
+
+    points: np.ndarray  # of length 1
+    mean: np.ndarray
+    centred: np.ndarray  # the points without the mean, of length 1
+    groups: np.ndarray  # numbers of those that stand for dense groups
+    around: float  # distance within which such a pivot covers a vector
+    reach: float  # distance within which lies all that links with a covered vector
 
 
 def _normed(vectors: np.ndarray) -> np.ndarray:
@@ -55,6 +72,15 @@ def _normed(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
 
+def _centred(unit: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    moved = unit - mean
+    return moved / np.maximum(np.sqrt((moved * moved).sum(axis=1, keepdims=True)), 1e-12)
+
+
+def _distances(unit: np.ndarray, points: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, 2 - 2 * (unit @ points.T)))
+
+
 def _usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, vector as doubles, usable): whether the vector can link at all."""
     numbers = F.col("embedding").cast("array<double>")
@@ -67,107 +93,158 @@ def _usable(vectors: DataFrame) -> DataFrame:
     )
 
 
-def _thinned(points: np.ndarray) -> np.ndarray:
-    """The points, scaled, without those that are near one before them."""
-    points = _normed(points)
-    kept, n = np.empty_like(points), 0
-    for point in points:
-        if not n or (kept[:n] @ point).max() < APART:
+def _pivots(sample: np.ndarray, threshold: float) -> Pivots:
+    """The sample without points that are near one before them."""
+    unit = _normed(sample)
+    some = unit[:1000]
+    pairs = _distances(some, some)[np.triu_indices(len(some), 1)]
+    reach = APART * float(np.median(pairs)) if len(pairs) else 0.0
+    around = reach - math.sqrt(max(0.0, 2 - 2 * threshold)) - 1e-9
+    kept, n = np.empty_like(unit), 0
+    for point in unit:
+        if not n or _distances(kept[:n], point[None, :]).min() >= reach:
             kept[n] = point
             n += 1
-    return kept[:n].copy()
+    points = kept[:n].copy()
+    close = np.concatenate([(_distances(points[a : a + 500], unit) <= around).sum(axis=1) for a in range(0, n, 500)])
+    mean = unit.mean(axis=0)
+    return Pivots(points, mean, _centred(points, mean), np.flatnonzero(close >= DENSE), around, reach)
+
+
+def _packed(vectors: np.ndarray) -> list[bytes]:
+    """Bytes of each vector, in single precision where that loses nothing."""
+    with np.errstate(over="ignore"):
+        single = vectors.astype(np.float32)
+    exact = (single == vectors).all(axis=1)
+    return [a.tobytes() if e else b.tobytes() for a, b, e in zip(single, vectors, exact)]
 
 
-def _reach(threshold: float) -> float:
-    """The least similarity to a pivot of what links with a vector that the pivot covers."""
-    angle = math.acos(COVERED) + math.acos(max(-1.0, min(1.0, threshold)))
-    return math.cos(min(math.pi, angle)) - 1e-9
+def _unpacked(rows: list[bytes], size: int) -> np.ndarray:
+    return _normed(np.stack([np.frombuffer(r, np.float32 if len(r) == 4 * size else np.float64).astype(np.float64) for r in rows]))
 
 
-def _keys(pivots, nearest: int, shared: int, threshold: float):
-    """Each vector once for every pivot in reach, and for every subset of its nearest pivots unless
-    a pivot covers it."""
-    reach = _reach(threshold)
+def _describe(pivots, nearest: int, shared: int):
+    """Each vector once for every list it goes to: of the pivots of dense groups in reach and, unless one of
+    them covers it, of the first of its nearest pivots by number."""
+
+    def lists(vectors: np.ndarray, known: Pivots):
+        """For each vector its nearest pivots in order, groups in reach, and whether one covers it."""
+        unit = _normed(vectors)
+        take = min(nearest, len(known.points))
+        likeness = _centred(unit, known.mean) @ known.centred.T
+        near = np.argsort(-likeness, axis=1, kind="stable")[:, :take].astype(np.int32)
+        away = _distances(unit, known.points[known.groups])
+        return near, away <= known.reach, (away <= known.around).any(axis=1)
 
     def run(batches):
         for batch in batches:
-            rows = []
-            vectors = batch.column("vector").to_pylist()
-            by_size: dict[int, list[int]] = {}
-            for i, v in enumerate(vectors):
-                by_size.setdefault(len(v), []).append(i)
-            nodes = batch.column("node").to_pylist()
-            for size, places in by_size.items():
-                unit = _normed(np.array([vectors[i] for i in places], dtype=np.float64))
-                points = pivots.value[size]
-                if len(points) < FEW_PIVOTS:
-                    rows += [(nodes[i], str(size), unit[row].tobytes(), b"", b"") for row, i in enumerate(places)]
-                    continue
-                take = min(nearest, len(points))
-                cosines = unit @ points.T
-                near = np.argsort(-cosines, axis=1, kind="stable")[:, :take]
-                for row, i in enumerate(places):
-                    ordered = np.sort(near[row]).astype(np.int32)
-                    within = np.flatnonzero(cosines[row] >= reach).astype(np.int32)
-                    vector, marks, around = unit[row].tobytes(), ordered.tobytes(), within.tobytes()
-                    names = [f"{size},{p}" for p in within.tolist()]
-                    if cosines[row].max() < COVERED:
-                        names += [",".join(map(str, (size, *s))) + "," for s in combinations(ordered.tolist(), min(shared, take))]
-                    rows += [(nodes[i], name, vector, marks, around) for name in names]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[0] for r in rows], pa.int64()),
-                    pa.array([r[1] for r in rows], pa.string()),
-                    pa.array([r[2] for r in rows], pa.binary()),
-                    pa.array([r[3] for r in rows], pa.binary()),
-                    pa.array([r[4] for r in rows], pa.binary()),
-                ],
-                names=["node", "list", "vector", "pivots", "around"],
-            )
+            sizes = pc.list_value_length(batch.column("vector")).to_numpy()
+            for size in np.unique(sizes).tolist():
+                known = pivots.value[size]
+                places = np.flatnonzero(sizes == size)
+                for first in range(0, len(places), DESCRIBED):
+                    part = batch.take(pa.array(places[first : first + DESCRIBED]))
+                    vectors = pc.list_flatten(part.column("vector")).to_numpy().reshape(-1, size)
+                    near, reached, covered = lists(vectors, known)
+                    x, g = np.nonzero(reached)
+                    most = near.shape[1] - min(shared, near.shape[1]) + 1
+                    open_ = np.flatnonzero(~covered)
+                    own = np.sort(near[open_], axis=1)[:, :most]
+                    rows = pa.array(np.concatenate([x, np.repeat(open_, own.shape[1])]))
+                    around = [known.groups[r].astype(np.int32).tobytes() for r in reached]
+                    columns = {
+                        "size": np.full(len(rows), size, np.int32),
+                        "dense": np.arange(len(rows)) < len(x),
+                        "pivot": np.concatenate([known.groups[g], own.ravel()]).astype(np.int32),
+                        "node": part.column("node").take(rows),
+                        "copies": part.column("copies").take(rows),
+                        "vector": pa.array(_packed(vectors), pa.binary()).take(rows),
+                        "near": pa.array([n.tobytes() for n in near], pa.binary()).take(rows),
+                        "around": pa.array(around, pa.binary()).take(rows),
+                    }
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
     return run
 
 
-def _early(name: str, marks: list[np.ndarray], around: list[np.ndarray]) -> np.ndarray:
-    """Marks of the lists before this one, a row for each vector: a pair that shares a mark is counted
-    in an earlier list. Lists of one pivot in reach come first, then those of nearest pivots."""
-    own = [int(x) for x in name.strip(",").split(",")[1:]]
-    if not own:
-        early = [m[:0] for m in marks]
-    elif not name.endswith(","):
-        early = [w[w < own[0]] for w in around]
-    else:  # nearest pivots count from -2 downwards
-        early = [np.concatenate([w, -2 - m[(m < own[-1]) & ~np.isin(m, own)]]) for m, w in zip(marks, around)]
-    known, flat = np.unique(np.concatenate(early), return_inverse=True)
-    has = np.zeros((len(early), len(known)), np.float32)
-    has[np.repeat(np.arange(len(early)), [len(e) for e in early]), flat.reshape(-1)] = 1
-    return has
+class _Postings:
+    """Within one block of a list: for each mark its vectors, and the ranks they give it."""
+
+    def __init__(self, marks: list[np.ndarray]) -> None:
+        lengths = np.array([len(m) for m in marks])
+        flat = np.concatenate(marks)
+        order = np.argsort(flat, kind="stable")
+        self.rows = np.repeat(np.arange(len(marks)), lengths)[order]
+        self.ranks = (np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths))[order]
+        self.marks, first = np.unique(flat[order], return_index=True)
+        self.spans = dict(zip(self.marks.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(flat)])))
+
+    def of(self, mark: int):
+        start, end = self.spans[mark]
+        return self.rows[start:end], self.ranks[start:end]
+
+
+def _merge(dense: bool, pivot: int, near, around, shared: int) -> np.ndarray:
+    """Which pairs of two blocks are candidates that no earlier list has.
 
+    Lists of dense groups come first, then those of nearest pivots by number. In these, the lists of all other
+    pivots are merged and count how many each pair shares at similar ranks.
+    """
+    one, two = (_Postings(marks) for marks in around)
+    candidate = np.ones((len(around[0]), len(around[1])), bool)
+    for mark in np.intersect1d(one.marks, two.marks).tolist():
+        if not dense or mark < pivot:
+            candidate[np.ix_(one.of(mark)[0], two.of(mark)[0])] = False
+    if dense:
+        return candidate
+    one, two = (_Postings(marks) for marks in near)
+    counts = np.zeros(candidate.shape, np.uint8)
+    for mark in np.intersect1d(one.marks, two.marks).tolist():
+        (a, ranks_a), (b, ranks_b) = one.of(mark), two.of(mark)
+        if mark < pivot:
+            candidate[np.ix_(a, b)] = False
+        else:
+            counts[np.ix_(a, b)] += np.abs(ranks_a[:, None] - ranks_b[None, :]) <= RANKS
+    return candidate & (counts >= shared)
 
-def _verify(threshold: float):
+
+def _close(a: np.ndarray, b: np.ndarray, candidate: np.ndarray, threshold: float):
+    """Rows and columns of candidates whose cosine reaches the threshold."""
+    found = []
+    for start in range(0, len(a), 500):
+        rows = slice(start, start + 500)
+        x, y = np.nonzero(candidate[rows])
+        if 20 * len(x) < candidate[rows].size:
+            cosines = [np.einsum("ij,ij->i", a[rows][x[i : i + 50_000]], b[y[i : i + 50_000]]) for i in range(0, len(x), 50_000)]
+            good = np.concatenate([*cosines, np.empty(0)]) >= threshold
+        else:
+            good = (a[rows] @ b.T)[x, y] >= threshold
+        found.append((x[good] + start, y[good]))
+    return tuple(np.concatenate(v) for v in zip(*found))
+
+
+def _verify(threshold: float, shared: int):
     def run(key, table):
         """Counts of links by node, and links that connect, of one list or pair of its blocks."""
-        name, one, two = (k.as_py() for k in key)
+        size, dense, pivot, first, second = (k.as_py() for k in key)
         order = np.argsort(table.column("node").to_numpy(), kind="stable")
-        nodes = table.column("node").to_numpy()[order]
-        blocks = table.column("own").to_numpy()[order]
-        copies = table.column("copies").to_numpy()[order]
-        unit = np.stack([np.frombuffer(table.column("vector")[i].as_py(), np.float64) for i in order.tolist()])
-        marks, around = ([np.frombuffer(table.column(c)[i].as_py(), np.int32) for i in order.tolist()] for c in ("pivots", "around"))
-        has = _early(name, marks, around)
+        table = table.take(pa.array(order))
+        nodes, copies, blocks = (table.column(c).to_numpy() for c in ("node", "copies", "own"))
+        unit = _unpacked(table.column("vector").to_pylist(), size)
+        near, around = ([np.frombuffer(m, np.int32) for m in table.column(c).to_pylist()] for c in ("near", "around"))
         counts, connected, links = np.zeros(len(nodes), np.int64), Sets(len(nodes)), []
-        for a in range(0, len(nodes), 500):
-            rows = slice(a, a + 500)
-            close = unit[rows] @ unit[a:].T >= threshold
-            close &= np.arange(a, len(nodes))[None, :] > np.arange(a, min(a + 500, len(nodes)))[:, None]
-            if one != two:
-                close &= blocks[rows][:, None] != blocks[a:][None, :]
-            first = close & (has[rows] @ has[a:].T == 0)
-            counts[rows] += first @ copies[a:]
-            counts[a:] += copies[rows] @ first
-            for i, j in zip(*(x.tolist() for x in np.nonzero(close))):
-                if connected.join(a + i, a + j):
-                    links.append((a + i, a + j))
+        left, right = np.flatnonzero(blocks == first), np.flatnonzero(blocks == second)
+        if len(left) and len(right):
+            both = [[[m[i] for i in side] for side in (left, right)] for m in (near, around)]
+            needed = min(shared, len(near[0]))
+            candidate = _merge(dense, pivot, *both, needed)
+            if first == second:
+                candidate = np.triu(candidate, 1)
+            x, y = _close(unit[left], unit[right], candidate, threshold)
+            x, y = left[x], right[y]
+            np.add.at(counts, x, copies[y])
+            np.add.at(counts, y, copies[x])
+            links = [(i, j) for i, j in zip(x.tolist(), y.tolist()) if connected.join(i, j)]
         linked = np.flatnonzero(counts)
         x, y = (np.array(v, dtype=np.int64) for v in zip(*links)) if links else (np.empty(0, np.int64),) * 2
         none = np.full(len(links), -1)
@@ -197,17 +274,16 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, nearest: int = NEARES
         points.setdefault(len(r.vector), []).append(r.vector)
     for r in classes.groupBy(F.size("vector")).agg(F.first("vector").alias("vector")).collect():
         points.setdefault(len(r.vector), [r.vector])  # lengths that the sample has not met
-    pivots = spark.sparkContext.broadcast({d: _thinned(np.array(v, dtype=np.float64)) for d, v in points.items()})
-    keyed = classes.select("node", "vector").mapInArrow(
-        _keys(pivots, nearest, shared, threshold), "node bigint, list string, vector binary, pivots binary, around binary"
-    )
-    keyed = staged(keyed.join(classes.select("node", "copies"), "node"))
-    lists = keyed.groupBy("list").agg(F.count("*").alias("n")).filter("n > 1")
-    lists = lists.select("list", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    met = keyed.join(lists, "list").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pivots = spark.sparkContext.broadcast({d: _pivots(np.array(v, dtype=np.float64), threshold) for d, v in points.items()})
+    listed = "size int, dense boolean, pivot int, node bigint, copies bigint, vector binary, near binary, around binary"
+    keyed = staged(classes.select("node", "copies", "vector").mapInArrow(_describe(pivots, nearest, shared), listed))
+    key = ["size", "dense", "pivot"]
+    lists = keyed.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
+    lists = lists.select(*key, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    met = keyed.join(lists, key).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = met.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("list", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two"), "node", "own", "copies", "vector", "pivots", "around")
-    found = staged(met.groupBy("list", "one", "two").applyInArrow(_verify(threshold), "a bigint, b bigint, n_links bigint"))
+    met = met.select(*key, F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two"), "node", "own", "copies", "vector", "near", "around")
+    found = staged(met.groupBy(*key, "one", "two").applyInArrow(_verify(threshold, shared), "a bigint, b bigint, n_links bigint"))
     counts = found.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n_links").alias("others"))
     roots = components(found.filter("b IS NOT NULL").select("a", "b"))
     placed = classes.join(counts, "node", "left").join(roots, "node", "left")

@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from credsieve.llm import embedding_dedup as ed
@@ -89,3 +91,51 @@ def test_recall_in_a_dense_group(spark, rows_in_all, cosine):
 
 def test_no_rows(spark):
     assert ed.link(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("size, shift", [(64, 0.63), (256, 0.0), (256, 0.63)])
+def test_recall_with_a_shared_direction_and_many_numbers(spark, tmp_path, size, shift):
+    """20,000 vectors of a given mean cosine with groups around the threshold: nine links in ten are found, and far
+    fewer pairs are candidates than there are."""
+    rnd, n = np.random.RandomState(size), 20_000
+    rest = rnd.randn(n, size)
+    for a in range(0, n // 10, 4):
+        rest[a : a + 4] = rnd.randn(size) + rnd.uniform(0.1, 0.38 if not shift else 0.62) * rnd.randn(4, size)
+    mean = rnd.randn(size)
+    vectors = np.sqrt((1 - shift) / size) * rest + np.sqrt(shift) * mean / np.linalg.norm(mean)
+    vectors = vectors[rnd.permutation(n)].astype(np.float32)
+    flat = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * size, vectors.ravel())
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": flat}), tmp_path / "v.parquet")
+    unit = vectors.astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    expected = np.concatenate([(unit[a : a + 2000] @ unit.T >= 0.9).sum(axis=1) for a in range(0, n, 2000)]) - 1
+    got = np.zeros(n, int)
+    for r in ed.link(spark.read.parquet(str(tmp_path / "v.parquet"))).collect():
+        got[r.vec_id] = r.n_links
+    assert (got <= expected).all() and expected.sum() > 2000
+    assert got.sum() >= 0.95 * expected.sum()
+    known = ed._pivots(unit[:512], 0.9)
+    assert len(known.points) > 400 and not len(known.groups)
+    near = np.argsort(-(ed._centred(unit[:1000], known.mean) @ known.centred.T), axis=1, kind="stable")[:, : ed.NEAREST]
+    likely = sum((np.isin(near[i + 1 :], near[i]).sum(axis=1) >= ed.SHARED).sum() for i in range(1000))
+    assert likely < 0.02 * 1000 * 999 / 2
+
+
+def test_merged_lists_count_shared_pivots():
+    """Against plain sets: shared pivots of similar rank, in the first list of a pair only."""
+    rnd = np.random.RandomState(5)
+    near = [rnd.permutation(20)[: ed.NEAREST].astype(np.int32) for _ in range(60)]
+    around = [np.flatnonzero(rnd.rand(3) < 0.1).astype(np.int32) for _ in range(60)]
+    times = np.zeros((60, 60), int)
+    for pivot in range(20):
+        own = [i for i in range(60) if pivot in np.sort(near[i])[: ed.NEAREST - 6 + 1]]
+        if not own:
+            continue
+        marks = [near[i] for i in own]
+        groups = [around[i] for i in own]
+        times[np.ix_(own, own)] += ed._merge(False, pivot, (marks, marks), (groups, groups), 6)
+    for i in range(60):
+        for j in range(60):
+            ranks = [abs(near[i].tolist().index(p) - near[j].tolist().index(p)) for p in set(near[i]) & set(near[j])]
+            meets = sum(r <= ed.RANKS for r in ranks) >= 6 and not set(around[i]) & set(around[j])
+            assert times[i, j] == meets
