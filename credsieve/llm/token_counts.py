@@ -19,6 +19,7 @@ import itertools
 import json
 import re
 import struct
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,10 @@ from credsieve.llm.common import annotated
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
-#: Pieces a worker remembers (some 200 bytes each) before it starts over.
-REMEMBERED = 600_000
+#: A worker starts over when the blobs it remembers hold so many bytes, or its pairs of tokens are so many.
+#: Longer blobs (encoded data without spaces) are counted each time.
+REMEMBERED_BYTES, REMEMBERED_PAIRS = 160 << 20, 600_000
+REMEMBERED_CHARS = 64
 
 # The byte-level pattern of the vocabulary: a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -87,6 +90,7 @@ class PrefixCounts(dict):
                 node = node.setdefault(letter, {})
             node[""] = number
         self.pairs: dict[int, bool] = {}
+        self.held = 0
 
     def follows(self, first: int, second: int, limit: int = 1 << 60) -> bool:
         """Whether two tokens side by side stay so: no merge over their edge comes before the
@@ -135,7 +139,14 @@ class PrefixCounts(dict):
             found = self._piece(blob)
         else:
             found = b"".join([self._piece(p) for p in _PIECES.findall(blob)])
-        self[blob] = found
+        if len(self.pairs) > REMEMBERED_PAIRS:
+            self.pairs.clear()
+        if len(blob) <= REMEMBERED_CHARS:
+            if self.held > REMEMBERED_BYTES:
+                self.clear()
+                self.held = 0
+            self[blob] = found
+            self.held += sys.getsizeof(blob) + sys.getsizeof(found) + 100  # and its place among the others
         return found
 
     def _piece(self, piece: str) -> bytes:
@@ -196,15 +207,10 @@ _LOADED: dict[str, PrefixCounts] = {}
 
 
 def loaded(path: str) -> PrefixCounts:
-    """A worker reads a vocabulary once; it forgets its pieces when they become too many."""
+    """A worker reads a vocabulary once."""
     if path not in _LOADED:
         _LOADED[path] = PrefixCounts(path)
-    counter = _LOADED[path]
-    if len(counter) > REMEMBERED:
-        counter.clear()
-    if len(counter.pairs) > REMEMBERED:
-        counter.pairs.clear()
-    return counter
+    return _LOADED[path]
 
 
 def fitting(counts: np.ndarray, budget: int) -> int:

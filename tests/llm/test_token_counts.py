@@ -36,6 +36,18 @@ def test_long_runs(library, counter):
         assert counter.of_text(text)[-1] == library(text)
 
 
+def test_what_is_remembered_is_bounded(monkeypatch, library):
+    """Long blobs are not kept, and short ones are forgotten when they hold too many bytes, within one text too."""
+    monkeypatch.setattr(tc, "REMEMBERED_BYTES", 20_000)
+    monkeypatch.setattr(tc, "REMEMBERED_PAIRS", 50)
+    counter, rnd = tc.PrefixCounts(PATH), random.Random(9)
+    words = ["".join(rnd.choice("abcdeé漢") for _ in range(rnd.choice([3, 9, 400]))) for _ in range(1500)]
+    text = "  ".join(words)
+    assert counter.of_text(text)[-1] == library(text)
+    assert 0 < len(counter) and max(map(len, counter)) <= tc.REMEMBERED_CHARS
+    assert sum(len(b.encode()) + len(c) for b, c in counter.items()) <= 20_000
+
+
 def test_tables(spark, messy, clashing, no_docs, messy_rows, library):
     rows = tc.count_tokens(clashing, PATH, limit=20, prefixes=True).select("row.*", "n_bytes", "n_tokens", "fit_chars", "prefix_tokens").collect()
     assert len(rows) == len(messy_rows)
