@@ -8,9 +8,9 @@ from datetime import datetime, timezone
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.common import _py2java
 from pyspark.ml.feature import (
-    IDF,
     CountVectorizer,
     CountVectorizerModel,
     ElementwiseProduct,
@@ -25,12 +25,14 @@ from pyspark.sql import functions as F
 
 from credsieve import settings
 from credsieve.functions import text as tx
+from credsieve.operators import logistic
 
 # An exact vocabulary keeps every term: as many as Spark ML can number.
 ALL_TERMS = (1 << 31) - 1
 HASHED_FEATURES = 1 << 22
+VOCABULARY_ROWS = 1024
 MAX_ITERATIONS = 1000
-# The optimiser ends when a step improves the objective by less than this part of it.
+# The optimiser ends when the objective can be above its optimum by no more than this part of it.
 TOLERANCE = 1e-6
 
 _INPUT = "model_text"
@@ -106,9 +108,13 @@ def split(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _vectorizer(tokens: DataFrame, vocabulary: str):
     if vocabulary == "exact":
+        # Spark counts terms text by text; only the distinct ones are left to it, some thousand in a row.
+        terms = tokens.select(F.explode("tokens").alias("term")).distinct()
+        bucket = F.pmod(F.xxhash64("term"), F.lit(VOCABULARY_ROWS))
+        listed = terms.groupBy(bucket).agg(F.collect_list("term").alias("tokens"))
         return CountVectorizer(
             inputCol="tokens", outputCol="counts", vocabSize=ALL_TERMS, minDF=1.0
-        ).fit(tokens)
+        ).fit(listed)
     if vocabulary != "hashed":
         raise ValueError("vocabulary is 'exact' or 'hashed'")
     return HashingTF(inputCol="tokens", outputCol="counts", numFeatures=HASHED_FEATURES)
@@ -126,7 +132,8 @@ def fit(
     ``vocabulary`` is ``exact`` (every term, held on the driver as the model is) or ``hashed``, for
     the caller to choose. ``max_training_rows`` bounds the labelled rows, off by default: the rows
     of the smallest hash are kept. The weights are ``ln((1+n)/(1+df)) + 1``
-    with unit length, and the regularisation is that of the sum-of-losses form with C = 1.
+    with unit length, and the regularisation is that of the sum-of-losses form with C = 1. The optimum is
+    found by ``logistic.fit``; the model is Spark ML's.
     """
     tokenizer = SQLTransformer(
         statement=f"SELECT *, {tx.char_ngrams_sql(_INPUT)} AS tokens FROM __THIS__"
@@ -134,27 +141,36 @@ def fit(
     samples = training.select(F.col("text").alias(_INPUT), F.col("label").cast("double"))
     if max_training_rows is not None:
         samples = samples.orderBy(F.md5(_INPUT), _INPUT, "label").limit(max_training_rows)
-    # Tokenised once: vocabulary and counts read the stored tokens.
-    tokens = tokenizer.transform(samples).select("label", "tokens").persist(StorageLevel.DISK_ONLY)
+    # The texts are stored, not their n-grams, which take some fifty times as much and are as fast to make again.
+    cores = training.sparkSession.sparkContext.defaultParallelism
+    samples = samples.repartition(4 * cores).persist(StorageLevel.DISK_ONLY)
+    tokens = tokenizer.transform(samples).select("label", "tokens")
     vectorizer = _vectorizer(tokens, vocabulary)
-    counts = vectorizer.transform(tokens).select("label", "counts").persist()
-    idf = IDF(inputCol="counts", outputCol="weighted").fit(counts)
-    weights = Vectors.dense(idf.idf.toArray() + 1.0)
-    scaler = ElementwiseProduct(scalingVec=weights, inputCol="counts", outputCol="weighted")
+    exact = isinstance(vectorizer, CountVectorizerModel)
+    size = len(vectorizer.vocabulary) if exact else vectorizer.getNumFeatures()
+    counts = vectorizer.transform(tokens).select("label", "counts")
+    fitted = logistic.fit(counts, size, max_iterations, tolerance)
+    samples.unpersist()
+    scaler = ElementwiseProduct(
+        scalingVec=Vectors.dense(fitted.weights), inputCol="counts", outputCol="weighted"
+    )
     normalizer = Normalizer(p=2.0, inputCol="weighted", outputCol="features")
-    features = normalizer.transform(scaler.transform(counts)).select("label", "features")
     regression = LogisticRegression(
         maxIter=max_iterations,
         tol=tolerance,
-        regParam=1.0 / idf.numDocs,
+        regParam=1.0 / fitted.rows,
         elasticNetParam=0.0,
         standardization=False,
-    ).fit(features)
-    # The summary of the training holds the session, which is not to travel with the model to the tasks.
-    regression._java_obj.setSummary(getattr(training.sparkSession._jvm, "scala.Option").empty())
-    counts.unpersist()
-    tokens.unpersist()
-    return PipelineModel([tokenizer, vectorizer, scaler, normalizer, regression])
+    )
+    return PipelineModel([tokenizer, vectorizer, scaler, normalizer, _regression_model(regression, fitted)])
+
+
+def _regression_model(regression: LogisticRegression, fitted: logistic.Fitted) -> LogisticRegressionModel:
+    """Spark ML's model of given coefficients, with the settings of the estimator."""
+    context = SparkSession.active().sparkContext
+    coefficients = _py2java(context, Vectors.dense(fitted.coefficients))
+    kind = context._jvm.org.apache.spark.ml.classification.LogisticRegressionModel
+    return regression._copyValues(LogisticRegressionModel(kind(regression.uid, coefficients, fitted.intercept)))
 
 
 # Names the version that counts, in the folder of a model's versions.
