@@ -683,12 +683,12 @@ def archive_ranges(spark, sf_dir):
 
 
 def _arriving(spark, sf_dir):
-    """The documents table as a stream of files."""
+    """The documents table as a stream of files; the table is one file or a folder of them."""
     schema = fx.table(spark, sf_dir, "documents").schema
+    # As a pattern: Spark takes a plain path of a stream for a folder, and a file is none.
     arriving = (
         spark.readStream.schema(schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(sf_dir)
+        .parquet(f"{sf_dir}/documents.parque[t]")
         .select(
             F.col("source").alias("project"),
             F.concat(F.lit("d"), "doc_id", F.lit(".txt")).alias("path"),
