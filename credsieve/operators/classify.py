@@ -12,7 +12,6 @@ from pyspark.ml.classification import LogisticRegression, LogisticRegressionMode
 from pyspark.ml.common import _py2java
 from pyspark.ml.feature import (
     CountVectorizer,
-    CountVectorizerModel,
     ElementwiseProduct,
     HashingTF,
     Normalizer,
@@ -146,10 +145,8 @@ def fit(
     samples = samples.repartition(4 * cores).persist(StorageLevel.DISK_ONLY)
     tokens = tokenizer.transform(samples).select("label", "tokens")
     vectorizer = _vectorizer(tokens, vocabulary)
-    exact = isinstance(vectorizer, CountVectorizerModel)
-    size = len(vectorizer.vocabulary) if exact else vectorizer.getNumFeatures()
     counts = vectorizer.transform(tokens).select("label", "counts")
-    fitted = logistic.fit(counts, size, max_iterations, tolerance)
+    fitted = logistic.fit(counts, max_iterations, tolerance)
     samples.unpersist()
     scaler = ElementwiseProduct(
         scalingVec=Vectors.dense(fitted.weights), inputCol="counts", outputCol="weighted"
@@ -440,7 +437,6 @@ def model_info(
 ) -> DataFrame:
     """Rows (name, value) on the samples, the model and, where saved, its size."""
     vectorizer, regression = model.stages[1], model.stages[-1]
-    exact = isinstance(vectorizer, CountVectorizerModel)
     facts = {
         "model_type": type(regression).__name__,
         "max_iterations": regression.getMaxIter(),
@@ -448,7 +444,7 @@ def model_info(
         "vectorizer_type": type(vectorizer).__name__,
         "analyzer": "char_wb",
         "ngram_range": "3-5",
-        "vocabulary_size": len(vectorizer.vocabulary) if exact else vectorizer.getNumFeatures(),
+        "vocabulary_size": regression.numFeatures,
     }
     counts = samples.agg(
         F.count_if(F.col("label") == 1).alias("secrets_dataset_size"),

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of a block, coefficients of a slice, and the steps the optimiser remembers.
-BLOCK_ENTRIES, SLICE, MEMORY = 1 << 20, 1 << 15, 10
+BLOCK_ENTRIES, SLICE, MEMORY = 1 << 20, 1 << 15, 7
 
 
 class Fitted(NamedTuple):
@@ -159,8 +159,8 @@ def _step(gradient: np.ndarray, steps: list[np.ndarray], changes: list[np.ndarra
     return -q
 
 
-def fit(counted: DataFrame, size: int, max_iterations: int, tolerance: float) -> Fitted:
-    """Fits rows (label, counts), counts a sparse vector of ``size`` terms.
+def fit(counted: DataFrame, max_iterations: int, tolerance: float) -> Fitted:
+    """Fits rows (label, counts), counts a sparse vector over all terms.
 
     Terms weigh ``ln((1+n)/(1+texts)) + 1``, rows have unit length, and the penalty is 1 / n. Training ends after
     ``max_iterations`` steps, or when the objective can lie above its optimum by no more than ``tolerance`` of it:
@@ -168,12 +168,14 @@ def fit(counted: DataFrame, size: int, max_iterations: int, tolerance: float) ->
     coefficients of 0 and an infinite intercept, as Spark ML does.
     """
     vectors = counted.select(F.col("label").cast("double"), F.unwrap_udt("counts").alias("v"))
+    some = vectors.select("v.size").first()
+    if some is None:
+        raise ValueError("no samples to train on")
+    size = some[0]
     plain = vectors.select("label", "v.indices", "v.values")
     first = plain.mapInArrow(_packed, _BLOCK_SQL).rdd.map(tuple).persist(StorageLevel.DISK_ONLY)
     texts, numbers = _texts_by_term(first, size)
-    rows, ones = int(numbers.get("rows", 0)), numbers.get("ones", 0.0)
-    if not rows:
-        raise ValueError("no samples to train on")
+    rows, ones = int(numbers["rows"]), numbers["ones"]
     weights = np.log((1 + rows) / (1 + texts)) + 1
     if ones in (0, rows):
         first.unpersist()
