@@ -4,7 +4,7 @@ import pytest
 
 from credsieve.plans import catalog
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
