@@ -7,6 +7,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,9 @@ EVIDENCE_CAP = 8
 LISTED_CAP = 7
 RESULTS_CAP = 5
 
+# Archives that a task holds before it hands them on.
+ARCHIVE_BYTES = 4 << 20
+
 BROKEN_PROJECT = "src3"
 SINGLE_PROJECT = "src1"
 
@@ -560,23 +564,37 @@ def csv_evaluation(spark, sf_dir):
 # --- archives and streams --------------------------------------------------------------------
 
 
-def _zip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """An archive per file, row by row, handed on in batches of bounded size."""
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        projects, contents = zip(*rows)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(projects, pa.string()), pa.array(contents, pa.binary())], names=["project", "content"]
+        )
+
+    rows, held = [], 0
     for batch in batches:
-        rows = []
-        for project, path, content in zip(batch["project"], batch["path"], batch["content"]):
+        for values in zip(batch.column("project"), batch.column("path"), batch.column("content")):
+            project, path, content = (value.as_py() for value in values)
             buffer = io.BytesIO()
             with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
                 archive.writestr(path, content)
                 archive.writestr("../evil/" + path, content)
                 archive.writestr("/abs/" + path, content)
             rows.append((project, buffer.getvalue()))
-        yield pd.DataFrame(rows, columns=["project", "content"])
+            held += len(rows[-1][1])
+            if held >= ARCHIVE_BYTES:
+                yield made(rows)
+                rows, held = [], 0
+    if rows:
+        yield made(rows)
 
 
 def _archives(spark, sf_dir):
     """One archive per file, each with two members of unsafe paths besides."""
     files = fx.files(spark, sf_dir).select("project", "path", "content")
-    return files.mapInPandas(_zip, "project string, content binary")
+    return files.mapInArrow(_zip, "project string, content binary")
 
 
 def archive_members(spark, sf_dir):
@@ -662,21 +680,41 @@ def stream_tree_files(spark, sf_dir):
     return read_findings(spark, f"{folder}/findings")
 
 
-def archive_ranges(spark, sf_dir):
-    """Members of archives on storage, read by range: up to eight archives of a source's documents."""
-    root = shared_dir(spark)
+def _write_archives(root: str):
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Members come by archive and path; each is written as it comes, and one archive is open at a time."""
+        name, target, archive, written = None, None, None, 0
+
+        def close() -> None:
+            if archive is not None:
+                archive.writestr("../outside", "no")
+                archive.close()
+                target.close()
 
-    def write(key, rows: pd.DataFrame) -> pd.DataFrame:
-        system, place, _ = tree.storage(f"{root}/all/{key[0]}-{key[1]}.zip")
-        system.create_dir(place.rpartition("/")[0])
-        with system.open_output_stream(place) as target, zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
-            for path, content in sorted(zip(rows["path"], rows["content"])):
+        for batch in batches:
+            for values in zip(*[batch.column(c) for c in ("project", "part", "path", "content")]):
+                project, part, path, content = (value.as_py() for value in values)
+                if (project, part) != name:
+                    close()
+                    name = project, part
+                    system, place, _ = tree.storage(f"{root}/all/{project}-{part}.zip")
+                    system.create_dir(place.rpartition("/")[0])
+                    target = system.open_output_stream(place)
+                    archive = zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED)
                 archive.writestr(path, content)
-            archive.writestr("../outside", "no")
-        return pd.DataFrame({"written": [len(rows)]})
+                written += 1
+        close()
+        yield pa.RecordBatch.from_pydict({"written": [written]})
+
+    return write
+
 
+def archive_ranges(spark, sf_dir):
+    """Members of archives on storage, read by range: up to eight archives of a source's documents."""
+    root = shared_dir(spark)
     rows = _tree_rows(spark, sf_dir).withColumn("part", F.length("path") % 8)
-    rows.groupBy("project", "part").applyInPandas(write, "written bigint").agg(F.sum("written")).collect()
+    placed = rows.repartition("project", "part").sortWithinPartitions("project", "part", "path", "content")
+    placed.mapInArrow(_write_archives(root), "written bigint").agg(F.sum("written")).collect()
     return expand_archives(list_archives(spark, root)).select(
         "project", "path", F.octet_length("raw").alias("bytes"), "problem"
     )

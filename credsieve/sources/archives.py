@@ -43,38 +43,48 @@ _BROKEN = (
 _UNSAFE = re.compile(r"^[/\\]|^[A-Za-z]:|\.\.")
 
 
-def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Members of each archive, handed on in batches of bounded size.
+def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of archives, handed on in batches of bounded size.
 
     Unsafe paths are told by the name, before anything is decompressed. A member that cannot be
-    read leaves the others be.
+    read leaves the others be. One archive and one batch of members are in memory besides the rows that came.
     """
+    rows, held = [], 0
     for batch in batches:
-        for project, content in zip(batch["project"], batch["content"]):
-            rows, held = [], 0
-            try:
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for member in archive.infolist():
-                        path = member.filename
-                        if member.is_dir():
-                            continue
-                        if _UNSAFE.search(path):
-                            rows.append((project, path, None, "unsafe path"))
-                            continue
-                        try:
-                            raw = archive.read(member)
-                        except _BROKEN as error:
-                            rows.append((project, path, None, f"unreadable member: {error}"))
-                            continue
-                        rows.append((project, path, raw, None))
-                        held += len(raw)
-                        if held >= BATCH_BYTES:
-                            yield pd.DataFrame(rows, columns=_COLUMNS)
-                            rows, held = [], 0
-            except _BROKEN as error:
-                rows.append((project, None, None, f"unreadable archive: {error}"))
-            if rows:
-                yield pd.DataFrame(rows, columns=_COLUMNS)
+        for project, content in zip(batch.column("project"), batch.column("content")):
+            for row in _members_of(project.as_py(), content.as_py()):
+                rows.append(row)
+                held += len(row[2] or b"")
+                if held >= BATCH_BYTES or len(rows) == _INDEX_ROWS:
+                    yield _batch_of(rows)
+                    rows, held = [], 0
+    if rows:
+        yield _batch_of(rows)
+
+
+def _batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.binary(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=_COLUMNS)
+
+
+def _members_of(project: str, content: bytes) -> Iterator[tuple]:
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            for member in archive.infolist():
+                path = member.filename
+                if member.is_dir():
+                    continue
+                if _UNSAFE.search(path):
+                    yield project, path, None, "unsafe path"
+                    continue
+                try:
+                    raw = archive.read(member)
+                except _BROKEN as error:
+                    yield project, path, None, f"unreadable member: {error}"
+                    continue
+                yield project, path, raw, None
+    except _BROKEN as error:
+        yield project, None, None, f"unreadable archive: {error}"
 
 
 def list_archives(spark: SparkSession, root: str) -> DataFrame:
@@ -231,7 +241,7 @@ def expand_archives(archives: DataFrame) -> DataFrame:
     """
     if "location" in archives.columns:
         return read_members(archive_index(archives))
-    return archives.select("project", "content").mapInPandas(_expand, _MEMBERS)
+    return archives.select("project", "content").mapInArrow(_expand, _MEMBERS)
 
 
 def member_files(members: DataFrame) -> DataFrame:
