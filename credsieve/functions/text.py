@@ -134,9 +134,14 @@ def shannon_entropy(text: Column) -> Column:
     )
 
 
+def words_sql(column: str) -> str:
+    """SQL for the words of a column in lower case, between single spaces."""
+    return rf"trim(regexp_replace(lower({column}), r'(?U)[{SPACE_CLASS}]+', ' '))"
+
+
 def char_ngrams_sql(column: str, smallest: int = 3, largest: int = 5) -> str:
     """SQL for the character n-grams of a column, see ``char_ngrams``."""
-    words = rf"trim(regexp_replace(lower({column}), r'(?U)[{SPACE_CLASS}]+', ' '))"
+    words = words_sql(column)
     grams = ", ".join(
         rf"regexp_extract_all(concat(' ', {words}, ' '), "
         rf"r'(?s)(?=([^\x{{dc00}}-\x{{dfff}}][^ ]{{{n - 2}}}.))', 1)"

@@ -5,13 +5,16 @@ from __future__ import annotations
 import time
 import uuid
 from datetime import datetime, timezone
+from weakref import WeakKeyDictionary
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.common import _py2java
 from pyspark.ml.feature import (
-    CountVectorizer,
+    CountVectorizerModel,
     ElementwiseProduct,
     HashingTF,
     Normalizer,
@@ -24,17 +27,17 @@ from pyspark.sql import functions as F
 
 from credsieve import settings
 from credsieve.functions import text as tx
-from credsieve.operators import logistic
+from credsieve.operators import logistic, terms
 
 # An exact vocabulary keeps every term: as many as Spark ML can number.
 ALL_TERMS = (1 << 31) - 1
 HASHED_FEATURES = 1 << 22
-VOCABULARY_ROWS = 1024
 MAX_ITERATIONS = 1000
 # The optimiser ends when the objective can be above its optimum by no more than this part of it.
 TOLERANCE = 1e-6
 
 _INPUT = "model_text"
+_TOKENS = f"SELECT *, {tx.char_ngrams_sql(_INPUT)} AS tokens FROM __THIS__"
 _STAGE_COLUMNS = (_INPUT, "tokens", "counts", "weighted", "features", "rawPrediction",
                   "probability", "prediction")
 
@@ -105,18 +108,38 @@ def split(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
     return samples.filter(training), samples.filter(~training)
 
 
-def _vectorizer(tokens: DataFrame, vocabulary: str):
-    if vocabulary == "exact":
-        # Spark counts terms text by text; only the distinct ones are left to it, some thousand in a row.
-        terms = tokens.select(F.explode("tokens").alias("term")).distinct()
-        bucket = F.pmod(F.xxhash64("term"), F.lit(VOCABULARY_ROWS))
-        listed = terms.groupBy(bucket).agg(F.collect_list("term").alias("tokens"))
-        return CountVectorizer(
-            inputCol="tokens", outputCol="counts", vocabSize=ALL_TERMS, minDF=1.0
-        ).fit(listed)
-    if vocabulary != "hashed":
-        raise ValueError("vocabulary is 'exact' or 'hashed'")
-    return HashingTF(inputCol="tokens", outputCol="counts", numFeatures=HASHED_FEATURES)
+def _vectorizer(terms_of: DataFrame) -> tuple[CountVectorizerModel, pa.Array]:
+    """Spark ML's model of the distinct terms of rows (tokens), in their order, and the terms.
+
+    The estimator would count them text by text and hand them to Python through one call, in copies that take more
+    memory than the model; here they go from the executors to the model, and as Arrow data to Python.
+    """
+    spark = terms_of.sparkSession
+    listed = terms_of.select(F.explode("tokens").alias("term")).distinct().orderBy("term").persist(StorageLevel.DISK_ONLY)
+    found = listed.toArrow().column(0).combine_chunks()
+    if not len(found):
+        raise ValueError("no samples to train on")
+    strings = getattr(listed._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING()).collect()
+    vectorizer = CountVectorizerModel._create_from_java_class("org.apache.spark.ml.feature.CountVectorizerModel", strings)
+    listed.unpersist()
+    return vectorizer._set(inputCol="tokens", outputCol="counts", vocabSize=ALL_TERMS, minDF=1.0), found
+
+
+# What scoring sends to the executors, by model; a broadcast ends with its context.
+_SENT: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def _sent(key, make):
+    context = SparkSession.active().sparkContext
+    application, found = _SENT.get(key, (None, None))
+    if application != context.applicationId:
+        _SENT[key] = application, found = context.applicationId, context.broadcast(make())
+    return found
+
+
+def _numbers(vectorizer: CountVectorizerModel, listed: pa.Array | None = None):
+    """The numbers of a model's terms, for the executors."""
+    return _sent(vectorizer, lambda: terms.Vocabulary(pa.array(vectorizer.vocabulary) if listed is None else listed))
 
 
 def fit(
@@ -134,19 +157,28 @@ def fit(
     with unit length, and the regularisation is that of the sum-of-losses form with C = 1. The optimum is
     found by ``logistic.fit``; the model is Spark ML's.
     """
-    tokenizer = SQLTransformer(
-        statement=f"SELECT *, {tx.char_ngrams_sql(_INPUT)} AS tokens FROM __THIS__"
-    )
+    if vocabulary not in ("exact", "hashed"):
+        raise ValueError("vocabulary is 'exact' or 'hashed'")
+    tokenizer = SQLTransformer(statement=_TOKENS)
     samples = training.select(F.col("text").alias(_INPUT), F.col("label").cast("double"))
     if max_training_rows is not None:
         samples = samples.orderBy(F.md5(_INPUT), _INPUT, "label").limit(max_training_rows)
-    # The texts are stored, not their n-grams, which take some fifty times as much and are as fast to make again.
+    # The words are stored, not their n-grams, which take some fifty times as much and are as fast to make again.
+    words = F.expr(tx.words_sql(f"coalesce({_INPUT}, '')"))
     cores = training.sparkSession.sparkContext.defaultParallelism
-    samples = samples.repartition(4 * cores).persist(StorageLevel.DISK_ONLY)
-    tokens = tokenizer.transform(samples).select("label", "tokens")
-    vectorizer = _vectorizer(tokens, vocabulary)
-    counts = vectorizer.transform(tokens).select("label", "counts")
-    fitted = logistic.fit(counts, max_iterations, tolerance)
+    samples = samples.select("label", words.alias("text")).repartition(4 * cores).persist(StorageLevel.DISK_ONLY)
+    if vocabulary == "exact":
+        # A text's n-grams are those of its words, of which most are in many texts.
+        texts = samples.coalesce(cores)
+        each = texts.select("text").mapInArrow(terms.distinct_words, "word string").select(F.col("word").alias(_INPUT))
+        vectorizer, listed = _vectorizer(tokenizer.transform(each.distinct()))
+        numbers = _numbers(vectorizer, listed)
+        fitted = logistic.fit(logistic.text_blocks(texts, numbers), numbers.value.size, max_iterations, tolerance)
+    else:
+        tokens = tokenizer.transform(samples.withColumnRenamed("text", _INPUT)).select("label", "tokens")
+        vectorizer = HashingTF(inputCol="tokens", outputCol="counts", numFeatures=HASHED_FEATURES)
+        counts = vectorizer.transform(tokens).select("label", "counts")
+        fitted = logistic.fit(*logistic.vector_blocks(counts), max_iterations, tolerance)
     samples.unpersist()
     scaler = ElementwiseProduct(
         scalingVec=Vectors.dense(fitted.weights), inputCol="counts", outputCol="weighted"
@@ -246,12 +278,61 @@ def retrain(path: str, samples: DataFrame, **options) -> tuple[PipelineModel, Da
 def score(rows: DataFrame, column: str, model: PipelineModel, name: str) -> DataFrame:
     """Add ``name``, the probability that the text in ``column`` is a secret.
 
-    Row by row inside the stage that made the rows: nothing is shuffled.
+    Row by row inside the stage that made the rows: nothing is shuffled. A pipeline as ``fit`` makes it with the exact
+    vocabulary is applied to batches, which have each word's terms looked up once; any other by its own stages.
     """
+    if not _by_words(model):
+        return _score_by_stages(rows, column, model, name)
+    numbers = _numbers(model.stages[1])
+    weights = _sent(model, lambda: _weights(model))
+
+    def scores(texts: pa.Array) -> pa.Array:
+        return pa.array(_probabilities(texts, numbers.value, *weights.value), pa.float64())
+
+    probability, words = F.arrow_udf(scores, "double"), F.expr(tx.words_sql(_INPUT))
+    scored = rows.withColumn(_INPUT, F.coalesce(F.col(column), F.lit(""))).withColumn(_INPUT, words)
+    return scored.withColumn(name, probability(_INPUT)).drop(*_STAGE_COLUMNS)
+
+
+def _score_by_stages(rows: DataFrame, column: str, model: PipelineModel, name: str) -> DataFrame:
+    """The same by the stages of any pipeline, without Python."""
     scored = model.transform(rows.withColumn(_INPUT, F.coalesce(F.col(column), F.lit(""))))
     return scored.withColumn(name, vector_to_array("probability")[1]).drop(*_STAGE_COLUMNS)
 
 
+def _by_words(model: PipelineModel) -> bool:
+    """Whether a pipeline is one that ``fit`` makes with the exact vocabulary."""
+    kinds = SQLTransformer, CountVectorizerModel, ElementwiseProduct, Normalizer, LogisticRegressionModel
+    if len(model.stages) != len(kinds) or not all(map(isinstance, model.stages, kinds)):
+        return False
+    tokenizer, vectorizer, _, normalizer, regression = model.stages
+    plain = not vectorizer.getBinary() and vectorizer.getMinTF() == 1.0 and normalizer.getP() == 2.0
+    return plain and regression.numClasses == 2 and tokenizer.getStatement() == _TOKENS
+
+
+def _weights(model: PipelineModel) -> tuple[np.ndarray, np.ndarray, float]:
+    """The weights of the terms, their coefficients and the intercept."""
+    regression = model.stages[-1]
+    return model.stages[2].getScalingVec().toArray(), regression.coefficients.toArray(), regression.intercept
+
+
+def _probabilities(
+    texts: pa.Array, numbers: terms.Vocabulary, weights: np.ndarray, coefficients: np.ndarray, intercept: float
+) -> np.ndarray:
+    """The probabilities of texts, which are words between single spaces."""
+    found = []
+    for part in terms.pieces(texts):
+        rows, words = terms.words_of(part)
+        margins = np.zeros(len(part))
+        for place, some in terms.merged(rows, numbers.of_words(words)):
+            weighted = some._replace(counts=some.counts * weights[some.numbers])
+            lengths = np.sqrt(weighted._replace(counts=weighted.counts**2).sums())
+            margins[place] = weighted.times(coefficients) / np.where(lengths > 0, lengths, 1.0)
+        found.append(margins + intercept)
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-np.concatenate(found or [np.empty(0)])))
+
+
 def blend(p_secret: Column, p_context: Column) -> Column:
     """Weighted mean of both probabilities, or the first alone without a context."""
     both = (p_secret * settings.SECRET_WEIGHT + p_context * settings.CONTEXT_WEIGHT) / (
@@ -301,8 +382,10 @@ def rate(
 
 
 def score_findings(findings: DataFrame, model: PipelineModel) -> DataFrame:
-    """Scored findings: the secret and, unless blank, its context are both classified."""
-    scored = score(score(findings, "secret", model, "p_secret"), "context", model, "p_context")
+    """Scored findings: the secret and, unless blank, its context are both classified. Both are short and found in the
+    JVM, and stay there."""
+    scored = _score_by_stages(findings, "secret", model, "p_secret")
+    scored = _score_by_stages(scored, "context", model, "p_context")
     blank = F.col("context").isNull() | tx.is_blank(F.col("context"))
     return rate(scored.withColumn("p_context", F.when(~blank, F.col("p_context"))))
 

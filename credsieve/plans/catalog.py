@@ -381,10 +381,12 @@ _MODELS: dict[tuple, object] = {}
 
 
 def _model(spark, sf_dir):
-    """The model of the training split, fitted once per session, and the test split."""
+    """The model of the training split, fitted once for the queries that follow each other on a folder, and the test
+    split. The driver holds one model at a time."""
     training, test = classify.split(fx.samples(spark, sf_dir))
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MODELS:
+        _MODELS.clear()
         _MODELS[key] = classify.fit(training)
     return _MODELS[key], test
 
