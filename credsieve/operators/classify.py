@@ -172,8 +172,9 @@ def fit(
         texts = samples.coalesce(cores)
         each = texts.select("text").mapInArrow(terms.distinct_words, "word string").select(F.col("word").alias(_INPUT))
         vectorizer, listed = _vectorizer(tokenizer.transform(each.distinct()))
-        numbers = _numbers(vectorizer, listed)
-        fitted = logistic.fit(logistic.text_blocks(texts, numbers), numbers.value.size, max_iterations, tolerance)
+        size, blocks = len(listed), logistic.text_blocks(texts, _numbers(vectorizer, listed))
+        del listed
+        fitted = logistic.fit(blocks, size, max_iterations, tolerance)
     else:
         tokens = tokenizer.transform(samples.withColumnRenamed("text", _INPUT)).select("label", "tokens")
         vectorizer = HashingTF(inputCol="tokens", outputCol="counts", numFeatures=HASHED_FEATURES)

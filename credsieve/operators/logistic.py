@@ -95,9 +95,11 @@ class _Block(NamedTuple):
         """The sum of the scaled coefficients over the terms of each text of unit length."""
         return self.texts.times(self.words.times(scaled)) / self.lengths
 
-    def back(self, values: np.ndarray, size: int) -> np.ndarray:
-        """The sum of the values of the texts over each term's texts of unit length."""
-        return self.words.back(self.texts.back(values / self.lengths, len(self.words.sizes)), size)
+    def back(self, values: np.ndarray, total: np.ndarray) -> None:
+        """Adds the values of the texts to the terms of each, texts of unit length."""
+        of_words = np.zeros(len(self.words.sizes))
+        self.texts.back(values / self.lengths, of_words)
+        self.words.back(of_words, total)
 
 
 def _of_vectors(block: tuple) -> _Block:
@@ -241,7 +243,7 @@ def _evaluate(blocks: RDD, weights: np.ndarray, point: np.ndarray, rows: int, pe
             loss += float((np.logaddexp(0, z) - block.labels * z).sum())
             residual = _logistic(z) - block.labels
             slope += float(residual.sum())
-            gradient += block.back(residual, size)
+            block.back(residual, gradient)
         yield from _slices(gradient)
         yield from (("loss", loss), ("slope", slope))
 
@@ -257,7 +259,7 @@ def _with_penalty(sums: np.ndarray, weights: np.ndarray, point: np.ndarray, slop
     sums *= weights
     sums /= rows
     found[:-1] += sums
-    found[-1] = slope / rows
+    found[-1] = slope / rows  # the intercept has no penalty
     return found
 
 
@@ -289,7 +291,7 @@ def _product(blocks: RDD, weights: np.ndarray, at: Broadcast, direction: np.ndar
         for i, block in enumerate(part):
             values = _curves(at, (index, i), block) * (block.margins(scaled) + shift)
             slope += float(values.sum())
-            change += block.back(values, size)
+            block.back(values, change)
         yield from _slices(change.astype("f4"))
         yield ("slope", slope)
 
@@ -331,6 +333,7 @@ def fit(blocks: RDD, size: int, max_iterations: int, tolerance: float) -> Fitted
     if not rows:
         raise ValueError("no samples to train on")
     weights = np.log((1 + rows) / (1 + texts)) + 1
+    del texts
     if ones in (0, rows):
         first.unpersist()
         return Fitted(weights, np.zeros(size), np.inf if ones else -np.inf, rows, 0, 0)

@@ -52,12 +52,12 @@ class Rows(NamedTuple):
         """The sum of each row's counts."""
         return np.bincount(np.repeat(np.arange(len(self.sizes)), self.sizes), self.counts, len(self.sizes))
 
-    def back(self, vector: np.ndarray, size: int) -> np.ndarray:
-        """The sum over each number of its counts times the vector at their rows."""
+    def back(self, vector: np.ndarray, total: np.ndarray) -> None:
+        """Adds to each number's total its counts times the vector at their rows."""
         values = np.repeat(vector, self.sizes)
         if self.counts is not None:
             values *= self.counts
-        return np.bincount(self.numbers, values, size)
+        total += np.bincount(self.numbers, values, len(total))
 
 
 def counted(row: np.ndarray, number: np.ndarray, rows: int) -> Rows:
